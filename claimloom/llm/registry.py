@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from claimloom.llm import simhash
+from claimloom.llm import decontaminate, langid, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.op1_secrets,
+        "op3_langid": langid.op3_langid,
         "op5_simhash": simhash.op5_simhash,
+        "op7_mixing": mixing.op7_mixing,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.ORACLE}
