@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import decontaminate, langid, mixing, secrets, simhash
+from claimloom.llm import decontaminate, hmm, langid, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_langid": langid.op3_langid,
         "op5_simhash": simhash.op5_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op8_hmm": hmm.op8_hmm,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
