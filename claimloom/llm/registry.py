@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from claimloom.llm import decontaminate, hmm, langid, mixing, secrets, simhash
+from claimloom.llm import chat, decontaminate, hmm, langid, mixing, secrets, simhash, tokencount, urlfilter, vectors
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_chat": chat.op2_chat,
         "op3_langid": langid.op3_langid,
+        "op4_urlfilter": urlfilter.op4_urlfilter,
         "op5_simhash": simhash.op5_simhash,
+        "op6_tokencount": tokencount.op6_tokencount,
         "op7_mixing": mixing.op7_mixing,
         "op8_hmm": hmm.op8_hmm,
+        "op9_vectors": vectors.op9_vectors,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE}
