@@ -55,34 +55,51 @@ def _ids(of: DataFrame) -> DataFrame:
     return of.select(F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("c"), F.concat_ws(":", F.lit("e"), *ENTITY).alias("e"), "weight", "claim_id")
 
 
-def communities(of: DataFrame, resolution: float = RESOLUTION, rounds: int = 6) -> DataFrame:
+def communities(of: DataFrame, resolution: float = RESOLUTION, levels: int = 3, rounds: int = 4) -> DataFrame:
     """(id, community): modularity communities of the whole weighted graph; ids as in `_ids`.
 
-    Claims move with entities fixed, then entities with claims fixed, each to
-    the community of most gain in weighted modularity at `resolution`; a move
-    needs a gain and ties go to the smaller community name. Both sides start
-    as communities of their own. Communities that fall apart are split into
-    their connected parts, so each result is connected, and named after their
-    least member.
+    On each level every vertex starts by itself and for some rounds moves to
+    the neighbouring community of most gain in weighted modularity at
+    `resolution`; then communities become the vertices of the next level.
+    Vertices move in parallel, in even rounds to communities of a smaller name
+    and in odd rounds to those of a larger one, so that no two trade places
+    for ever. A move needs a gain; ties go to the smaller name. At last communities that have fallen apart are split into their
+    connected parts, and each is named after its least member.
     """
-    linked = cut(_ids(of).select("c", "e", "weight"))
-    total = linked.agg(F.sum("weight")).first()[0] or 1.0
-    sides = {s: cut(linked.groupBy(F.col(s).alias("v")).agg(F.sum("weight").alias("k"))) for s in ("c", "e")}
-    at = {s: sides[s].select("v", "k", F.col("v").alias("m")) for s in sides}
-    for turn in range(2 * rounds):
-        s, o = ("c", "e") if turn % 2 == 0 else ("e", "c")
-        mass = at["c"].unionByName(at["e"]).groupBy("m").agg(F.sum("k").alias("mk"))
-        near = linked.select(F.col(s).alias("v"), F.col(o).alias("o"), "weight").join(at[o].select(F.col("v").alias("o"), "m"), "o").groupBy("v", "m").agg(F.sum("weight").alias("w"))
-        own = at[s].select("v", F.lit(0.0).alias("w"), "m")
-        near = near.unionByName(own.select("v", "m", "w")).groupBy("v", "m").agg(F.sum("w").alias("w"))
-        scored = near.join(mass, "m").join(at[s].select("v", "k", F.col("m").alias("old")), "v")
-        gain = F.col("w") - resolution * F.col("k") * (F.col("mk") - F.when(F.col("m") == F.col("old"), F.col("k")).otherwise(0.0)) / (2 * total)
-        best = scored.withColumn("gain", F.round(gain, 9)).groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("m") != F.col("old")).alias("moved"), "m")).alias("b"), F.first("k").alias("k"))
-        at[s] = cut(best.select("v", "k", F.col("b.m").alias("m")))
-    inside = linked.join(at["c"].select(F.col("v").alias("c"), F.col("m").alias("mc")), "c").join(at["e"].select(F.col("v").alias("e"), F.col("m").alias("me")), "e").where("mc = me")
+    base = cut(_ids(of).select("c", "e", "weight"))
+    both = base.select(F.col("c").alias("v"), F.col("e").alias("o"), "weight").unionByName(base.select(F.col("e").alias("v"), F.col("c").alias("o"), "weight"))
+    total = base.agg(F.sum("weight")).first()[0] or 1.0
+    links, nodes = both, cut(both.groupBy("v").agg(F.sum("weight").alias("k")))
+    member = nodes.select(F.col("v").alias("id"), "v")
+    for _ in range(levels):
+        links = cut(links)
+        at = nodes.select("v", "k", F.col("v").alias("m"))
+        for turn in range(rounds):
+            mass = at.groupBy("m").agg(F.sum("k").alias("mk"))
+            near = links.join(at.select(F.col("v").alias("o"), "m"), "o").groupBy("v", "m").agg(F.sum("weight").alias("w"))
+            near = near.unionByName(at.select("v", "m", F.lit(0.0).alias("w"))).groupBy("v", "m").agg(F.sum("w").alias("w"))
+            near = near.join(mass, "m").join(at.select("v", "k", F.col("m").alias("old")), "v")
+            open_ = F.col("m") < F.col("old") if turn % 2 == 0 else F.col("m") > F.col("old")
+            own = F.col("m") == F.col("old")
+            gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mk") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * total), 9)
+            best = near.where(own | open_).groupBy("v").agg(F.min(F.struct((-gain).alias("g"), (~own).alias("moved"), "m"))["m"].alias("to"))
+            at = cut(at.join(best, "v", "left").select("v", "k", F.coalesce("to", "m").alias("m")))
+        place = at.select("v", "m")
+        member = cut(member.join(place, "v").select("id", F.col("m").alias("v")))
+        nodes = cut(at.groupBy(F.col("m").alias("v")).agg(F.sum("k").alias("k")))
+        links = links.join(place.withColumnRenamed("m", "mv"), "v").join(place.select(F.col("v").alias("o"), F.col("m").alias("mo")), "o").where("mv <> mo").groupBy(F.col("mv").alias("v"), F.col("mo").alias("o")).agg(F.sum("weight").alias("weight"))
+    inside = base.join(member.select(F.col("id").alias("c"), F.col("v").alias("mc")), "c").join(member.select(F.col("id").alias("e"), F.col("v").alias("me")), "e").where("mc = me")
     whole = connected_components(inside, "c", "e").toDF("id", "community")
-    everyone = sides["c"].select(F.col("v").alias("id")).unionByName(sides["e"].select(F.col("v").alias("id")))
-    return everyone.join(whole, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    return member.select("id").join(whole, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
+def modularity(of: DataFrame, member_of: DataFrame, resolution: float = RESOLUTION) -> float:
+    """Weighted modularity of a partition of the graph, at a resolution."""
+    base = _ids(of).join(member_of.select(F.col("id").alias("c"), F.col("community").alias("mc")), "c").join(member_of.select(F.col("id").alias("e"), F.col("community").alias("me")), "e")
+    inside, total = base.agg(F.sum(F.when(F.col("mc") == F.col("me"), F.col("weight")).otherwise(0.0)), F.sum("weight")).first()
+    masses = base.select(F.col("mc").alias("m"), "weight").unionByName(base.select(F.col("me").alias("m"), "weight")).groupBy("m").agg(F.sum("weight").alias("k"))
+    spread = masses.agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    return inside / total - resolution * spread / (2 * total) ** 2 if total else 0.0
 
 
 def community_verdicts(of: DataFrame, member_of: DataFrame, least: int = MIN_RING) -> DataFrame:

@@ -258,14 +258,14 @@ def decision_hints(spark, folder):
 def communities(spark, folder):
     """Claims of modularity communities with their scores; no SQL for the optimisation."""
     of = cut(_edges(spark, folder))
-    return detect.community_verdicts(of, detect.communities(of, rounds=3))
+    return detect.community_verdicts(of, detect.communities(of, levels=2))
 
 
 @query()
 def detect_ladder(spark, folder):
     """The whole ladder, communities included."""
     of = cut(_edges(spark, folder))
-    return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of, rounds=3)), rounds=ROUNDS)
+    return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of, levels=2)), rounds=ROUNDS)
 
 
 @query()
