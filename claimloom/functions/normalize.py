@@ -32,7 +32,7 @@ def address(raw: Column) -> Column:
     """Lower-case words in order, abbreviations written out, repeated words kept."""
     words = F.filter(F.split(F.regexp_replace(F.lower(raw), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")
     known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    return F.array_join(F.array_sort(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))), " ")
+    return F.array_join(F.sort_array(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))), " ")
 
 
 def shop(raw: Column) -> Column:

@@ -15,14 +15,14 @@ KINDS = (
 )
 
 
-def links(claims: DataFrame) -> DataFrame:
-    """(claim_id, entity_type, canonical_value, role, raw_value): two or three rows a claim, in one pass.
+def links(claims: DataFrame, *carried: str) -> DataFrame:
+    """(claim_id, entity_type, canonical_value, role, raw_value, *carried columns): two or three rows a claim, in one pass.
 
     A blank shop gives no link; a phone that can't be read gives none either
     (see `bad_phones`). An address or shop may have an empty canonical value.
     """
     one = [F.struct(F.lit(t).alias("entity_type"), f(F.col(c)).alias("canonical_value"), F.lit(r).alias("role"), F.col(c).alias("raw_value")) for t, r, c, f in KINDS]
-    each = claims.select("claim_id", F.explode(F.array(*one)).alias("l")).select("claim_id", "l.*")
+    each = claims.select("claim_id", *carried, F.explode(F.array(*one)).alias("l")).select("claim_id", "l.*", *carried)
     return each.where("canonical_value is not null and not (entity_type = 'SHOP' and trim(raw_value) = '')")
 
 

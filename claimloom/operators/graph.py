@@ -25,7 +25,7 @@ def edges(claims: DataFrame, as_of: datetime.date | str | None = None) -> DataFr
     """
     if as_of is not None:
         claims = claims.where(F.col("incident_date") <= F.lit(str(as_of)).cast("date"))
-    linked = links(claims).join(claims.select("claim_id", F.col("claim_amount").cast("double").alias("claim_amount"), "incident_date"), "claim_id")
+    linked = links(claims.withColumn("claim_amount", F.col("claim_amount").cast("double")), "claim_amount", "incident_date")
     degree = linked.groupBy(*ENTITY).agg(F.count("*").alias("degree"))
     return linked.join(degree, ENTITY).select("claim_id", *ENTITY, "claim_amount", "incident_date", "degree", idf_weight(F.col("degree")).alias("weight"))
 
