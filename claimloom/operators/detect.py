@@ -121,15 +121,18 @@ def pagerank(of: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     round moves nothing but partial sums; every fifth round is cut. Empty
     without seeds.
     """
-    linked = _ids(of)
-    start = linked.join(seeds.select("claim_id").distinct(), "claim_id", "left_semi").select(F.col("c").alias("v")).distinct()
+    start = of.join(seeds.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id").distinct()
     count = start.count()
     if not count:
         return of.select("claim_id", F.lit(0.0).alias("score")).limit(0)
+    # numbers in place of names, even for claims and odd for entities, as every round joins and sums by them
+    numbered = lambda keys, name, odd: cut(of.select(*keys).distinct().select(*keys, (F.monotonically_increasing_id() * 2 + odd).alias(name)))
+    claims = numbered(["claim_id"], "c", 0)
+    linked = cut(of.join(claims, "claim_id").join(numbered(ENTITY, "e", 1), ENTITY).select("c", "e", "weight"))
     both = linked.select(F.col("c").alias("v"), F.col("e").alias("o"), "weight").unionByName(linked.select(F.col("e").alias("v"), F.col("c").alias("o"), "weight"))
     out = both.groupBy("v").agg(F.sum("weight").alias("k"))
     steps = cut(both.join(out, "v").select("v", "o", (F.col("weight") / F.col("k")).alias("p"))).repartition("v").persist()
-    start = cut(start.withColumn("r", F.lit(1.0 / count)))
+    start = cut(start.join(claims, "claim_id").select(F.col("c").alias("v"), F.lit(1.0 / count).alias("r")))
     again = start.select("v", (F.col("r") * (1 - damping)).alias("r"))
     rank = start
     for turn in range(rounds):
@@ -139,8 +142,8 @@ def pagerank(of: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
             rank = cut(rank)
     steps.unpersist()
     most = rank.agg(F.max("r")).first()[0]
-    claims = linked.select("claim_id", F.col("c").alias("v")).distinct().join(rank, "v", "left").join(start.select("v"), "v", "left_anti")
-    return claims.select("claim_id", (F.coalesce("r", F.lit(0.0)) / most).alias("score"))
+    ranked = claims.withColumnRenamed("c", "v").join(rank, "v", "left").join(start.select("v"), "v", "left_anti")
+    return ranked.select("claim_id", (F.coalesce("r", F.lit(0.0)) / most).alias("score"))
 
 
 def verdicts(of: DataFrame, component_rings: DataFrame, found: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
