@@ -18,8 +18,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,46 +46,44 @@ def plan(count: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tu
     return signs, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _as_matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as rows of unit length, all zeros if they link with nothing; which rows those are not."""
-    rows = column.to_pylist()
-    size = max((len(r) for r in rows if r is not None), default=0)
-    out, good = np.zeros((len(rows), size)), np.zeros(len(rows), bool)
-    for i, r in enumerate(rows):
-        if r is not None and len(r) and None not in r:
-            out[i, : len(r)] = r
-            good[i] = True
-    good &= np.isfinite(out).all(axis=1)
-    out[~good] = 0
-    scale = np.abs(out).max(axis=1, initial=0)
-    good &= scale > 0
-    out[good] /= scale[good, None]
-    out[good] /= np.sqrt(np.einsum("ij,ij->i", out[good], out[good]))[:, None]
-    return out, good
-
-
-def _signed(vectors: DataFrame, signs: int, tables: int) -> DataFrame:
-    """(row, id, size, unit, keys): unit vectors as doubles in binary, and one key a table; null for those that link with nothing."""
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length, in double precision; no row is zero."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _by_size(column: pa.Array):
+    """(places, rows) of the vectors of each length; those that link with nothing are left out."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)  # null components come as NaN
+        good = np.isfinite(rows).all(axis=1) & rows.any(axis=1)
+        yield at[good], rows[good]
+
+
+def _signed(vectors: DataFrame, signs: int, tables: int, width: str) -> DataFrame:
+    """(row, id, size, raw, keys): the vector in binary, and one key a table; null for those that link with nothing."""
     kind = dict(vectors.dtypes)["id"]
     planes: dict[int, np.ndarray] = {}
 
     def step(batches):
         for batch in batches:
-            unit, good = _as_matrix(batch.column(2))
-            sizes = [len(v) if v is not None else 0 for v in batch.column(2).to_pylist()]
-            keys: list = [None] * len(unit)
-            for size in {s for s, g in zip(sizes, good, strict=True) if g}:
+            n = batch.num_rows
+            sizes, held, keys = np.zeros(n, np.int32), [None] * n, [None] * n
+            for at, rows in _by_size(batch.column(2)):
+                size = rows.shape[1]
                 if size not in planes:
                     planes[size] = np.random.default_rng([SEED, size]).standard_normal((size, signs * tables))
-                at = np.flatnonzero(good & (np.array(sizes) == size))
-                bits = (unit[at, :size] @ planes[size] >= 0).reshape(len(at), tables, signs)
-                made = bits @ (1 << np.arange(signs, dtype=np.int64))
-                for i, row in zip(at.tolist(), made.tolist(), strict=True):
-                    keys[i] = row
-            held = [unit[i, : sizes[i]].tobytes() if good[i] else None for i in range(len(unit))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(held, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "size", "unit", "keys"])
+                bits = (_unit(rows) @ planes[size] >= 0).reshape(len(at), tables, signs)
+                made = (bits @ (1 << np.arange(signs))).astype(np.int32)
+                sizes[at] = size
+                for i, row, key in zip(at.tolist(), rows.astype(width), made, strict=True):
+                    held[i], keys[i] = row.tobytes(), key
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(held, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["row", "id", "size", "raw", "keys"])
 
-    return vectors.mapInArrow(step, f"row long, id {kind}, size int, unit binary, keys array<long>")
+    return vectors.mapInArrow(step, f"row long, id {kind}, size int, raw binary, keys array<int>")
 
 
 def _forest(link: np.ndarray) -> np.ndarray:
@@ -105,33 +103,32 @@ def _forest(link: np.ndarray) -> np.ndarray:
     return label
 
 
-def _verify(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _verify(group: pa.Table, threshold: float, width: str) -> pa.Table:
     """(row, links, other) of one block or pair of blocks: new links of each row, and an edge to a row of its component."""
-    t, i, j = (int(frame[c].iloc[0]) for c in ("t", "i", "j"))
-    frame = frame.sort_values("row")
-    left, right = (frame[frame["b"] == i], frame[frame["b"] == j])
-    if not len(left) or not len(right):
-        return pd.DataFrame({"row": [], "links": [], "other": []}).astype("int64")
-    size = int(frame["size"].iloc[0])
-    x, y = (np.frombuffer(b"".join(f["unit"]), np.float64).reshape(-1, size) for f in (left, right))
-    link = x @ y.T >= threshold
+    t, i, j, size = (group.column(c)[0].as_py() for c in ("t", "i", "j", "size"))
+    rows, block = (group.column(c).to_numpy() for c in ("row", "b"))
+    order = np.argsort(rows, kind="stable")
+    left, right = (order[block[order] == x] for x in (i, j))
+    link = np.zeros((len(left), len(right)), bool)
+    if len(left) and len(right):
+        unit = _unit(np.frombuffer(b"".join(group.column("raw").to_pylist()), width).reshape(-1, size))
+        link = unit[left] @ unit[right].T >= threshold
     if i == j:
         np.fill_diagonal(link, False)
     if t and link.any():
-        kx, ky = np.array(left["keys"].tolist())[:, :t], np.array(right["keys"].tolist())[:, :t]
+        before = np.concatenate([c.flatten().to_numpy() for c in group.column("before").chunks]).reshape(-1, t)
         for e in range(t):  # pairs that met before are counted and joined there
-            link &= kx[:, e][:, None] != ky[:, e][None, :]
+            link &= before[left, e][:, None] != before[right, e][None, :]
     if i == j:
-        rows, whole, links = left["row"].to_numpy(), link, link.sum(axis=1)
+        rows, whole, links = rows[left], link, link.sum(axis=1)
     else:
-        rows = np.concatenate([left["row"], right["row"]])
-        n = len(left)
+        rows, n = np.concatenate([rows[left], rows[right]]), len(left)
         whole = np.zeros((len(rows), len(rows)), bool)
         whole[:n, n:], whole[n:, :n] = link, link.T
         links = whole.sum(axis=1)
     some = np.flatnonzero(links)
     label = _forest(whole[np.ix_(some, some)])
-    return pd.DataFrame({"row": rows[some], "links": links[some].astype(np.int64), "other": rows[some][label]})
+    return pa.table({"row": pa.array(rows[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "other": pa.array(rows[some][label], pa.int64())})
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -144,10 +141,13 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     other. A null id never names a component that has another id. Ties at the
     threshold link. Empty table: empty result. Other columns are not read.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    width = "f4" if single else "f8"  # vectors travel as they are; cosines are double precision either way
+    value = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), value.alias("v"))
     signs, tables = plan(vectors.count(), threshold, recall)
-    held = cut(_signed(rows, signs, tables))
-    placed = held.where("unit is not null").select("row", "size", "unit", "keys", F.posexplode("keys").alias("t", "key"))
+    held = cut(_signed(rows, signs, tables, width))
+    placed = held.where("raw is not null").select("row", "size", "raw", "keys", F.posexplode("keys").alias("t", "key"))
     large = placed.groupBy("size", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("size", "t", "key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     large = cut(large)
     if large.count() <= 20_000:
@@ -155,8 +155,9 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     placed = placed.join(large, ["size", "t", "key"], "left").na.fill(1, ["blocks"])
     placed = placed.withColumn("b", F.pmod(F.xxhash64("row"), "blocks").cast("long"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("row", "size", "unit", "keys", "t", "key", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    checked = placed.groupBy("size", "t", "key", "i", "j").applyInPandas(lambda frame: _verify(frame, threshold), "row long, links long, other long")
+    before = F.expr("slice(keys, 1, t)").alias("before")  # the keys of earlier tables are all that a table asks for
+    placed = placed.select("row", "size", "raw", before, "t", "key", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    checked = placed.groupBy("size", "t", "key", "i", "j").applyInArrow(lambda group: _verify(group, threshold, width), "row long, links long, other long")
     checked = cut(checked)
     links = checked.groupBy("row").agg(F.sum("links").alias("n_links"))
     found = connected_components(checked.where("row <> other").select("row", "other").distinct(), "row", "other").select(F.col("vertex").alias("row"), F.col("component").alias("root"))
