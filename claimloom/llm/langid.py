@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: list
     `docs` that has the name of a new column is replaced.
     """
     new = ("lang_pred", "lang_score", "lang_ambiguous")
-    keep = [c for c in (columns or docs.columns) if c not in new]
+    keep = [c for c in (columns or docs.columns) if c.lower() not in new]
     rows = docs.select(F.col(text_col).alias("__langid_text"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -121,12 +121,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     text share a place and all stay.
     """
     new = ("size", "source_size", "target", "taken", "copies", "position")
-    plain = [c for c in docs.columns if c not in new]
+    plain = [c for c in docs.columns if c.lower() not in new]
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*plain, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("__mix_key"))
     found = cut(mix(docs).where("taken > 0"))
-    plan = found.groupBy("key").agg(F.max(F.struct(*[c for c in new])).alias("__mix"))
-    joined = keyed.join(plan, F.col("__mix_key") == F.col("key"))
+    plan = found.groupBy(F.col("key").alias("__mix_of")).agg(F.max(F.struct(*[c for c in new])).alias("__mix"))
+    joined = keyed.join(plan, F.col("__mix_key") == F.col("__mix_of"))
     return joined.select(*plain, *[F.col("__mix")[c].alias(c) for c in new]).sort("position", "doc_id")
 
 

@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from claimloom.llm.arrow import map_columns, raw_texts
 from claimloom.operators.connected import connected_components
@@ -60,17 +59,18 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id_col, fp long) for every row. Null and wordless texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)[id_col]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, fp long, the columns in `carry`) for every row. Null and wordless texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), *carry)
+    names = [id_col, "fp", *carry]
 
     def step(batches):
         for batch in batches:
             made = [fingerprint(x, shingle, seed) for x in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), *batch.columns[2:]], names)
 
-    return map_columns(rows, step, f"`{id_col}` {kind}, fp long")
+    kinds = dict(rows.dtypes) | {"fp": "long"}
+    return map_columns(rows, step, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def _cells(segments: int):
@@ -103,8 +103,8 @@ def _links(fps: DataFrame, segments: int) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id_col, fp, component, root) for every row of `docs`; root is the group's id among fingerprints.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, fp, component, root, the columns in `carry`) for every row of `docs`; root is the group's id among fingerprints.
 
     Two documents are linked if their fingerprints differ in two bits or
     fewer; component is the smallest id that links reach.
@@ -114,48 +114,35 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated in the result. Very long text: hashed whole, in blocks. Empty
     table: empty result. Other columns, whatever their names, are not read.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    marked = cut(fingerprints(docs, id_col, text_col, shingle, seed, carry))
     groups = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     segments = 16 if groups.count() <= COARSE_UP_TO else 32
     found = connected_components(_links(groups.select("fp"), segments)).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     label = rooted.join(named, "root").select("fp", "component", "root")
-    return marked.join(label, "fp").select(id_col, "fp", "component", "root")
+    return marked.join(label, "fp").select(id_col, "fp", "component", "root", *carry)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each near-duplicate group, all columns as they were.
 
-    The row that stays is the one whose doc_id names the group; of several
-    rows with that id the first by text, nulls first. A group without any id
-    keeps its first row by text. An empty table stays empty.
+    The row that stays has the doc_id that names the group, or none if the
+    group has no id at all. Of several rows of the group with that id those
+    stay whose digest of id and text is least, and of repeated ones the first
+    by the other columns, nulls first (maps and variants have no order and are
+    left out). A doc_id that two groups share names each of them. Null texts
+    count as empty. An empty table stays empty. Texts are shuffled once.
     """
-    plain = docs.columns
-    marked = "__simhash_fp"
-    wide = _with_fingerprint(docs, marked)
-    found = simhash_components(docs)
-    order = [F.col(c).asc_nulls_first() for c in ("text", *(c for c in plain if c not in ("text", "doc_id")))]
-    first = F.row_number().over(Window.partitionBy("__simhash_key").orderBy(*order))
-    ids = found.where("doc_id = component").select(F.col("doc_id").alias("__simhash_key")).distinct()
-    named = docs.join(ids, F.col("doc_id") == F.col("__simhash_key")).withColumn("__simhash_rank", first)
-    kept = named.where("__simhash_rank = 1").select(*plain)
-    if docs.where("doc_id is null").isEmpty():
-        return kept
-    roots = found.where("component is null").select(F.col("fp").alias("__simhash_of"), F.col("root").alias("__simhash_key")).distinct()
-    nameless = wide.where("doc_id is null").join(roots, F.col(marked) == F.col("__simhash_of")).withColumn("__simhash_rank", first)
-    return kept.unionByName(nameless.where("__simhash_rank = 1").select(*plain))
-
-
-def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
-    at = docs.columns.index("text")
-
-    def step(batches):
-        for batch in batches:
-            made = pa.array([fingerprint(x) for x in raw_texts(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
-
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    plain, key = docs.columns, "__simhash_key"
+    own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    keyed = docs.withColumn(key, F.md5(F.concat(own, F.lit(":"), F.coalesce("text", F.lit("")))))
+    found = simhash_components(keyed, carry=(key,))
+    stays = found.where("doc_id <=> component").groupBy("root").agg(F.min(key).alias("__simhash_stays")).select("__simhash_stays")
+    sortable = [c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in sortable]))
+    kept = keyed.join(stays, F.col(key) == F.col("__simhash_stays")).withColumn("__simhash_rank", first)
+    return kept.where("__simhash_rank = 1").select(*[f"`{c}`" for c in plain])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def judge(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES,
     named like a new one are replaced.
     """
     new = ("host", "path", "rule", "pattern", "verdict")
-    keep = [c for c in (keep or df.columns) if c not in new]
+    keep = [c for c in (keep or df.columns) if c.lower() not in new]
     rows = df.select(F.col(url_col).alias("__url"), *keep)
     rows = with_parts(rows, "__url", "__host", "__path", "__rest")
     rows = rows.withColumn("__text", F.concat("__host", "__path", "__rest")).drop("__url", "__rest")

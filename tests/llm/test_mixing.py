@@ -89,6 +89,8 @@ def test_documents_and_empty(spark):
     docs = spark.createDataFrame(_rows(), "doc_id long, text string, source string")
     kept = mixing.mixed_documents(docs.withColumn("size", docs.doc_id))
     taken = mixing.mix(docs).where("taken > 0").count()
+    clash = docs.selectExpr("*", "source as key", "source as Taken", "source as skey", "source as bucket")
+    assert mixing.mixed_documents(clash).count() == taken
     assert kept.count() == taken
     places = [r.position for r in kept.select("position").collect()]
     assert places == sorted(places)
