@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.arrow import map_columns, raw_texts
+from claimloom.llm.similar import similar_components
 from claimloom.operators.connected import connected_components
 from claimloom.plans.durable import cut
 from claimloom.sources.tables import table
@@ -127,6 +128,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each near-duplicate group, all columns as they were.
 
+    Groups are those of `similar_components`, by the exact similarity of
+    5-word shingles, not the two-bit groups of `simhash_components`.
     The row that stays has the doc_id that names the group, or none if the
     group has no id at all. Of several rows of the group with that id those
     stay whose digest of id and text is least, and of repeated ones the first
@@ -137,7 +140,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     plain, key = docs.columns, "__simhash_key"
     own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
     keyed = docs.withColumn(key, F.md5(F.concat(own, F.lit(":"), F.coalesce("text", F.lit("")))))
-    found = simhash_components(keyed, carry=(key,))
+    found = similar_components(keyed, key)
     stays = found.where("doc_id <=> component").groupBy("root").agg(F.min(key).alias("__simhash_stays")).select("__simhash_stays")
     sortable = [c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind]
     first = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in sortable]))
