@@ -5,8 +5,8 @@ Sources share the corpus's words by weight; no source is repeated more than
 source's documents form a stream in the order of a content hash, repeated
 until the source's demand is met. A source's schedule says how its weight
 varies over training time; its integral is the cumulative demand, and
-inverting it turns an offset in the stream into a training position.
-Documents are then range-sorted by position.
+inverting it turns an offset in the stream into a training position. A
+document has one for each of its copies, and copies are range-sorted by them.
 
 Stream offsets are prefix sums. The hash's first digits deal each source into
 `4096` buckets, so that a source with a third of all rows is still summed in
@@ -78,12 +78,14 @@ def invert_demand(share: Column, knots) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, most: int = MAX_REPEATS) -> DataFrame:
-    """One row for each row of `docs`: doc_id, key, size, source_size, target, taken, copies, position.
+    """One row for each row of `docs`: doc_id, key, size, source_size, target, taken, copies, position, positions.
 
     taken: words the mix takes of it, repeats counted; a source's sum is its
     target rounded to a whole word (only the document at the end of the demand
-    is cut short). position: training time of its first copy; null if not
-    taken. key: hash of id and text, the stream's order.
+    is cut short). positions: training times of its copies, ascending; copy c
+    lies c times the source's size behind the first in the stream. position:
+    that of the first copy. Both are null if it is not taken. key: hash of id
+    and text, the stream's order.
 
     Null text: size 0, nothing taken. Null source: a source of its own, last.
     Null id: hashed as an empty id. Repeated rows have neighbouring places in
@@ -104,38 +106,71 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     demand = placed.withColumn("full", F.expr("if(source_size = 0, 0, demand div source_size)")).withColumn("rest", F.expr("if(source_size = 0, 0, demand % source_size)"))
     more = F.least(F.greatest(F.col("rest") - F.col("at"), F.lit(0)), F.col("size"))
     taken = F.col("full") * F.col("size") + more
-    share = F.col("at") / F.greatest(F.col("demand"), F.lit(1))
-    position = None
-    for i, knots in enumerate(schedules):
-        here = invert_demand(share, knots)
-        position = here if position is None else F.when(F.col("turn") == i, here).otherwise(position)
+
+    def placed_at(copy: int) -> Column:
+        share = (F.col("at") + copy * F.col("source_size")) / F.greatest(F.col("demand"), F.lit(1))
+        position = None
+        for i, knots in enumerate(schedules):
+            here = invert_demand(share, knots)
+            position = here if position is None else F.when(F.col("turn") == i, here).otherwise(position)
+        return position
+
     out = demand.withColumn("taken", taken).withColumn("copies", (F.col("full") + (more > 0).cast("long")))
-    out = out.withColumn("position", F.when(F.col("taken") > 0, position))
-    return out.select("doc_id", "key", "size", "source_size", "target", "taken", "copies", "position")
+    times = F.array_compact(F.array(*[F.when(F.col("copies") > c, placed_at(c)) for c in range(most)]))
+    out = out.withColumn("positions", F.when(F.col("taken") > 0, times)).withColumn("position", F.get("positions", 0))
+    return out.select("doc_id", "key", "size", "source_size", "target", "taken", "copies", "position", "positions")
+
+
+def _planned(docs: DataFrame, new: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """The columns of `docs` that have no name of `new`, and the rows that the mix takes: these columns, then a struct __mix of the mix's own."""
+    own = ("size", "source_size", "target", "taken", "copies", "position", "positions")
+    plain = [c for c in docs.columns if c.lower() not in new]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(*plain, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("__mix_key"))
+    found = cut(mix(docs).where("taken > 0"))
+    plan = found.groupBy(F.col("key").alias("__mix_of")).agg(F.max(F.struct(*own)).alias("__mix"))
+    return plain, keyed.join(plan, F.col("__mix_key") == F.col("__mix_of")).select(*plain, "__mix")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, taken, copies and position, sorted by position.
+    """The documents that the mix takes, with size, source_size, target, taken, copies, position and positions, sorted by position.
 
     Columns of `docs` with these names are replaced. Rows with equal id and
     text share a place and all stay.
     """
-    new = ("size", "source_size", "target", "taken", "copies", "position")
-    plain = [c for c in docs.columns if c.lower() not in new]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*plain, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("__mix_key"))
-    found = cut(mix(docs).where("taken > 0"))
-    plan = found.groupBy(F.col("key").alias("__mix_of")).agg(F.max(F.struct(*[c for c in new])).alias("__mix"))
-    joined = keyed.join(plan, F.col("__mix_key") == F.col("__mix_of"))
+    new = ("size", "source_size", "target", "taken", "copies", "position", "positions")
+    plain, joined = _planned(docs, new)
     return joined.select(*plain, *[F.col("__mix")[c].alias(c) for c in new]).sort("position", "doc_id")
 
 
+def mixed_copies(docs: DataFrame) -> DataFrame:
+    """A row for each copy that the mix takes, in training order, with size, source_size, target, taken, copies, copy and position.
+
+    copy: 0 for the first. taken and position are those of the copy. Columns
+    of `docs` with these names are replaced. Rows with equal id and text share
+    their places and all stay.
+    """
+    new = ("size", "source_size", "target", "taken", "copies", "copy", "position")
+    plain, joined = _planned(docs, new)
+    dealt = joined.select(*plain, "__mix", F.posexplode("__mix.positions").alias("__mix_copy", "__mix_position"))
+    size = F.col("__mix.size")
+    values = {"taken": F.least(size, F.col("__mix.taken") - F.col("__mix_copy") * size), "copy": F.col("__mix_copy"), "position": F.col("__mix_position")}
+    return dealt.select(*plain, *[values.get(c, F.col("__mix")[c]).alias(c) for c in new]).sort("position", "doc_id", "copy")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes, in training order; documents it leaves out come last."""
     found = mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "position").sort(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op7_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix takes, in training order."""
+    found = mix(table(spark, sf_dir, "documents")).where("taken > 0")
+    dealt = found.select("doc_id", "size", "source_size", "target", "taken", F.posexplode("positions").alias("copy", "position"))
+    return dealt.withColumn("taken", F.least("size", F.expr("taken - copy * size"))).sort("position", "doc_id", "copy")
+
+
 ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

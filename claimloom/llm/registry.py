@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_tokencount": tokencount.op6_tokencount,
         "op7_mixing": mixing.op7_mixing,
+        "op7_mixing_copies": mixing.op7_mixing_copies,
         "op8_hmm": hmm.op8_hmm,
         "op9_vectors": vectors.op9_vectors,
         "op10_decontaminate": decontaminate.op10_decontaminate,

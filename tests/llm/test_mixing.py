@@ -95,3 +95,29 @@ def test_documents_and_empty(spark):
     places = [r.position for r in kept.select("position").collect()]
     assert places == sorted(places)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_every_copy_has_a_position(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 30))), "big" if i < 300 else "small") for i in range(330)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    assert any(r.copies > 1 for r in found)
+    for r in found:
+        if r.taken:
+            assert r.copies == len(r.positions) == -(-r.taken // r.size) and r.position == r.positions[0]
+            assert r.positions == sorted(set(r.positions)) and r.positions[-1] <= 1
+    # the small source, turn 1, follows its schedule (0.5 at the start, 1.5 at the end) over the whole of training
+    copies = mixing.mixed_copies(docs).collect()
+    assert [r.position for r in copies] == sorted(r.position for r in copies)
+    own = [r for r in copies if r.source == "small"]
+    demand = sum(r.taken for r in own)
+    assert len(own) > 30 and abs(demand - own[0].target) <= 0.5
+    for t in (0.25, 0.5, 0.75):
+        want = demand * (0.5 * t + 0.5 * t * t)
+        assert abs(sum(r.taken for r in own if r.position < t) - want) <= 30
+    assert max(r.position for r in own) > 0.9 and all(0 < r.taken <= r.size for r in own)
+    by_query = {}
+    for r in copies:
+        by_query[r.doc_id] = by_query.get(r.doc_id, 0) + r.taken
+    assert by_query == {r.doc_id: r.taken for r in found if r.taken}
