@@ -8,9 +8,9 @@ has a proven bound, while every word of every text counts exactly: rare words
 are looked up by an equi-join, where none of them can be a hot key.
 
 Training is Baum-Welch. Each task adds up the expected counts of its texts and
-sends non-zero rows on; Spark sums them over all partitions. A start is found
-on `START_DOCS` documents; every expected count of the model that is used comes from
-all training texts. Texts are trained in windows of `WINDOW` tokens, which
+sends non-zero rows on; Spark sums them over all partitions. The start is the
+base with fixed noise, made from the full counts; every pass covers all
+training texts. Texts are trained in windows of `WINDOW` tokens, which
 together cover them; scoring runs the scaled forward recursion over the whole
 sequence of each text and is exact.
 """
@@ -36,9 +36,7 @@ ADDED = 0.1
 HEAD_WORDS = 1 << 18
 STATES = 4
 #: Baum-Welch passes over all training texts.
-PASSES = 2
-#: Documents, about, that the start is fitted on, and passes over them.
-START_DOCS, START_PASSES = 600, 12
+PASSES = 14
 WINDOW = 256
 #: Taken off each expected emission count, and dealt out again by the base (absolute discounting).
 DISCOUNT = 0.7
@@ -204,20 +202,6 @@ def _symbols(raw: bytes, index: dict[bytes, int], tail: int) -> tuple[list[bytes
     return words, np.array([index.get(w, tail) for w in words], np.int64)
 
 
-def _start(train: DataFrame, model: Model) -> None:
-    """A first guess from a bounded sample, spread over the ids by hash; passes over all texts follow."""
-    share = max(1, train.count() // START_DOCS)
-    sample = train.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").limit(2 * START_DOCS)
-    index, tail = model.index(), len(model.base.words)
-    texts = [_symbols((r.text or "").encode(), index, tail)[1] for r in sample.toLocalIterator()]
-    for _ in range(START_PASSES):
-        counts = Counts(model)
-        for ids in texts:
-            counts.add(ids)
-        counts.flush()
-        model.updated(counts.emit, counts.move, counts.start)
-
-
 def _pass(train: DataFrame, model: Model) -> None:
     """One Baum-Welch pass over all of `train`."""
     shared, states = train.sparkSession.sparkContext.broadcast(model), len(model.start)
@@ -247,9 +231,9 @@ def _pass(train: DataFrame, model: Model) -> None:
 def fit(train: DataFrame, counts: DataFrame, states: int = STATES, passes: int = PASSES) -> Model:
     """Learn from the text column of `train` and its token counts (see `count_tokens`)."""
     model = Model(fit_base(counts), states)
-    _start(train, model)
     for _ in range(passes):
         _pass(train, model)
+        train.sparkSession.sparkContext._jvm.System.gc()  # else all passes' shuffle files stay until the driver happens to collect its garbage
     return model
 
 

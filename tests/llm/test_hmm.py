@@ -99,3 +99,22 @@ def test_emissions_sum_to_one_over_words(result):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert hmm.op8_hmm(spark, str(tmp_path)).count() == 0
+
+
+def test_every_pass_covers_all_training_texts(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("a b c d e f".split() if i % 2 else "f g h i j a".split()) for _ in range(r.randint(1, 12))) for i in range(1500)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = hmm.count_tokens(train)
+    got = hmm.fit(train, counts, states=2)
+    want = hmm.Model(hmm.fit_base(counts), 2)
+    index, tail = want.index(), len(want.base.words)
+    for _ in range(14):
+        sums = hmm.Counts(want)
+        for t in texts:
+            sums.add(hmm._symbols(t.encode(), index, tail)[1])
+        sums.flush()
+        want.updated(sums.emit, sums.move, sums.start)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
