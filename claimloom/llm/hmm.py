@@ -1,24 +1,35 @@
 """Scoring texts with a hidden Markov language model.
 
 The corpus gives word counts (a unigram base with additive smoothing) and a
-hidden Markov model over words. Frequent words, up to `HEAD_WORDS` of them,
-are symbols of their own; all rarer ones share one tail symbol, within which a
-word has its share of the base's mass. So the model that travels to the tasks
-has a proven bound, while every word of every text counts exactly: rare words
-are looked up by an equi-join, where none of them can be a hot key.
-
-Training is Baum-Welch. Each task adds up the expected counts of its texts and
-sends non-zero rows on; Spark sums them over all partitions. The start is the
-base with fixed noise, made from the full counts; every pass covers all
-training texts. Texts are trained in windows of `WINDOW` tokens, which
-together cover them; scoring runs the scaled forward recursion over the whole
-sequence of each text and is exact.
+hidden Markov model over words, in which every word of the training texts has
+emissions of its own, however many words there are.
+
+Training is Baum-Welch over symbols. A word that makes up `SHARE` of the
+running words or more is a symbol of its own, which at most 1 / SHARE words
+are; all others are tied in `CLASSES` classes by a digest of the word. So the
+model that travels to the tasks has a proven bound that doesn't depend on the
+corpus. Each task adds up the expected counts of its texts; Spark sums them
+over all partitions, as fixed-point numbers, so the order of sums can't matter
+and reruns agree. The start is the base with fixed noise; every pass covers all
+training texts. One more pass unties the classes: it gathers each word's own
+expected counts by state into a table of (word, n, c0, c1, ...), which grows
+with the vocabulary and stays in the cluster.
+
+Texts count whole, without windows: long ones are worked on in pieces, whose
+transfer matrices give the exact weights at each border, forwards and
+backwards. Scoring runs the scaled forward recursion over the whole sequence
+in the same way. The most frequent words travel to the tasks, all others are
+looked up by an equi-join, where none of them can be a hot key; which way a
+word goes changes no result.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +44,36 @@ from claimloom.sources.tables import table
 END = b"\n"
 #: Added to each count of the base.
 ADDED = 0.1
-HEAD_WORDS = 1 << 18
+#: A word of this share of all tokens or more is a symbol of its own; so there are at most 1 / SHARE such words.
+SHARE = 2.0**-15
+CLASSES = 1 << 15
 STATES = 4
-#: Baum-Welch passes over all training texts.
+#: Baum-Welch passes over all training texts before the one that unties the classes.
 PASSES = 14
-WINDOW = 256
 #: Taken off each expected emission count, and dealt out again by the base (absolute discounting).
 DISCOUNT = 0.7
-#: Tokens that a task works on at once, and distinct words that it counts before passing them on.
-_TOKENS, _COUNTED = 400_000, 400_000
-
-
-def tokens(raw: bytes) -> list[bytes]:
-    return [*raw.lower().split(), END]
+#: Words that travel to the scoring tasks; the rest is joined. No result depends on it.
+TRAVELLING = 1 << 17
+#: Tokens of a piece, tokens that a task works on at once, and distinct words that it holds before passing them on.
+PIECE, _TOKENS, _HELD = 1024, 500_000, 300_000
+#: Expected counts are summed in units of 2^-20.
+_UNIT = 1 << 20
+#: Steps between two scalings; emissions are above 1e-20, so 8 of them stay far from the least double.
+_EVERY = 8
+_CHUNK = 1 << 20
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def tokens(raw: bytes) -> Iterator[list[bytes]]:
+    """The tokens of a text, in lists of bounded length."""
+    at = 0
+    while len(raw) - at > _CHUNK:
+        gap = _GAP.search(raw, at + _CHUNK)
+        if gap is None:
+            break
+        yield raw[at : gap.start()].lower().split()
+        at = gap.end()
+    yield [*raw[at:].lower().split(), END]
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -59,251 +87,492 @@ def count_tokens(train: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
-                counts.update(tokens(raw))
-                if len(counts) > _COUNTED:
-                    yield out(counts)
-                    counts = Counter()
+                for words in tokens(raw):
+                    counts.update(words)
+                    if len(counts) > _HELD:
+                        yield out(counts)
+                        counts = Counter()
         if counts:
             yield out(counts)
 
     return map_columns(train, step, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _level(n):
-    """Sixteenths of a doubling: counts fall into under 1024 levels."""
-    return F.floor(F.log2(n) * 16)
-
-
 @dataclasses.dataclass
 class Base:
-    """total N, kinds V, head words with counts; the head is all words from a level of counts on."""
+    """total N, kinds V, the words that are symbols of their own, and the base's share of each symbol, classes last."""
 
     total: int
     kinds: int
     words: list[str]
-    counts: np.ndarray
-    level: int
+    shares: np.ndarray
 
     def probability(self, count):
         return (count + ADDED) / (self.total + ADDED * (self.kinds + 1))
 
-    @property
-    def shares(self) -> np.ndarray:
-        """Base probabilities of the head words, then of all others together."""
-        head = self.probability(self.counts.astype(np.float64))
-        return np.append(head, max(1.0 - head.sum(), self.probability(0)))
-
 
 def fit_base(counts: DataFrame) -> Base:
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    levels = counts.groupBy(_level("n").alias("level")).count().collect()
-    room, level = HEAD_WORDS, 1 << 20
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        if r["count"] > room:
-            break
-        room, level = room - r["count"], int(r["level"])
-    head = counts.where(_level("n") >= level).select("word", "n").toPandas().sort_values("word")
-    return Base(int(total.n or 0), int(total.v or 0), head["word"].tolist(), head["n"].to_numpy(np.int64), level)
+    """From all token counts; what comes to the driver is bounded by 1 / SHARE + CLASSES rows."""
+    r = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    base = Base(int(r.n or 0), int(r.v or 0), [], np.zeros(0))
+    own = counts.where((F.col("n") >= SHARE * base.total) & (F.col("n") > 0))
+    head = own.select("word", "n").toPandas().sort_values("word")
+    rest = counts.where(F.col("n") < SHARE * base.total)
+    sums = rest.groupBy((F.crc32("word") % CLASSES).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    classes = np.full(CLASSES, base.probability(0) / CLASSES)
+    classes[sums["c"].to_numpy(np.int64)] += (sums["n"].to_numpy(float) + ADDED * sums["v"].to_numpy(float)) / (base.total + ADDED * (base.kinds + 1))
+    base.words = head["word"].tolist()
+    base.shares = np.append(base.probability(head["n"].to_numpy(float)), classes)
+    return base
+
+
+class _Symbols(dict):
+    """Symbol of each word; digests of words that aren't symbols are kept while there is room."""
+
+    def __init__(self, base: Base):
+        super().__init__((w.encode(), i) for i, w in enumerate(base.words))
+        self.own, self.classes, self.room = len(base.words), len(base.shares) - len(base.words), len(base.words) + 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.own + zlib.crc32(word) % self.classes
+        if len(self) < self.room:
+            self[word] = found
+        return found
 
 
 class Model:
-    """start (states), move (states, states), emit (symbols, states) and what maps words to symbols."""
+    """start (states), move (states, states) and emit (symbols, states)."""
 
     def __init__(self, base: Base, states: int):
-        self.base, self.shares = base, base.shares
-        noise = np.random.default_rng(8).random((len(self.shares), states))
-        self.emit = self.shares[:, None] * (0.5 + noise)
+        self.base = base
+        noise = np.random.default_rng(8).random((len(base.shares), states))
+        self.emit = base.shares[:, None] * (0.5 + noise)
         self.emit /= self.emit.sum(axis=0)
         self.start = np.full(states, 1 / states)
         self.move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
 
-    def index(self) -> dict[bytes, int]:
-        return {w.encode(): i for i, w in enumerate(self.base.words)}
-
-    def updated(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
+    def updated(self, emit: np.ndarray | None, move: np.ndarray, start: np.ndarray) -> None:
         """Take expected counts over; the base gives what the counts leave open."""
-        off = np.minimum(emit, DISCOUNT)
-        emit = emit - off + (off.sum(axis=0) + 1.0) * self.shares[:, None]
-        self.emit = emit / emit.sum(axis=0)
+        if emit is not None:
+            off = np.minimum(emit, DISCOUNT)
+            emit = emit - off + (off.sum(axis=0) + 1.0) * self.base.shares[:, None]
+            self.emit = emit / emit.sum(axis=0)
         move = move + 0.5 / len(start)
         self.move = move / move.sum(axis=1, keepdims=True)
         self.start = (start + 0.5) / (start + 0.5).sum()
 
-    def resting(self) -> np.ndarray:
-        """The states' long-run shares, where a window begins inside a text."""
-        share = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            share = share @ self.move
-        return share / share.sum()
-
 
-class Counts:
-    """Expected counts of a model over the windows it is given."""
+# --- recursions over pieces of texts, all in step
+
+
+class Steps:
+    """Pieces in step: tokens lie time by time, the longest piece first, without padding."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        last = int(self.sizes[0])
+        self.active = np.searchsorted(-self.sizes, -np.arange(last), side="left")  # pieces that have a token at each time
+        self.at = np.concatenate(([0], np.cumsum(self.active)))
+        self.lane = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.active)
+        time = np.repeat(np.arange(last), self.active)
+        self.flat = (np.cumsum(sizes) - sizes)[self.order][self.lane] + time
+        self.ends = self.at[self.sizes - 1] + np.arange(len(sizes))
+
+    def ahead(self, seen: np.ndarray, move: np.ndarray, enter: np.ndarray) -> np.ndarray:
+        """Forward weights, up to a factor; enter: each piece's weights before its first emission."""
+        a = np.empty_like(seen)
+        np.multiply(enter, seen[: len(enter)], out=a[: len(enter)])
+        for t in range(1, len(self.active)):
+            m, lo, before = self.active[t], self.at[t], self.at[t - 1]
+            x = a[lo : lo + m]
+            np.matmul(a[before : before + m], move, out=x)
+            x *= seen[lo : lo + m]
+            if t % _EVERY == 0:
+                x /= x.sum(axis=1, keepdims=True)
+        return a
+
+    def behind(self, seen: np.ndarray, move: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Backward weights, up to a factor; leave: each piece's weights after its last token."""
+        b, back = np.empty_like(seen), np.ascontiguousarray(move.T)
+        for t in range(len(self.active) - 1, -1, -1):
+            m, lo = self.active[t], self.at[t]
+            more = self.active[t + 1] if t + 1 < len(self.active) else 0
+            if more:
+                after = slice(self.at[t + 1], self.at[t + 1] + more)
+                np.matmul(seen[after] * b[after], back, out=b[lo : lo + more])
+            b[lo + more : lo + m] = leave[more:m]
+            if t % _EVERY == 0:
+                x = b[lo : lo + m]
+                x /= x.sum(axis=1, keepdims=True)
+        return b
+
+    def transfer(self, seen: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's matrix from the state before it to its last state, up to the factor whose logarithm comes second; a text's first piece has no move before it."""
+        k = len(move)
+        m0 = np.where(first[:, None, None], np.eye(k), move) * seen[: len(first), None, :]
+        logs = np.zeros(len(first))
+        for t in range(1, len(self.active)):
+            m, lo = self.active[t], self.at[t]
+            x = (m0[:m].reshape(-1, k) @ move).reshape(m, k, k)
+            x *= seen[lo : lo + m, None, :]
+            if t % _EVERY == 0:
+                s = x.sum(axis=(1, 2))
+                x /= s[:, None, None]
+                logs[:m] += np.log(s)
+            m0[:m] = x
+        s = m0.sum(axis=(1, 2))
+        return m0 / s[:, None, None], logs + np.log(s)
+
+
+class Pieces:
+    """Texts (their numbers of tokens, one after another) cut into pieces, worked on in blocks of bounded size."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.texts = sizes
+        self.number = -(-sizes // PIECE)
+        self.text = np.repeat(np.arange(len(sizes)), self.number)
+        self.begin_of = np.cumsum(self.number) - self.number
+        self.index = np.arange(len(self.text)) - self.begin_of[self.text]
+        self.sizes = np.minimum(PIECE, sizes[self.text] - self.index * PIECE)
+        self.begins = (np.cumsum(sizes) - sizes)[self.text] + self.index * PIECE
+
+    def blocks(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, Steps, np.ndarray]]:
+        """(piece numbers in step order, steps, token numbers in step order) of the chosen pieces."""
+        upto = np.cumsum(self.sizes[chosen])
+        for block in np.unique(upto // _TOKENS):
+            some = chosen[upto // _TOKENS == block]
+            steps = Steps(self.sizes[some])
+            own = some[steps.order]
+            within = np.repeat(np.arange(len(steps.active)), steps.active)
+            yield own, steps, self.begins[own][steps.lane] + within
+
+    def transfers(self, chosen: np.ndarray, emission, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix and logarithm of each chosen piece (others stay zero); emission maps token numbers to emissions."""
+        k = len(move)
+        matrices, logs = np.zeros((len(self.text), k, k)), np.zeros(len(self.text))
+        for own, steps, at in self.blocks(chosen):
+            matrices[own], logs[own] = steps.transfer(emission(at), move, self.index[own] == 0)
+        return matrices, logs
+
+    def chain(self, matrices: np.ndarray, logs: np.ndarray, start: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights after each piece of `texts`, scaled to one, and the texts' log likelihoods."""
+        after, total = np.zeros((len(self.text), len(start))), np.zeros(len(self.texts))
+        texts = texts[np.argsort(-self.number[texts], kind="stable")]
+        a = np.tile(start, (len(texts), 1))
+        for i in range(int(self.number[texts].max(initial=0))):
+            m = int(np.searchsorted(-self.number[texts], -i, side="left"))
+            at = self.begin_of[texts[:m]] + i
+            a = np.einsum("ni,nij->nj", a[:m], matrices[at])
+            s = a.sum(axis=1)
+            a /= s[:, None]
+            after[at] = a
+            total[texts[:m]] += np.log(s) + logs[at]
+        return after, total
+
+    def chain_back(self, matrices: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Backward weights after each piece; one after the last of a text."""
+        k = matrices.shape[1]
+        behind = np.ones((len(self.text), k))
+        texts = texts[np.argsort(-self.number[texts], kind="stable")]
+        for i in range(int(self.number[texts].max(initial=0)) - 1, 0, -1):
+            m = int(np.searchsorted(-self.number[texts], -i, side="left"))
+            at = self.begin_of[texts[:m]] + i
+            b = np.einsum("nij,nj->ni", matrices[at], behind[at])
+            behind[at - 1] = b / b.sum(axis=1, keepdims=True)
+        return behind
+
+
+class Expected:
+    """Expected counts of a model over texts given as arrays of symbols."""
 
     def __init__(self, model: Model):
-        self.model, self.rest = model, model.resting()
-        self.emit, self.move, self.start = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
-        self.held: list[np.ndarray] = []
-        self.first: list[bool] = []
-        self.size = 0
-
-    def add(self, ids: np.ndarray) -> None:
-        for at in range(0, len(ids), WINDOW):
-            self.held.append(ids[at : at + WINDOW])
-            self.first.append(at == 0)
-        self.size += len(ids)
-        if self.size >= _TOKENS:
-            self.flush()
-
-    def flush(self) -> None:
-        if not self.held:
-            return
-        sizes = np.array([len(x) for x in self.held])
-        order = np.argsort(-sizes, kind="stable")
-        sizes, first = sizes[order], np.array(self.first)[order]
-        flat = np.concatenate([self.held[i] for i in order])
-        n, last = len(sizes), int(sizes[0])
-        time = np.concatenate([np.arange(s) for s in sizes])
-        ids = np.zeros((last, n), np.int64)
-        ids[time, np.repeat(np.arange(n), sizes)] = flat
-        active = np.searchsorted(-sizes, -np.arange(last), side="left")  # windows that have a token at each time
-        seen, move = self.model.emit[ids], self.model.move
-        ahead = np.zeros_like(seen)
-        a = np.where(first[:, None], self.model.start, self.rest) * seen[0]
-        ahead[0] = a / a.sum(axis=1, keepdims=True)
-        for t in range(1, last):
-            m = active[t]
-            a = (ahead[t - 1, :m] @ move) * seen[t, :m]
-            ahead[t, :m] = a / a.sum(axis=1, keepdims=True)
-        pairs, back = np.zeros_like(move), None
-        for t in range(last - 1, -1, -1):
-            m, more = active[t], active[t + 1] if t + 1 < last else 0
-            b = np.ones((m, len(move)))
-            if more:
-                x = seen[t + 1, :more] * back[:more]
-                b[:more] = x @ move.T
-            g = ahead[t, :m] * b
-            s = g.sum(axis=1, keepdims=True)
-            if more:
-                pairs += (ahead[t, :more] / s[:more]).T @ x
-            back = b / s
-            ahead[t, :m] = g / s  # from here on the state's probability given the window
-        self.move += pairs * move
-        self.start += ahead[0][first].sum(axis=0)
-        gamma = ahead[time, np.repeat(np.arange(n), sizes)]
-        for k in range(gamma.shape[1]):
-            self.emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=len(self.emit))
-        self.held, self.first, self.size = [], [], 0
+        self.model, k = model, len(model.start)
+        self.move, self.start = np.zeros((k, k)), np.zeros(k)
+
+    def of(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(token numbers, probabilities of their states) in blocks; adds up moves and starts."""
+        model, pieces = self.model, Pieces(sizes)
+        emission = lambda at: model.emit[ids[at]]
+        long = np.flatnonzero(pieces.number > 1)
+        ends, behind = np.zeros((len(pieces.text), len(model.start))), np.ones((len(pieces.text), len(model.start)))
+        if len(long):
+            matrices, logs = pieces.transfers(np.flatnonzero(pieces.number[pieces.text] > 1), emission, model.move)
+            ends, _ = pieces.chain(matrices, logs, model.start, long)
+            behind = pieces.chain_back(matrices, long)
+        for own, steps, at in pieces.blocks(np.arange(len(pieces.text))):
+            first = pieces.index[own] == 0
+            before = ends[own - 1]  # of a text's first piece it isn't used
+            seen = emission(at)
+            a = steps.ahead(seen, model.move, np.where(first[:, None], model.start, before @ model.move))
+            b = steps.behind(seen, model.move, behind[own])
+            gamma = a * b
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            n = len(own)
+            self.start += gamma[:n][first].sum(axis=0)
+            seen *= b
+            for prev, x in ((before[~first], seen[:n][~first]), (a[np.arange(n, len(a)) - np.repeat(steps.active[:-1], steps.active[1:])], seen[n:])):
+                z = ((prev @ model.move) * x).sum(axis=1, keepdims=True)
+                self.move += (prev / z).T @ x * model.move
+            yield at, gamma
+
+
+def _fixed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.rint(x * _UNIT).astype(np.int64))
+
+
+def _encoded(train: DataFrame, base: Base) -> DataFrame:
+    """(symbols binary: two bytes a token) of every row of `train` (one text column), stored."""
+    shared = train.sparkSession.sparkContext.broadcast(base)
 
+    def step(batches):
+        symbols = _Symbols(shared.value)
+        for batch in batches:
+            made = [np.array([symbols[w] for words in tokens(raw) for w in words], np.uint16).tobytes() for raw in raw_texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["symbols"])
 
-def _symbols(raw: bytes, index: dict[bytes, int], tail: int) -> tuple[list[bytes], np.ndarray]:
-    words = tokens(raw)
-    return words, np.array([index.get(w, tail) for w in words], np.int64)
+    return cut(map_columns(train, step, "symbols binary"))
 
 
-def _pass(train: DataFrame, model: Model) -> None:
-    """One Baum-Welch pass over all of `train`."""
-    shared, states = train.sparkSession.sparkContext.broadcast(model), len(model.start)
+def _grouped(items: Iterator, size) -> Iterator[list]:
+    """Lists of items of about `_TOKENS` tokens."""
+    held, n = [], 0
+    for x in items:
+        held.append(x)
+        n += size(x)
+        if n >= _TOKENS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _pass(encoded: DataFrame, model: Model) -> None:
+    """One Baum-Welch pass over all of `encoded`.
+
+    Splits are drawn together into a number of tasks set by the cluster, so
+    what they send doesn't grow with the corpus.
+    """
+    context = encoded.sparkSession.sparkContext
+    shared, states = context.broadcast(model), len(model.start)
     names = ["kind", "symbol", *[f"c{k}" for k in range(states)]]
 
     def step(batches):
-        counts = Counts(shared.value)
-        index, tail = shared.value.index(), len(shared.value.base.words)
-        for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                counts.add(_symbols(raw, index, tail)[1])
-        counts.flush()
-        for kind, rows in enumerate((counts.emit, counts.move, counts.start[None])):
+        sums, emit = Expected(shared.value), np.zeros_like(shared.value.emit)
+        texts = (np.frombuffer(x, np.uint16) for batch in batches for x in batch.column(0).to_pylist())
+        for held in _grouped(texts, len):
+            ids = np.concatenate(held)
+            for at, gamma in sums.of(ids, np.array([len(x) for x in held])):
+                for k in range(states):
+                    emit[:, k] += np.bincount(ids[at], weights=gamma[:, k], minlength=len(emit))
+        for kind, rows in enumerate((emit, sums.move, sums.start[None])):
             at = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), *[pa.array(rows[at, k], pa.float64()) for k in range(states)]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), *[_fixed(rows[at, k]) for k in range(states)]], names)
 
-    columns = ", ".join(f"c{k} double" for k in range(states))
-    parts = map_columns(train.select("text"), step, f"kind int, symbol int, {columns}")
+    columns = ", ".join(f"c{k} long" for k in range(states))
+    parts = map_columns(encoded.coalesce(max(32, 4 * context.defaultParallelism)), step, f"kind int, symbol int, {columns}")
     sums = parts.groupBy("kind", "symbol").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(states)]).toPandas()
     out = [np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros((1, states))]
     for kind, rows in sums.groupby("kind"):
-        out[kind][rows["symbol"].to_numpy()] = rows[[f"c{k}" for k in range(states)]].to_numpy()
+        out[kind][rows["symbol"].to_numpy()] = rows[[f"c{k}" for k in range(states)]].to_numpy(float) / _UNIT
     model.updated(out[0], out[1], out[2][0])
     shared.unpersist()
 
 
-def fit(train: DataFrame, counts: DataFrame, states: int = STATES, passes: int = PASSES) -> Model:
-    """Learn from the text column of `train` and its token counts (see `count_tokens`)."""
+def _word_counts(train: DataFrame, model: Model) -> DataFrame:
+    """(word, n, c0, c1, ... in units of 2^-20): the tokens of every training word and their expected states, stored."""
+    shared, states = train.sparkSession.sparkContext.broadcast(model), len(model.start)
+    names = ["word", "n", *[f"c{k}" for k in range(states)]]
+
+    def step(batches):
+        symbols, sums = _Symbols(shared.value.base), Expected(shared.value)
+        kinds: dict[bytes, int] = {}
+        number = np.zeros(0, np.int64)
+        counts = np.zeros((0, states))
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in kinds], pa.string()), pa.array(number), *[_fixed(counts[:, k]) for k in range(states)]], names)
+
+        def read():
+            for batch in batches:
+                for raw in raw_texts(batch.column(0)):
+                    ids, own = [], []
+                    for words in tokens(raw):
+                        ids.append(np.array([symbols[w] for w in words], np.uint16))
+                        own.append(np.array([kinds.setdefault(w, len(kinds)) for w in words], np.int32))
+                    yield np.concatenate(ids), np.concatenate(own)
+
+        for held in _grouped(read(), lambda x: len(x[0])):
+            ids, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            more = len(kinds) - len(number)
+            number, counts = np.append(number, np.zeros(more, np.int64)), np.vstack([counts, np.zeros((more, states))])
+            number += np.bincount(own, minlength=len(number))
+            for at, gamma in sums.of(ids, np.array([len(x[0]) for x in held])):
+                for k in range(states):
+                    counts[:, k] += np.bincount(own[at], weights=gamma[:, k], minlength=len(counts))
+            if len(kinds) > _HELD:
+                yield out()
+                kinds.clear()
+                number, counts = np.zeros(0, np.int64), np.zeros((0, states))
+        if kinds:
+            yield out()
+
+    columns = ", ".join(f"c{k} long" for k in range(states))
+    parts = map_columns(train, step, f"word string, n long, {columns}")
+    found = cut(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]]))
+    shared.unpersist()
+    return found
+
+
+@dataclasses.dataclass
+class Language:
+    """What scoring needs: totals, start, move, and by state the sum of expected counts and what discounting leaves for the base; words stays in the cluster."""
+
+    total: int
+    kinds: int
+    start: np.ndarray
+    move: np.ndarray
+    mass: np.ndarray
+    spare: np.ndarray
+    words: DataFrame
+
+    def emissions(self, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Base probabilities and emissions of words with these counts; n and c are 0 for unknown words."""
+        return _emissions(self.total, self.kinds, self.mass, self.spare, n, c)
+
+
+def _emissions(total, kinds, mass, spare, n, c):
+    base = (n + ADDED) / (total + ADDED * (kinds + 1))
+    return base, (c - np.minimum(c, DISCOUNT) + spare * base[:, None]) / (mass + 1.0)
+
+
+def fit(train: DataFrame, states: int = STATES, passes: int = PASSES) -> Language:
+    """Learn from all rows of `train` (one text column)."""
+    context = train.sparkSession.sparkContext
+    counts = cut(count_tokens(train))
     model = Model(fit_base(counts), states)
+    encoded = _encoded(train, model.base)
     for _ in range(passes):
-        _pass(train, model)
-        train.sparkSession.sparkContext._jvm.System.gc()  # else all passes' shuffle files stay until the driver happens to collect its garbage
-    return model
-
-
-def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log likelihoods of whole symbol sequences, by the scaled forward recursion, all in step."""
-    sizes = np.array([len(x) for x in sequences])
-    order = np.argsort(-sizes, kind="stable")
-    flat, sizes = np.concatenate([sequences[i] for i in order]), sizes[order]
-    begins = np.cumsum(sizes) - sizes
-    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-    total, a = np.zeros(len(sizes)), model.start
-    for t in range(sizes[0]):
-        m = active[t]
-        a = (a[:m] @ model.move if t else a) * model.emit[flat[begins[:m] + t]]
-        s = a.sum(axis=1)
-        total[:m] += np.log(s)
-        a = a / s[:, None]
-    out = np.empty(len(sizes))
-    out[order] = total
-    return out
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        _pass(encoded, model)
+        context._jvm.System.gc()  # else all passes' shuffle files stay until the driver happens to collect its garbage
+    words = _word_counts(train, model)
+    c = [F.col(f"c{k}") / _UNIT for k in range(states)]
+    r = words.agg(*[F.sum(x) for x in c], *[F.sum(F.least(x, F.lit(DISCOUNT))) for x in c]).first()
+    sums = np.array([x or 0.0 for x in r])
+    return Language(model.base.total, model.base.kinds, model.start, model.move, sums[:states], sums[states:] + 1.0, words)
+
+
+def log_likelihoods(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Natural log likelihoods of whole texts, by the scaled forward recursion; emissions: those of all tokens, text by text."""
+    pieces = Pieces(sizes)
+    matrices, logs = pieces.transfers(np.arange(len(pieces.text)), lambda at: emissions[at], move)
+    return pieces.chain(matrices, logs, start, np.arange(len(sizes)))[1]
+
+
+def _level(n):
+    """Sixteenths of a doubling: counts fall into under 1024 levels."""
+    return F.floor(F.log2(n) * 16)
+
+
+def _travelling(words: DataFrame):
+    """The most frequent words with their counts, whole levels of counts and `TRAVELLING` words at most; and the least level among them."""
+    levels = words.groupBy(_level("n").alias("level")).count().collect()
+    room, least = TRAVELLING, 1 << 20
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], int(r["level"])
+    return words.where(_level("n") >= least).toPandas(), least
+
+
+def score(docs: DataFrame, language: Language, keep: list[str], text_col: str = "text") -> DataFrame:
     """`keep` columns of `docs`, then n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    Null text: as the empty text, whose one token is the end. Repeated rows
-    repeat. Words that training has not seen count as one unknown word.
-    Very long texts are scored whole. Empty table: empty result.
+    Null text: as the empty text, whose one token is the end. Null ids and
+    other nulls in `keep` stay as they are. Repeated rows repeat. Words that
+    training has not seen count as one unknown word. Very long texts are scored
+    whole. Empty table: empty result. A kept column named like a new one makes
+    way for it, in any case.
     """
-    row = "__hmm_row"
-    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
-    rows = docs.select(F.col(text_col).alias("__hmm_text"), F.monotonically_increasing_id().alias(row), *keep)
-    shared, total = docs.sparkSession.sparkContext.broadcast(model), model.base.total
-
-    def step(batches):
-        known = shared.value
-        index, tail = known.index(), len(known.base.words)
-        logs = np.log10(known.shares)
-        logs[tail] = 0.0
+    states = len(language.start)
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = [c for c in keep if c.lower() not in made]
+    inner = [f"__k{i}" for i in range(len(keep))]
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)])
+    frame, least = _travelling(language.words)
+    counts = frame[[f"c{k}" for k in range(states)]].to_numpy(float) / _UNIT
+    order = np.argsort(-frame["n"].to_numpy(), kind="stable")
+    held = (frame["word"].to_numpy()[order].tolist(), frame["n"].to_numpy(float)[order], counts[order])
+    rule = (language.total, language.kinds, language.mass, language.spare)
+    context = docs.sparkSession.sparkContext
+    # a token's number in 24 bits; the last number marks words to be joined
+    named, measured = context.broadcast(held[0]), context.broadcast((*held[1:], rule, language.start, language.move))
+    joined_word = (1 << 24) - 1
+
+    def number(batches):
+        known = {w.encode(): i for i, w in enumerate(named.value)}
         for batch in batches:
-            at, texts = 0, raw_texts(batch.column(0))
-            while at < len(texts):
-                begin, size, sequences, rare, base = at, 0, [], [], []
-                while at < len(texts) and size < 2 * _TOKENS:
-                    words, ids = _symbols(texts[at], index, tail)
-                    sequences.append(ids)
-                    rare.append([words[i].decode("utf-8", "replace") for i in np.flatnonzero(ids == tail)])
-                    base.append(logs[ids].sum())
-                    size, at = size + len(ids), at + 1
-                own = [c.slice(begin, at - begin) for c in batch.columns[1:]]
-                made = [pa.array([len(x) for x in sequences], pa.int64()), pa.array(base, pa.float64()), pa.array(forward(known, sequences) / np.log(10), pa.float64()), pa.array(rare, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*own, *made], [row, *keep, "__hmm_n", "__hmm_base", "__hmm_score", "__hmm_rare"])
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in [(row, "long"), *kinds, ("__hmm_n", "long"), ("__hmm_base", "double"), ("__hmm_score", "double"), ("__hmm_rare", "array<string>")])
-    scored = cut(rows.mapInArrow(step, schema))
-    bottom = float(model.base.total + ADDED * (model.base.kinds + 1))
-    share = float(model.shares[-1])
-    rare = scored.select(row, F.explode("__hmm_rare").alias("word"))
-    found = rare.join(counts.where(_level("n") < model.base.level), "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / bottom)
-    sums = found.groupBy(row).agg(F.sum(log).alias("__hmm_log"), F.count("*").alias("__hmm_tail"), F.count("n").alias("__hmm_seen"))
-    joined = scored.drop("__hmm_rare").join(sums, row, "left").na.fill(0, ["__hmm_log", "__hmm_tail", "__hmm_seen"])
-    return joined.select(
-        *keep,
-        F.col("__hmm_n").alias("n_tokens"),
-        (F.col("__hmm_n") - F.col("__hmm_tail") + F.col("__hmm_seen")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("__hmm_base") + F.col("__hmm_log")).alias("base_score"),
-        (F.col("__hmm_score") + F.col("__hmm_log") - F.col("__hmm_tail") * float(np.log10(share))).alias("score"),
-    )
+            sizes, low, high, rare = [], [], [], []
+            for raw in raw_texts(batch.column(0)):
+                parts, missing, n = [], [], 0
+                for words in tokens(raw):
+                    ids = np.array([known.get(w, joined_word) for w in words], np.int32)
+                    for i in np.flatnonzero(ids == joined_word).tolist():
+                        missing.append((n + i, words[i].decode("utf-8", "replace")))
+                    parts.append(ids)
+                    n += len(ids)
+                ids = np.concatenate(parts)
+                sizes.append(n)
+                low.append((ids & 0xFFFF).astype(np.uint16).tobytes())
+                high.append((ids >> 16).astype(np.uint8).tobytes())
+                rare.append([{"at": i, "word": w} for i, w in missing])
+            new = [pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(rare, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], ["__row", *inner, "n_tokens", "__low", "__high", "__rare"])
+
+    own = ", ".join(["__row long", *[f"{k} {t}" for k, t in zip(inner, kinds, strict=True)], "n_tokens long, __low binary, __high binary"])
+    numbered = cut(rows.mapInArrow(number, f"{own}, __rare array<struct<at: int, word: string>>"))
+    rare = numbered.select("__row", F.explode("__rare").alias("r")).select("__row", "r.at", "r.word")
+    found = rare.join(language.words.where(_level("n") < least), "word")
+    lists = found.groupBy("__row").agg(F.collect_list(F.struct("at", "n", *[f"c{k}" for k in range(states)])).alias("__found"))
+    whole = numbered.drop("__rare").join(lists, "__row", "left")
+
+    def likelihood(batches):
+        n_of, c_of, rule, start, move = measured.value
+        base_of, emit_of = _emissions(*rule, np.append(n_of, 0.0), np.vstack([c_of, np.zeros(states)]))  # unknown words last
+        log_of = np.log10(base_of)
+        for batch in batches:
+            names = batch.schema.names
+            low, high, sizes, lists = (batch.column(names.index(c)) for c in ("__low", "__high", "n_tokens", "__found"))
+            sizes, at = sizes.to_numpy(), 0
+            known, base, score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
+            while at < len(sizes):
+                upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), _TOKENS)))
+                ids = np.concatenate([np.frombuffer(low[i].as_py(), np.uint16).astype(np.int32) | np.frombuffer(high[i].as_py(), np.uint8).astype(np.int32) << 16 for i in range(at, upto)])
+                ids[ids == joined_word] = len(n_of)
+                emit, logs, seen = emit_of[ids], log_of[ids], ids < len(n_of)
+                begins = np.cumsum(sizes[at:upto]) - sizes[at:upto]
+                some = lists.slice(at, upto - at)
+                flat = some.flatten()
+                if len(flat):
+                    many = np.array([len(x) if x.is_valid else 0 for x in some])
+                    place = flat.field("at").to_numpy(zero_copy_only=False) + np.repeat(begins, many)
+                    c = np.column_stack([flat.field(f"c{k}").to_numpy(zero_copy_only=False) for k in range(states)]) / _UNIT
+                    b, emit[place] = _emissions(*rule, flat.field("n").to_numpy(zero_copy_only=False).astype(float), c)
+                    logs[place], seen[place] = np.log10(b), True
+                text = np.repeat(np.arange(upto - at), sizes[at:upto])
+                known[at:upto] = np.bincount(text, weights=seen, minlength=upto - at)
+                base[at:upto] = np.bincount(text, weights=logs, minlength=upto - at)
+                score[at:upto] = log_likelihoods(emit, sizes[at:upto], start, move) / np.log(10)
+                at = upto
+            new = [pa.array(known), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(k)) for k in inner], batch.column(names.index("n_tokens")), *new], [*inner, "n_tokens", "n_known", "base_score", "score"])
+
+    schema = ", ".join([*[f"{k} {t}" for k, t in zip(inner, kinds, strict=True)], "n_tokens long, n_known long, base_score double, score double"])
+    scored = whole.mapInArrow(likelihood, schema)
+    total = F.lit(language.total).cast("long").alias("train_tokens")
+    return scored.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], "n_tokens", "n_known", total, "base_score", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -314,6 +583,4 @@ def held_out(id_col: str = "doc_id"):
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document under a model of nine tenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
-    train = docs.where(~F.col("held_out")).select("text")
-    counts = cut(count_tokens(train))
-    return score(docs, fit(train, counts), counts, ["doc_id", "held_out"])
+    return score(docs, fit(docs.where(~F.col("held_out")).select("text")), ["doc_id", "held_out"])
