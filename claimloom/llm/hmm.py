@@ -4,14 +4,12 @@ The corpus gives word counts (a unigram base with additive smoothing) and a
 hidden Markov model over words, in which every word of the training texts has
 emissions of its own, however many words there are.
 
-Training is Baum-Welch over symbols. A word that makes up `SHARE` of the
-running words or more is a symbol of its own, which at most 1 / SHARE words
-are; all others are tied in `CLASSES` classes by a digest of the word. So the
-model that travels to the tasks has a proven bound that doesn't depend on the
-corpus. Each task adds up the expected counts of its texts; Spark sums them
+Training is Baum-Welch over symbols: words tied in `CLASSES` classes by a digest.
+So the model that travels to the tasks has a proven size, whatever the corpus.
+Each task adds up the expected counts of its texts; Spark sums them
 over all partitions, as fixed-point numbers, so the order of sums can't matter
 and reruns agree. The start is the base with fixed noise; every pass covers all
-training texts. One more pass unties the classes: it gathers each word's own
+training texts, and passes go on until the model has settled. One more pass unties the classes: it gathers each word's own
 expected counts by state into a table of (word, n, c0, c1, ...), which grows
 with the vocabulary and stays in the cluster.
 
@@ -26,9 +24,10 @@ word goes changes no result.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
+import warnings
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,120 +43,113 @@ from claimloom.sources.tables import table
 END = b"\n"
 #: Added to each count of the base.
 ADDED = 0.1
-#: A word of this share of all tokens or more is a symbol of its own; so there are at most 1 / SHARE such words.
-SHARE = 2.0**-15
-CLASSES = 1 << 15
+#: Symbols that words are tied in until the last pass.
+CLASSES = 1 << 16
 STATES = 4
-#: Baum-Welch passes over all training texts before the one that unties the classes.
-PASSES = 14
+#: Baum-Welch passes over all training texts go on until one moves less than this share of the emissions' mass, or up to so many.
+SETTLED, PASSES = 0.05, 60
 #: Taken off each expected emission count, and dealt out again by the base (absolute discounting).
 DISCOUNT = 0.7
 #: Words that travel to the scoring tasks; the rest is joined. No result depends on it.
-TRAVELLING = 1 << 17
+TRAVELLING = 160_000
 #: Tokens of a piece, tokens that a task works on at once, and distinct words that it holds before passing them on.
-PIECE, _TOKENS, _HELD = 1024, 500_000, 300_000
+PIECE, _TOKENS, _HELD = 256, 200_000, 200_000
 #: Expected counts are summed in units of 2^-20.
 _UNIT = 1 << 20
-#: Steps between two scalings; emissions are above 1e-20, so 8 of them stay far from the least double.
-_EVERY = 8
-_CHUNK = 1 << 20
+#: Steps between two scalings of weights.
+_EVERY = 4
+_CHUNK, _BLOCK = 1 << 18, 1 << 14
 _GAP = re.compile(rb"[ \t-\r]")
 
 
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_IS_GAP = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2^64."""
+    if not _POWERS:
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            powers = np.full(2 * _CHUNK + 2, base, np.uint64)
+            powers[0] = 1
+            _POWERS.append(np.cumprod(powers))
+    return _POWERS
+
+
+def symbols_of(raw: bytes) -> np.ndarray:
+    """The symbol of each token of a text: its class by a polynomial digest of its lower-cased bytes (a checksum beyond `_CHUNK` of them), and 0 for the end."""
+    out = []
+    up, down = _powers()
+    for part in _parts(raw):
+        last = b""
+        if len(part) > 2 * _CHUNK:  # an unbroken run is at its end
+            words = part.split()
+            part, last = part[: part.rindex(words[-1])], words[-1].lower()
+        x = _LOWER[np.frombuffer(part, np.uint8)]
+        inside = np.zeros(len(x) + 2, np.int8)
+        inside[1:-1] = ~_IS_GAP[x]
+        edges = np.flatnonzero(np.diff(inside))
+        begin, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * down[begin]
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        found = (h >> np.uint64(48)).astype(np.uint16)
+        for i in np.flatnonzero(end - begin > _CHUNK).tolist():
+            found[i] = zlib.crc32(x[begin[i] : end[i]].tobytes()) % CLASSES
+        out.append(found)
+        if last:
+            out.append(np.array([zlib.crc32(last) % CLASSES], np.uint16))
+    return np.concatenate([*out, np.zeros(1, np.uint16)])
+
+
+def _numbered(numbers: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+
+
 def tokens(raw: bytes) -> Iterator[list[bytes]]:
     """The tokens of a text, in lists of bounded length."""
+    for part in _parts(raw):
+        yield part.lower().split()
+    yield [END]
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text cut at gaps; a part is longer than `_CHUNK` only by the rest of a word."""
     at = 0
     while len(raw) - at > _CHUNK:
         gap = _GAP.search(raw, at + _CHUNK)
         if gap is None:
             break
-        yield raw[at : gap.start()].lower().split()
+        yield raw[at : gap.start()]
         at = gap.end()
-    yield [*raw[at:].lower().split(), END]
+    yield raw[at:]
 
 
-def count_tokens(train: DataFrame) -> DataFrame:
-    """(word, n) over all rows of `train` (one text column)."""
-
-    def step(batches):
-        def out(counts):
-            words = pa.array([w.decode("utf-8", "replace") for w in counts], pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                for words in tokens(raw):
-                    counts.update(words)
-                    if len(counts) > _HELD:
-                        yield out(counts)
-                        counts = Counter()
-        if counts:
-            yield out(counts)
-
-    return map_columns(train, step, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclasses.dataclass
-class Base:
-    """total N, kinds V, the words that are symbols of their own, and the base's share of each symbol, classes last."""
-
-    total: int
-    kinds: int
-    words: list[str]
-    shares: np.ndarray
-
-    def probability(self, count):
-        return (count + ADDED) / (self.total + ADDED * (self.kinds + 1))
-
-
-def fit_base(counts: DataFrame) -> Base:
-    """From all token counts; what comes to the driver is bounded by 1 / SHARE + CLASSES rows."""
-    r = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    base = Base(int(r.n or 0), int(r.v or 0), [], np.zeros(0))
-    own = counts.where((F.col("n") >= SHARE * base.total) & (F.col("n") > 0))
-    head = own.select("word", "n").toPandas().sort_values("word")
-    rest = counts.where(F.col("n") < SHARE * base.total)
-    sums = rest.groupBy((F.crc32("word") % CLASSES).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    classes = np.full(CLASSES, base.probability(0) / CLASSES)
-    classes[sums["c"].to_numpy(np.int64)] += (sums["n"].to_numpy(float) + ADDED * sums["v"].to_numpy(float)) / (base.total + ADDED * (base.kinds + 1))
-    base.words = head["word"].tolist()
-    base.shares = np.append(base.probability(head["n"].to_numpy(float)), classes)
-    return base
-
-
-class _Symbols(dict):
-    """Symbol of each word; digests of words that aren't symbols are kept while there is room."""
-
-    def __init__(self, base: Base):
-        super().__init__((w.encode(), i) for i, w in enumerate(base.words))
-        self.own, self.classes, self.room = len(base.words), len(base.shares) - len(base.words), len(base.words) + 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.own + zlib.crc32(word) % self.classes
-        if len(self) < self.room:
-            self[word] = found
-        return found
+def _total(x: np.ndarray) -> np.ndarray:
+    """Each row's sum, in every column; a product is faster than a sum over few columns."""
+    return x @ np.ones((x.shape[1], x.shape[1]), x.dtype)
 
 
 class Model:
-    """start (states), move (states, states) and emit (symbols, states)."""
+    """start (states), move (states, states) and emit (symbols, states), from `shares`, the base's share of each symbol."""
 
-    def __init__(self, base: Base, states: int):
-        self.base = base
-        noise = np.random.default_rng(8).random((len(base.shares), states))
-        self.emit = base.shares[:, None] * (0.5 + noise)
+    def __init__(self, shares: np.ndarray, states: int):
+        self.shares = shares
+        noise = np.random.default_rng(8).gamma(0.3, size=(len(shares), states))
+        self.emit = shares[:, None] * (0.01 + noise)
         self.emit /= self.emit.sum(axis=0)
         self.start = np.full(states, 1 / states)
-        self.move = np.full((states, states), 0.1 / max(1, states - 1))
-        np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
+        self.move = np.full((states, states), 0.02 / max(1, states - 1))
+        np.fill_diagonal(self.move, 0.98 if states > 1 else 1.0)
 
-    def updated(self, emit: np.ndarray | None, move: np.ndarray, start: np.ndarray) -> None:
+    def updated(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
         """Take expected counts over; the base gives what the counts leave open."""
-        if emit is not None:
-            off = np.minimum(emit, DISCOUNT)
-            emit = emit - off + (off.sum(axis=0) + 1.0) * self.base.shares[:, None]
-            self.emit = emit / emit.sum(axis=0)
+        off = np.minimum(emit, DISCOUNT)
+        emit = emit - off + (off.sum(axis=0) + 1.0) * self.shares[:, None]
+        self.emit = emit / emit.sum(axis=0)
         move = move + 0.5 / len(start)
         self.move = move / move.sum(axis=1, keepdims=True)
         self.start = (start + 0.5) / (start + 0.5).sum()
@@ -182,20 +174,20 @@ class Steps:
 
     def ahead(self, seen: np.ndarray, move: np.ndarray, enter: np.ndarray) -> np.ndarray:
         """Forward weights, up to a factor; enter: each piece's weights before its first emission."""
-        a = np.empty_like(seen)
-        np.multiply(enter, seen[: len(enter)], out=a[: len(enter)])
+        a, move = np.empty_like(seen), move.astype(seen.dtype)
+        np.multiply(enter, seen[: len(enter)], out=a[: len(enter)], casting="same_kind")
         for t in range(1, len(self.active)):
             m, lo, before = self.active[t], self.at[t], self.at[t - 1]
             x = a[lo : lo + m]
             np.matmul(a[before : before + m], move, out=x)
             x *= seen[lo : lo + m]
             if t % _EVERY == 0:
-                x /= x.sum(axis=1, keepdims=True)
+                x /= _total(x)
         return a
 
     def behind(self, seen: np.ndarray, move: np.ndarray, leave: np.ndarray) -> np.ndarray:
         """Backward weights, up to a factor; leave: each piece's weights after its last token."""
-        b, back = np.empty_like(seen), np.ascontiguousarray(move.T)
+        b, back = np.empty_like(seen), np.ascontiguousarray(move.T.astype(seen.dtype))
         for t in range(len(self.active) - 1, -1, -1):
             m, lo = self.active[t], self.at[t]
             more = self.active[t + 1] if t + 1 < len(self.active) else 0
@@ -205,13 +197,13 @@ class Steps:
             b[lo + more : lo + m] = leave[more:m]
             if t % _EVERY == 0:
                 x = b[lo : lo + m]
-                x /= x.sum(axis=1, keepdims=True)
+                x /= _total(x)
         return b
 
     def transfer(self, seen: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each piece's matrix from the state before it to its last state, up to the factor whose logarithm comes second; a text's first piece has no move before it."""
-        k = len(move)
-        m0 = np.where(first[:, None, None], np.eye(k), move) * seen[: len(first), None, :]
+        k, move = len(move), move.astype(seen.dtype)
+        m0 = np.where(first[:, None, None], np.eye(k, dtype=seen.dtype), move) * seen[: len(first), None, :]
         logs = np.zeros(len(first))
         for t in range(1, len(self.active)):
             m, lo = self.active[t], self.at[t]
@@ -289,12 +281,14 @@ class Expected:
 
     def __init__(self, model: Model):
         self.model, k = model, len(model.start)
+        # a factor of each word changes no expected count and keeps single precision in range
+        self.emit = (model.emit / model.emit.max(axis=1, keepdims=True)).astype(np.float32)
         self.move, self.start = np.zeros((k, k)), np.zeros(k)
 
     def of(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(token numbers, probabilities of their states) in blocks; adds up moves and starts."""
         model, pieces = self.model, Pieces(sizes)
-        emission = lambda at: model.emit[ids[at]]
+        emission = lambda at: np.take(self.emit, np.take(ids, at), axis=0)
         long = np.flatnonzero(pieces.number > 1)
         ends, behind = np.zeros((len(pieces.text), len(model.start))), np.ones((len(pieces.text), len(model.start)))
         if len(long):
@@ -307,34 +301,50 @@ class Expected:
             seen = emission(at)
             a = steps.ahead(seen, model.move, np.where(first[:, None], model.start, before @ model.move))
             b = steps.behind(seen, model.move, behind[own])
-            gamma = a * b
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            n = len(own)
-            self.start += gamma[:n][first].sum(axis=0)
             seen *= b
-            for prev, x in ((before[~first], seen[:n][~first]), (a[np.arange(n, len(a)) - np.repeat(steps.active[:-1], steps.active[1:])], seen[n:])):
-                z = ((prev @ model.move) * x).sum(axis=1, keepdims=True)
-                self.move += (prev / z).T @ x * model.move
-            yield at, gamma
+            n = len(own)
+            last = np.arange(n, len(a)) - np.repeat(steps.active[:-1], steps.active[1:])
+            for prev, x in ((before[~first], seen[:n][~first]), (np.take(a, last, axis=0), seen[n:])):
+                prev = prev / _total((prev @ model.move.astype(x.dtype)) * x)
+                self.move += prev.T @ x * model.move
+            a *= b
+            a /= _total(a)
+            self.start += a[:n][first].sum(axis=0, dtype=np.float64)
+            yield at, a
 
 
-def _fixed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.rint(x * _UNIT).astype(np.int64))
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * _UNIT).astype(np.int64)
 
 
-def _encoded(train: DataFrame, base: Base) -> DataFrame:
+def _encoded(train: DataFrame) -> DataFrame:
     """(symbols binary: two bytes a token) of every row of `train` (one text column), stored."""
-    shared = train.sparkSession.sparkContext.broadcast(base)
 
     def step(batches):
-        symbols = _Symbols(shared.value)
         for batch in batches:
-            made = [np.array([symbols[w] for words in tokens(raw) for w in words], np.uint16).tobytes() for raw in raw_texts(batch.column(0))]
+            made = [symbols_of(raw).tobytes() for raw in raw_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["symbols"])
 
     return cut(map_columns(train, step, "symbols binary"))
 
 
+def _shares(encoded: DataFrame) -> np.ndarray:
+    """The smoothed share of each symbol among all tokens."""
+
+    def step(batches):
+        counts = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                counts += np.bincount(np.frombuffer(x, np.uint16), minlength=CLASSES) if len(x) > CLASSES else 0
+                if len(x) <= CLASSES:
+                    np.add.at(counts, np.frombuffer(x, np.uint16), 1)
+        yield from _blocks(counts)
+
+    counts = _summed(map_columns(_gathered(encoded), step, "block int, sums binary")).astype(float)
+    counts = (counts if len(counts) else np.zeros(CLASSES)) + 1.0
+    return counts / counts.sum()
+
+
 def _grouped(items: Iterator, size) -> Iterator[list]:
     """Lists of items of about `_TOKENS` tokens."""
     held, n = [], 0
@@ -348,15 +358,30 @@ def _grouped(items: Iterator, size) -> Iterator[list]:
         yield held
 
 
-def _pass(encoded: DataFrame, model: Model) -> None:
-    """One Baum-Welch pass over all of `encoded`.
+def _gathered(encoded: DataFrame) -> DataFrame:
+    """Splits drawn together into a number of tasks set by the cluster, so that what tasks send doesn't grow with the corpus."""
+    return encoded.coalesce(max(32, 4 * encoded.sparkSession.sparkContext.defaultParallelism))
 
-    Splits are drawn together into a number of tasks set by the cluster, so
-    what they send doesn't grow with the corpus.
-    """
-    context = encoded.sparkSession.sparkContext
-    shared, states = context.broadcast(model), len(model.start)
-    names = ["kind", "symbol", *[f"c{k}" for k in range(states)]]
+
+def _blocks(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    starts = range(0, len(flat), _BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array(list(range(len(starts))), pa.int32()), pa.array([flat[i : i + _BLOCK].tobytes() for i in starts], pa.binary())], ["block", "sums"])
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sums, as one array, of blocks (block, sums binary: 64-bit integers) that tasks have sent."""
+
+    def step(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("sums").to_pylist())
+        return pa.table({"block": group.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = parts.groupBy("block").applyInArrow(step, "block int, sums binary").collect()
+    return np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, np.int64)
+
+
+def _pass(encoded: DataFrame, model: Model) -> float:
+    """One Baum-Welch pass over all of `encoded`; returns the share of the emissions' mass that it has moved."""
+    shared, states = encoded.sparkSession.sparkContext.broadcast(model), len(model.start)
 
     def step(batches):
         sums, emit = Expected(shared.value), np.zeros_like(shared.value.emit)
@@ -364,56 +389,66 @@ def _pass(encoded: DataFrame, model: Model) -> None:
         for held in _grouped(texts, len):
             ids = np.concatenate(held)
             for at, gamma in sums.of(ids, np.array([len(x) for x in held])):
+                own = np.take(ids, at)
                 for k in range(states):
-                    emit[:, k] += np.bincount(ids[at], weights=gamma[:, k], minlength=len(emit))
-        for kind, rows in enumerate((emit, sums.move, sums.start[None])):
-            at = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), *[_fixed(rows[at, k]) for k in range(states)]], names)
+                    emit[:, k] += np.bincount(own, weights=gamma[:, k], minlength=len(emit))
+        yield from _blocks(_fixed(np.concatenate([emit.ravel(), sums.move.ravel(), sums.start])))
 
-    columns = ", ".join(f"c{k} long" for k in range(states))
-    parts = map_columns(encoded.coalesce(max(32, 4 * context.defaultParallelism)), step, f"kind int, symbol int, {columns}")
-    sums = parts.groupBy("kind", "symbol").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(states)]).toPandas()
-    out = [np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros((1, states))]
-    for kind, rows in sums.groupby("kind"):
-        out[kind][rows["symbol"].to_numpy()] = rows[[f"c{k}" for k in range(states)]].to_numpy(float) / _UNIT
-    model.updated(out[0], out[1], out[2][0])
+    sums = _summed(map_columns(_gathered(encoded), step, "block int, sums binary")) / _UNIT
     shared.unpersist()
+    before, n = model.emit, model.emit.size
+    if not len(sums):
+        return 0.0
+    model.updated(sums[:n].reshape(model.emit.shape), sums[n : n + states * states].reshape(states, states), sums[n + states * states :])
+    return float(np.abs(model.emit - before).sum(axis=0).mean() / 2)
+
+
+def _symbols_of_words(words: list[bytes]) -> np.ndarray:
+    """The symbol of each word, one of which may be the end."""
+    end = words.index(END) if END in words else len(words)
+    found = symbols_of(b" ".join(words[:end] + words[end + 1 :]))  # the end's symbol comes last
+    return np.insert(found[:-1], end, 0) if end < len(words) else found[:-1]
+
+
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return len(self) - 1
 
 
 def _word_counts(train: DataFrame, model: Model) -> DataFrame:
-    """(word, n, c0, c1, ... in units of 2^-20): the tokens of every training word and their expected states, stored."""
+    """Words (word, n, c0, c1, ... in units of 2^-20), stored: the tokens of every training word and their expected states."""
     shared, states = train.sparkSession.sparkContext.broadcast(model), len(model.start)
     names = ["word", "n", *[f"c{k}" for k in range(states)]]
 
     def step(batches):
-        symbols, sums = _Symbols(shared.value.base), Expected(shared.value)
-        kinds: dict[bytes, int] = {}
-        number = np.zeros(0, np.int64)
-        counts = np.zeros((0, states))
+        sums = Expected(shared.value)
+        kinds, symbol_of = _Numbers(), np.zeros(0, np.int64)
+        number, counts = np.zeros(0, np.int64), np.zeros((0, states))
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in kinds], pa.string()), pa.array(number), *[_fixed(counts[:, k]) for k in range(states)]], names)
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in kinds], pa.string()), pa.array(number), *[pa.array(_fixed(counts[:, k])) for k in range(states)]], names)
 
         def read():
             for batch in batches:
                 for raw in raw_texts(batch.column(0)):
-                    ids, own = [], []
-                    for words in tokens(raw):
-                        ids.append(np.array([symbols[w] for w in words], np.uint16))
-                        own.append(np.array([kinds.setdefault(w, len(kinds)) for w in words], np.int32))
-                    yield np.concatenate(ids), np.concatenate(own)
-
-        for held in _grouped(read(), lambda x: len(x[0])):
-            ids, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            more = len(kinds) - len(number)
-            number, counts = np.append(number, np.zeros(more, np.int64)), np.vstack([counts, np.zeros((more, states))])
-            number += np.bincount(own, minlength=len(number))
-            for at, gamma in sums.of(ids, np.array([len(x[0]) for x in held])):
+                    yield np.concatenate([_numbered(kinds, words) for words in tokens(raw)])
+
+        for held in _grouped(read(), len):
+            own = np.concatenate(held)
+            fresh = list(itertools.islice(kinds, len(symbol_of), None))
+            symbol_of = np.append(symbol_of, _symbols_of_words(fresh))
+            number = np.append(number, np.zeros(len(fresh), np.int64)) + np.bincount(own, minlength=len(kinds))
+            counts = np.vstack([counts, np.zeros((len(fresh), states))])
+            for at, gamma in sums.of(symbol_of[own], np.array([len(x) for x in held])):
+                some = np.take(own, at)
                 for k in range(states):
-                    counts[:, k] += np.bincount(own[at], weights=gamma[:, k], minlength=len(counts))
+                    counts[:, k] += np.bincount(some, weights=gamma[:, k], minlength=len(counts))
             if len(kinds) > _HELD:
                 yield out()
-                kinds.clear()
+                kinds, symbol_of = _Numbers(), np.zeros(0, np.int64)
                 number, counts = np.zeros(0, np.int64), np.zeros((0, states))
         if kinds:
             yield out()
@@ -447,20 +482,27 @@ def _emissions(total, kinds, mass, spare, n, c):
     return base, (c - np.minimum(c, DISCOUNT) + spare * base[:, None]) / (mass + 1.0)
 
 
-def fit(train: DataFrame, states: int = STATES, passes: int = PASSES) -> Language:
-    """Learn from all rows of `train` (one text column)."""
+def fit(train: DataFrame, states: int = STATES, settled: float = SETTLED, passes: int = PASSES) -> Language:
+    """Learn from all rows of `train` (one text column).
+
+    Passes go on until one moves less than `settled` of the emissions' mass;
+    `passes` of them is a warning, as the model is still moving.
+    """
     context = train.sparkSession.sparkContext
-    counts = cut(count_tokens(train))
-    model = Model(fit_base(counts), states)
-    encoded = _encoded(train, model.base)
+    encoded = _encoded(train)
+    model = Model(_shares(encoded), states)
     for _ in range(passes):
-        _pass(encoded, model)
+        moved = _pass(encoded, model)
         context._jvm.System.gc()  # else all passes' shuffle files stay until the driver happens to collect its garbage
+        if moved < settled:
+            break
+    else:
+        warnings.warn(f"the model still moved {moved:.3f} of its mass in pass {passes}", stacklevel=2)
     words = _word_counts(train, model)
     c = [F.col(f"c{k}") / _UNIT for k in range(states)]
-    r = words.agg(*[F.sum(x) for x in c], *[F.sum(F.least(x, F.lit(DISCOUNT))) for x in c]).first()
-    sums = np.array([x or 0.0 for x in r])
-    return Language(model.base.total, model.base.kinds, model.start, model.move, sums[:states], sums[states:] + 1.0, words)
+    r = words.agg(F.sum("n"), F.count("*"), *[F.sum(x) for x in c], *[F.sum(F.least(x, F.lit(DISCOUNT))) for x in c]).first()
+    sums = np.array([x or 0.0 for x in r[2:]])
+    return Language(int(r[0] or 0), int(r[1]), model.start, model.move, sums[:states], sums[states:] + 1.0, words)
 
 
 def log_likelihoods(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -470,6 +512,15 @@ def log_likelihoods(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray,
     return pieces.chain(matrices, logs, start, np.arange(len(sizes)))[1]
 
 
+#: A token's number has 24 bits; the last number marks words to be joined.
+_JOINED = (1 << 24) - 1
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        return _JOINED
+
+
 def _level(n):
     """Sixteenths of a doubling: counts fall into under 1024 levels."""
     return F.floor(F.log2(n) * 16)
@@ -505,30 +556,31 @@ def score(docs: DataFrame, language: Language, keep: list[str], text_col: str =
     counts = frame[[f"c{k}" for k in range(states)]].to_numpy(float) / _UNIT
     order = np.argsort(-frame["n"].to_numpy(), kind="stable")
     held = (frame["word"].to_numpy()[order].tolist(), frame["n"].to_numpy(float)[order], counts[order])
+    del frame, counts
     rule = (language.total, language.kinds, language.mass, language.spare)
     context = docs.sparkSession.sparkContext
-    # a token's number in 24 bits; the last number marks words to be joined
     named, measured = context.broadcast(held[0]), context.broadcast((*held[1:], rule, language.start, language.move))
-    joined_word = (1 << 24) - 1
 
     def number(batches):
-        known = {w.encode(): i for i, w in enumerate(named.value)}
+        known = _Known((w.encode(), i) for i, w in enumerate(named.value))
         for batch in batches:
-            sizes, low, high, rare = [], [], [], []
+            sizes, low, high, places, missing, ends = [], [], [], [np.zeros(0, np.int64)], [], [0]
             for raw in raw_texts(batch.column(0)):
-                parts, missing, n = [], [], 0
+                parts, n = [], 0
                 for words in tokens(raw):
-                    ids = np.array([known.get(w, joined_word) for w in words], np.int32)
-                    for i in np.flatnonzero(ids == joined_word).tolist():
-                        missing.append((n + i, words[i].decode("utf-8", "replace")))
+                    ids = _numbered(known, words)
+                    rare = np.flatnonzero(ids == _JOINED)
+                    missing += [words[i] for i in rare.tolist()]
+                    places.append(rare + n)
                     parts.append(ids)
                     n += len(ids)
                 ids = np.concatenate(parts)
                 sizes.append(n)
+                ends.append(len(missing))
                 low.append((ids & 0xFFFF).astype(np.uint16).tobytes())
                 high.append((ids >> 16).astype(np.uint8).tobytes())
-                rare.append([{"at": i, "word": w} for i, w in missing])
-            new = [pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(rare, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))]
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(places), pa.int32()), pa.array(missing, pa.binary()).cast(pa.string())], ["at", "word"])
+            new = [pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], ["__row", *inner, "n_tokens", "__low", "__high", "__rare"])
 
     own = ", ".join(["__row long", *[f"{k} {t}" for k, t in zip(inner, kinds, strict=True)], "n_tokens long, __low binary, __high binary"])
@@ -550,7 +602,7 @@ def score(docs: DataFrame, language: Language, keep: list[str], text_col: str =
             while at < len(sizes):
                 upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), _TOKENS)))
                 ids = np.concatenate([np.frombuffer(low[i].as_py(), np.uint16).astype(np.int32) | np.frombuffer(high[i].as_py(), np.uint8).astype(np.int32) << 16 for i in range(at, upto)])
-                ids[ids == joined_word] = len(n_of)
+                ids[ids == _JOINED] = len(n_of)
                 emit, logs, seen = emit_of[ids], log_of[ids], ids < len(n_of)
                 begins = np.cumsum(sizes[at:upto]) - sizes[at:upto]
                 some = lists.slice(at, upto - at)
