@@ -54,3 +54,21 @@ def test_frame(spark, pieces, monkeypatch):
     assert all(r.n_pieces == _size(reference, TEXTS[r.doc_id] if r.doc_id is not None else "hello world") for r in found)
     assert tokencount.count_tokens(docs.limit(0), pieces, ["doc_id"]).count() == 0
     assert tokencount.count_tokens(docs.limit(2), [], ["doc_id"]).count() == 2
+    clash = tokencount.count_tokens(docs, pieces, ["doc_id", "best_score"])
+    assert clash.columns == ["doc_id", "n_pieces", "n_unknown", "best_score"] and dict(clash.dtypes)["best_score"] == "double"
+
+
+def test_unbroken_text_needs_little_memory(pieces, monkeypatch):
+    import tracemalloc
+
+    counter = tokencount.Counter_(pieces)
+    short = counter.viterbi("abcde漢x" * 300)
+    monkeypatch.setattr(tokencount, "_KEPT", 50)  # positions are dropped in the middle of it
+    assert counter.viterbi("abcde漢x" * 300) == short
+    monkeypatch.undo()
+    text = "thequickbrownfox" * 60_000
+    tracemalloc.start()
+    score, n, unknown = counter.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 60_000 and unknown == 0 and peak < 30_000_000
