@@ -7,8 +7,9 @@ about `CELL` unrelated ones, and the number of tables follows from it, so that
 a pair at the threshold meets with probability `RECALL` (closer pairs: nearer
 to 1). Members of a cell are verified by exact cosines in double precision, as
 matrix products of blocks; cells of more than `BLOCK` vectors are dealt out as
-pairs of blocks, so no task holds a whole hot cell. A pair that meets in
-several tables counts in the first. What leaves a block is one count for each
+pairs of blocks, so no task holds a whole hot cell. Equal vectors are collapsed
+first: one stands for all, and their links among themselves are counted in
+closed form. A pair that meets in several tables counts in the first. What leaves a block is one count for each
 vector and a spanning forest of the links, never the pairs themselves, and
 components come from distributed contraction of those forests.
 """
@@ -104,9 +105,9 @@ def _forest(link: np.ndarray) -> np.ndarray:
 
 
 def _verify(group: pa.Table, threshold: float, width: str) -> pa.Table:
-    """(row, links, other) of one block or pair of blocks: new links of each row, and an edge to a row of its component."""
+    """(row, links, other) of one block or pair of blocks: new links of each row, other rows counted as often as they stand for one, and an edge to a row of its component."""
     t, i, j, size = (group.column(c)[0].as_py() for c in ("t", "i", "j", "size"))
-    rows, block = (group.column(c).to_numpy() for c in ("row", "b"))
+    rows, block, many = (group.column(c).to_numpy() for c in ("row", "b", "many"))
     order = np.argsort(rows, kind="stable")
     left, right = (order[block[order] == x] for x in (i, j))
     link = np.zeros((len(left), len(right)), bool)
@@ -120,12 +121,12 @@ def _verify(group: pa.Table, threshold: float, width: str) -> pa.Table:
         for e in range(t):  # pairs that met before are counted and joined there
             link &= before[left, e][:, None] != before[right, e][None, :]
     if i == j:
-        rows, whole, links = rows[left], link, link.sum(axis=1)
+        rows, whole, links = rows[left], link, link @ many[left]
     else:
+        links = np.concatenate([link @ many[right], link.T @ many[left]])
         rows, n = np.concatenate([rows[left], rows[right]]), len(left)
         whole = np.zeros((len(rows), len(rows)), bool)
         whole[:n, n:], whole[n:, :n] = link, link.T
-        links = whole.sum(axis=1)
     some = np.flatnonzero(links)
     label = _forest(whole[np.ix_(some, some)])
     return pa.table({"row": pa.array(rows[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "other": pa.array(rows[some][label], pa.int64())})
@@ -147,7 +148,10 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), value.alias("v"))
     signs, tables = plan(vectors.count(), threshold, recall)
     held = cut(_signed(rows, signs, tables, width))
-    placed = held.where("raw is not null").select("row", "size", "raw", "keys", F.posexplode("keys").alias("t", "key"))
+    # equal vectors link with each other and with the same others: one row stands for them
+    first = F.min(F.struct("row", "keys"))
+    kinds = cut(held.where("raw is not null").groupBy("size", "raw").agg(first.alias("f"), F.count("*").alias("many")).select("size", "raw", "f.row", "f.keys", "many"))
+    placed = kinds.select("row", "size", "raw", "many", "keys", F.posexplode("keys").alias("t", "key"))
     large = placed.groupBy("size", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("size", "t", "key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     large = cut(large)
     if large.count() <= 20_000:
@@ -156,12 +160,14 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     placed = placed.withColumn("b", F.pmod(F.xxhash64("row"), "blocks").cast("long"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     before = F.expr("slice(keys, 1, t)").alias("before")  # the keys of earlier tables are all that a table asks for
-    placed = placed.select("row", "size", "raw", before, "t", "key", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    placed = placed.select("row", "size", "raw", "many", before, "t", "key", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     checked = placed.groupBy("size", "t", "key", "i", "j").applyInArrow(lambda group: _verify(group, threshold, width), "row long, links long, other long")
     checked = cut(checked)
     links = checked.groupBy("row").agg(F.sum("links").alias("n_links"))
     found = connected_components(checked.where("row <> other").select("row", "other").distinct(), "row", "other").select(F.col("vertex").alias("row"), F.col("component").alias("root"))
-    joined = held.select("row", "id").join(links, "row", "left").join(found, "row", "left")
+    stood = kinds.join(links, "row", "left").join(found, "row", "left")
+    stood = stood.select("size", "raw", (F.coalesce("n_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "row").alias("root"))
+    joined = held.select("row", "id", "size", "raw").join(stood, ["size", "raw"], "left")
     joined = joined.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "row").alias("root"))
     named = joined.groupBy("root").agg(F.min("id").alias("component"))
     return joined.join(named, "root").select(F.col("id").alias(id_col), "n_links", "component")

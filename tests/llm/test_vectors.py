@@ -70,3 +70,9 @@ def test_plan_and_empty(spark):
         assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** signs) ** tables >= 0.98
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.linked_vectors(empty).count() == 0
+
+
+def test_equal_vectors_are_collapsed(spark):
+    rows = spark.range(100_000).selectExpr("id as vec_id", "array(1.0f, 2.0f, cast(if(id % 50000 = 7, 2.9, 3.0) as float), 0.5f) as embedding")
+    found = vectors.linked_vectors(rows)
+    assert [tuple(r) for r in found.groupBy("n_links", "component").count().collect()] == [(99_999, 0, 100_000)]
