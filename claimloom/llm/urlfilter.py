@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from claimloom.sources.tables import table
 
 RULES_AT_ONCE = 20_000
+#: Characters of rules' tokens up to which these travel to the tasks.
+BROADCAST_CHARS = 8_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENTRY = "struct<token:string,tier:int,length:int,name:string,verdict:string,regex:string>"
 
@@ -48,7 +50,7 @@ def host_rule(verdict: str, host: str, path: str, tier: int = 1) -> Rule:
     """Fits `host` and its subdomains where the path starts with `path`."""
     ends = re.match(r".*[^A-Za-z0-9]", path, re.DOTALL)  # what follows it may go on in the URL
     tokens = re.findall("[a-z0-9]+", (host + (ends[0] if ends else "")).lower())
-    return Rule(host + path, verdict, rf"^(?:[^/?#]*\.)?{_plain(host)}{_plain(path)}", tuple(tokens), tier)
+    return Rule(host + path, verdict, rf"^(?:[^/?#]*\.)?{_plain(host)}{_plain(path) or '(?=[/?#]|$)'}", tuple(tokens), tier)
 
 
 def wildcard_rule(verdict: str, pattern: str, tier: int = 0) -> Rule:
@@ -95,10 +97,18 @@ def _tokens(text: Column) -> Column:
 
 
 def token_counts(texts: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """How many rows of `texts` (one string column) hold each literal token of `rules`; as many entries as the rules have tokens."""
+    """How many rows of `texts` (one string column) hold each literal token of `rules`; as many entries as the rules have tokens.
+
+    A token finds its rules' tokens by a hash join, so what a URL costs doesn't
+    depend on how many rules there are.
+    """
     wanted = sorted({t for r in rules for t in r.tokens})
-    listed = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
-    hits = texts.select(F.explode(F.array_intersect(_tokens(F.col(texts.columns[0])), listed)).alias("t"))
+    if not wanted:
+        return {}
+    listed = texts.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(wanted)), "array<string>")).alias("t"))
+    if sum(map(len, wanted)) <= BROADCAST_CHARS:
+        listed = F.broadcast(listed)
+    hits = texts.select(F.explode(_tokens(F.col(texts.columns[0]))).alias("t")).join(listed, "t")
     return {r.t: r.n for r in hits.groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 

@@ -55,3 +55,19 @@ def test_only_fetched_rules_run_and_plan_is_native(spark):
     assert found == ["^rare^common^", "*x*"]
     plan = urlfilter.judge(frame, rules=rules)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_a_host_rule_without_a_path_ends_with_the_host(spark):
+    rules = (urlfilter.host_rule("block", "example.org", ""), urlfilter.host_rule("block", "cdn.net", "/a"))
+    urls = ["http://example.org", "http://a.example.org/x", "http://example.organic/x", "http://example.org:80/", "http://example.org?x", "http://cdn.net/ab"]
+    found = urlfilter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=rules).collect()
+    assert [r.rule is not None for r in found] == [True, True, False, False, True, True]
+
+
+def test_token_counts_by_join(spark, monkeypatch):
+    rules = tuple(urlfilter.wildcard_rule("block", f"^word{i}^cart^") for i in range(3000))
+    texts = spark.createDataFrame([("a.net/word7/cart/cart",), ("b.net/cart",), ("",)], "t string")
+    for most in (urlfilter.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_CHARS", most)
+        assert urlfilter.token_counts(texts, rules) == {"word7": 1, "cart": 2}
+    assert urlfilter.token_counts(texts, ()) == {}
