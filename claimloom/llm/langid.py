@@ -7,9 +7,11 @@ classifiers' outputs (loss-based decoding, Allwein, Schapire and Singer 2000).
 A text whose two best codewords are about as near as each other is flagged.
 
 Training counts n-grams of all the labelled rows: each task folds its texts
-into one dense table a language and sends the non-zero cells on, so what is
-shuffled and collected is bounded by languages x `N_CELLS`, whatever the corpus.
-Prediction is one Arrow pass without a shuffle.
+into dense tables, `HELD` languages at a time, and sends the non-zero cells on.
+Counts stay in the cluster; blocks of cells are turned into classifiers' weights
+there, and the driver gets cells x bits weights and languages x bits sums,
+however many languages there are. Prediction is one Arrow pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from claimloom.llm.arrow import map_columns
+from claimloom.plans.durable import cut
 from claimloom.sources.tables import table
 
 UNDETERMINED = "und"
@@ -30,8 +34,8 @@ UNDETERMINED = "und"
 N_CELLS = 1 << 16
 #: Added to each cell's count.
 SMOOTHING = 0.5
-#: Languages a model may have; bounds what the driver gathers.
-MAX_LANGUAGES = 400
+#: Languages whose tables a task holds at once, and cells of a block of weights.
+HELD, BLOCK = 64, 1024
 #: Up to this many languages the code holds every way to split them in two.
 EXHAUSTIVE_UP_TO = 6
 #: The share of the probability mass that the nearest codeword needs, or the text is ambiguous.
@@ -52,7 +56,7 @@ def codewords(count: int) -> np.ndarray:
     bits = int(np.ceil(10 * np.log2(count)))
     best, distance = None, -1
     draw = np.random.default_rng(20)
-    for _ in range(200):
+    for _ in range(min(200, max(20, 200_000 // count**2))):
         rows = draw.choice([-1.0, 1.0], (count, bits))
         near = min((bits - rows[i] @ rows[:i].T).min() / 2 for i in range(1, count))
         if near > distance and (abs(rows.sum(0)) < count).all():
@@ -96,7 +100,10 @@ class Model:
                 total, cells = np.zeros(self.code.shape[1]), 0
                 for at in range(0, len(text), _PIECE):
                     found = ngram_cells(text[at : at + _PIECE])
-                    total += self.weights[found].sum(axis=0, dtype=np.float64)
+                    if len(found) < N_CELLS // 8:
+                        total += self.weights[found].sum(axis=0, dtype=np.float64)
+                    else:  # what is held doesn't grow with the text
+                        total += np.bincount(found, minlength=N_CELLS) @ self.weights
                     cells += len(found)
                 margins[i] = total / cells / self.typical
         losses = np.logaddexp(0, -STEEPNESS * self.code[None] * margins[:, None, :]) @ self.trust  # (n, languages)
@@ -112,11 +119,19 @@ def count_ngrams(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     """(lang, cell, n) over all rows of `labelled` that have a language and a letter."""
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def out(tables):
+        for lang, counts in tables.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "cell", "n"])
+
     def step(batches):
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if has_letter(text):
+                    if lang not in tables and len(tables) >= HELD:
+                        yield from out(tables)
+                        tables = {}
                     counts = tables.setdefault(lang, np.zeros(N_CELLS, np.int64))
                     for at in range(0, len(text), _PIECE):
                         cells = ngram_cells(text[at : at + _PIECE])
@@ -124,9 +139,7 @@ def count_ngrams(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
                             np.add.at(counts, cells, 1)
                         else:
                             counts += np.bincount(cells, minlength=N_CELLS)
-        for lang, counts in tables.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "cell", "n"])
+        yield from out(tables)
 
     partial = map_columns(rows, step, "lang string, cell long, n long")
     return partial.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
@@ -135,28 +148,42 @@ def count_ngrams(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from all labelled rows; rows without a language or a letter teach nothing.
 
-    Raises ValueError beyond `MAX_LANGUAGES`. No usable row gives a model that
-    answers `und`; one language a model that always answers it.
+    No usable row gives a model that answers `und`; one language a model that
+    always answers it. There is no limit on languages: the driver holds
+    their names, codewords and mean outputs, 10 log2(languages) numbers each.
     """
-    found = count_ngrams(labelled, text_col, lang_col).groupBy("lang").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
-    rows = sorted(found.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = [r.lang for r in rows]
-    if not rows:
+    counts = cut(count_ngrams(labelled, text_col, lang_col))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((N_CELLS, 1)), np.ones(1), np.ones(1))
-    share = np.full((len(rows), N_CELLS), SMOOTHING)
-    for i, r in enumerate(rows):
-        share[i, r.cell] += r.n
-    share /= share.sum(axis=1, keepdims=True)
-    code = codewords(len(rows))
-    if len(rows) == 1:
+    code = codewords(len(languages))
+    if len(languages) == 1:
         return Model(languages, np.ones((1, 1)), np.zeros((N_CELLS, 1)), np.ones(1), np.ones(1))
+    count, bits = code.shape
+    whole = np.array([totals[x] for x in languages]) + SMOOTHING * N_CELLS
     ones, zeros = np.maximum(code, 0), np.maximum(-code, 0)
-    weights = np.log((ones / ones.sum(0)).T @ share) - np.log((zeros / zeros.sum(0)).T @ share)  # (bits, cells)
-    expected = code * (share @ weights.T)  # mean log odds, in the right direction, of each language's own n-grams
+    ones, zeros = ones / ones.sum(0), zeros / zeros.sum(0)
+    place = {x: i for i, x in enumerate(languages)}
+
+    def weighed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """The weights of a block of cells, and what the block adds to each language's mean outputs."""
+        share = np.full((count, BLOCK), SMOOTHING)
+        np.add.at(share, (frame["lang"].map(place).to_numpy(), frame["cell"].to_numpy() % BLOCK), frame["n"].to_numpy())
+        share /= whole[:, None]
+        weights = np.log(ones.T @ share) - np.log(zeros.T @ share)
+        return pd.DataFrame({"block": [key[0]], "weights": [weights.T.tobytes()], "mean": [(share @ weights.T).tobytes()]})
+
+    every = counts.sparkSession.range(N_CELLS // BLOCK).select(F.lit(languages[0]).alias("lang"), (F.col("id") * BLOCK).alias("cell"), F.lit(0).cast("long").alias("n"))  # blocks without a count have weights as well
+    blocks = counts.unionByName(every).groupBy((F.col("cell") / BLOCK).cast("int").alias("block")).applyInPandas(weighed, "block int, weights binary, mean binary")
+    weights, mean = np.zeros((N_CELLS, bits), np.float32), np.zeros((count, bits))
+    for r in sorted(blocks.collect(), key=lambda r: r["block"]):
+        at = r["block"] * BLOCK
+        weights[at : at + BLOCK] = np.frombuffer(r["weights"]).reshape(BLOCK, bits)
+        mean += np.frombuffer(r["mean"]).reshape(count, bits)
+    expected = code * mean  # mean log odds, in the right direction, of each language's own n-grams
     trust = np.maximum(expected.min(axis=0), 1e-9)
-    return Model(languages, code, np.ascontiguousarray(weights.T.astype(np.float32)), np.maximum(expected.mean(axis=0), 1e-9), trust * len(trust) / trust.sum())
+    return Model(languages, code, weights, np.maximum(expected.mean(axis=0), 1e-9), trust * len(trust) / trust.sum())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:

@@ -66,3 +66,54 @@ def test_long_text_is_read_to_its_end(spark, monkeypatch):
     docs = spark.createDataFrame(_corpus(), "doc_id long, text string, lang string, source string")
     model = langid.fit(docs)
     assert model.predict(["the " * 20 + "queeau mentoui " * 400])[0] == ["bb"]
+
+
+def test_prediction_equals_plain_recomputation(spark):
+    import math
+
+    rows = _corpus(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs)
+    names = sorted({r[2] for r in rows})
+    assert model.languages == names
+
+    def cells(text):
+        raw = b" " + b" ".join(text.lower().encode().translate(langid._AS_SPACE).split()) + b" "
+        out = []
+        for a, b in zip(raw, raw[1:], strict=False):
+            out.append((((a * 257 + b) * 2654435761 % 2**32) >> 8) % (langid.N_CELLS // 4))
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            x = ((a * 257 + b) * 263 + c) % 2**32
+            out.append(langid.N_CELLS // 4 + ((x * 2246822519 % 2**32) >> 8) % (langid.N_CELLS * 3 // 4))
+        return out
+
+    share = {k: [langid.SMOOTHING] * langid.N_CELLS for k in names}
+    for _, text, lang, _ in rows:
+        for c in cells(text):
+            share[lang][c] += 1
+    for k in names:
+        whole = sum(share[k])
+        share[k] = [x / whole for x in share[k]]
+    code = langid.codewords(4)
+    weights = []
+    for b in range(code.shape[1]):
+        one, zero = ([k for k, w in zip(names, code[:, b], strict=True) if w == s] for s in (1, -1))
+        weights.append([math.log(sum(share[k][c] for k in one) / len(one)) - math.log(sum(share[k][c] for k in zero) / len(zero)) for c in range(langid.N_CELLS)])
+    expected = [[code[i, b] * sum(p * w for p, w in zip(share[k], weights[b], strict=True)) for b in range(code.shape[1])] for i, k in enumerate(names)]
+    typical = [sum(e[b] for e in expected) / 4 for b in range(code.shape[1])]
+    least = [min(e[b] for e in expected) for b in range(code.shape[1])]
+    trust = [x * len(least) / sum(least) for x in least]
+    texts = [r[1] for r in rows[:25]] + ["the que", "x"]
+    for text, name, score in zip(texts, *model.predict(texts)[:2], strict=True):
+        found = cells(text)
+        margins = [sum(w[c] for c in found) / len(found) / t for w, t in zip(weights, typical, strict=True)]
+        losses = [sum(t * math.log1p(math.exp(-langid.STEEPNESS * code[i, b] * margins[b])) for b, t in enumerate(trust)) for i in range(4)]
+        near = [math.exp(min(losses) - x) for x in losses]
+        assert name == names[losses.index(min(losses))] and abs(score - max(near) / sum(near)) < 1e-4
+
+
+def test_many_languages_have_no_limit(spark):
+    rows = [(i, f"l{i % 90:02d}x " * 20 + "abc", f"l{i % 90:02d}", "s") for i in range(450)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert len(model.languages) == 90 and model.code.shape[0] == 90
+    assert langid.codewords(900).shape == (900, 99)
