@@ -11,9 +11,9 @@ probing documents' shingle hashes for sketch members finds every pair; none is
 left to chance. Each candidate is then verified by the exact shingles.
 
 The index over items is small next to the corpus; its size is checked. Up to
-`INDEX_LIMIT` sketch hashes it travels to the tasks, and documents are read
-once without any shuffle; beyond, items are taken in slices of that size, one
-pass over the documents each.
+`INDEX_LIMIT` characters of items it travels to the tasks, and documents are
+read once without any shuffle; beyond, items are taken in slices of that size,
+one pass over the documents each.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ from claimloom.sources.tables import table
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Characters of item text that one pass over the documents carries.
-INDEX_LIMIT = 64_000_000
-#: Words a task remembers the hash of, at most.
-_MEMO = 1_000_000
+INDEX_LIMIT = 32_000_000
+#: Words a task remembers the hash of, and items it remembers the shingles of, at most.
+_MEMO, _EXACT = 1_000_000, 5_000
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,36 +76,46 @@ def _shingles(words: list[str], size: int) -> list[tuple[str, ...]]:
 
 
 class Index:
-    """Sketches of items and their exact shingles."""
+    """Sketches of items in arrays, and the items' texts; about 4 bytes a character of text.
+
+    The exact shingles of an item are made when a document first holds one of
+    its sketch, and the last `_EXACT` of them are remembered.
+    """
 
     def __init__(self, items: list[tuple[object, str]], size: int, threshold: float):
         self.size, self.threshold = size, threshold
-        self.items: list[tuple[object, frozenset]] = []
+        self.items: list[tuple[object, str]] = []
         memo, sketch, owner = _Hashes(), [], []
         self.short: dict[int, list[int]] = {}  # items of fewer words than a shingle, by that number
         for key, text in items:
             words = words_of(text)
             if not words:
                 continue
-            exact = _shingles(words, size)
-            hashes = _rolled(np.array([memo[w] for w in words], np.uint64), size)
-            own = dict(zip(hashes.tolist(), exact, strict=True))
+            own = np.unique(_rolled(np.array([memo[w] for w in words], np.uint64), size))
             number = len(self.items)
-            self.items.append((key, frozenset(exact)))
+            self.items.append((key, text))
             if len(words) < size:
                 self.short.setdefault(len(words), []).append(number)
             largest = (1 << (len(own) - 1).bit_length()) if len(own) > 1 else 1  # of the size partition: (largest / 2, largest]
             k = min(len(own), int(np.floor((1 - threshold) * largest + 1e-9)) + 1)
-            for h in sorted(own)[:k]:
-                sketch.append(h)
-                owner.append(number)
-        order = np.argsort(np.array(sketch, np.uint64), kind="stable")
-        self.sketch = np.array(sketch, np.uint64)[order]
-        self.owner = np.array(owner, np.int64)[order]
-        self.bits = 1 << max(16, int(len(sketch) * 32).bit_length())
+            sketch.append(own[:k])
+            owner.append(np.full(k, number, np.int32))
+        hashes = np.concatenate(sketch) if sketch else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.sketch = hashes[order]
+        self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int32)
+        self.bits = 1 << max(16, (len(hashes) * 8).bit_length())
         self.seen = np.zeros(self.bits, np.bool_)  # a first, cheap test
         self.seen[self.sketch & np.uint64(self.bits - 1)] = True
 
+    def exact(self, number: int, made: dict[int, frozenset]) -> frozenset:
+        found = made.get(number)
+        if found is None:
+            if len(made) >= _EXACT:
+                made.clear()
+            found = made[number] = frozenset(_shingles(words_of(self.items[number][1]), self.size))
+        return found
+
     def candidates(self, hashes: np.ndarray) -> set[int]:
         hashes = hashes[self.seen[hashes & np.uint64(self.bits - 1)]]
         if not len(hashes):
@@ -114,7 +124,7 @@ class Index:
         lo, hi = np.searchsorted(self.sketch, hashes, "left"), np.searchsorted(self.sketch, hashes, "right")
         return {int(x) for i, j in zip(lo, hi, strict=True) for x in self.owner[i:j]}
 
-    def matches(self, text: str | None, memo: dict) -> list[tuple[object, int, int]]:
+    def matches(self, text: str | None, memo: dict, made: dict[int, frozenset]) -> list[tuple[object, int, int]]:
         """(item, shingles shared, shingles of the item) of all items that `text` contains."""
         words = words_of(text) if text else []
         if not words or not self.items:
@@ -126,13 +136,13 @@ class Index:
                 found |= self.candidates(_rolled(hashes, length))
         out, sets = [], {}
         for number in sorted(found):
-            key, exact = self.items[number]
+            exact = self.exact(number, made)
             length = len(next(iter(exact)))
             if length not in sets:
                 sets[length] = set(_shingles(words, length))
             shared = len(exact & sets[length])
             if shared >= self.threshold * len(exact) - 1e-9:
-                out.append((key, shared, len(exact)))
+                out.append((self.items[number][0], shared, len(exact)))
         return out
 
 
@@ -140,7 +150,7 @@ def _indexes(items: DataFrame, item_col: str, text_col: str, size: int, threshol
     """An index for each slice of the items of up to `INDEX_LIMIT` characters; the driver holds one at a time."""
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("k"), F.col(text_col).alias("t")).distinct()
     held, chars = [], 0
-    for r in rows.sort("k", "t").toLocalIterator():
+    for r in rows.sort("k", "t").toLocalIterator():  # one partition at a time
         held.append((r.k, r.t))
         chars += len(r.t)
         if chars >= INDEX_LIMIT:
@@ -170,12 +180,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         shared = context.broadcast(index)
 
         def step(batches, shared=shared):
-            memo = _Hashes()
+            memo, made = _Hashes(), {}
             names = [id_col, "item_id", "shared", "item_shingles", "containment"]
             for batch in batches:
                 at, hits = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    for hit in shared.value.matches(text, memo):
+                    for hit in shared.value.matches(text, memo, made):
                         at.append(i)
                         hits.append(hit)
                 if at:
@@ -189,15 +199,21 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that contain an item; all columns as they were, one pass, no shuffle."""
+    """`docs` without the documents that contain an item; all columns as they were, one pass, no shuffle.
+
+    Documents with null, empty or wordless text contain nothing and stay, as
+    do repeated rows; null and wordless items are in nothing. An empty table
+    of documents stays empty, one of items leaves all documents. Columns may
+    have any names.
+    """
     at, context, out = docs.columns.index(text_col), docs.sparkSession.sparkContext, docs
     for index in _indexes(items, "item_id", "text", SHINGLE, THRESHOLD):
         shared = context.broadcast(index)
 
         def step(batches, shared=shared):
-            memo = _Hashes()
+            memo, made = _Hashes(), {}
             for batch in batches:
-                clean = [not shared.value.matches(t, memo) for t in batch.column(at).to_pylist()]
+                clean = [not shared.value.matches(t, memo, made) for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in batch.columns], batch.schema.names)
 
         out = out.mapInArrow(step, docs.schema)
@@ -207,3 +223,16 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that contains a benchmark item, with the item and its containment."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words are runs of letters, numbers and underscores, as `_WORD` has them.
+ORACLE = r"""
+WITH items AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT *, least(5, len(w)) AS s FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, text, s, array_to_string(w[i:i + s - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM sized) x),
+whole AS (SELECT item_id, text, count(*) AS n FROM wanted GROUP BY 1, 2),
+docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+held AS (SELECT DISTINCT r, doc_id, s, array_to_string(w[i:i + s - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM docs, (SELECT DISTINCT s FROM sized) z WHERE len(w) >= s) y),
+hits AS (SELECT h.r, h.doc_id, i.item_id, i.text, count(*) AS shared FROM held h JOIN wanted i ON i.s = h.s AND i.shingle = h.shingle GROUP BY ALL)
+SELECT h.doc_id, h.item_id, h.shared, w.n AS item_shingles, h.shared / CAST(w.n AS DOUBLE) AS containment FROM hits h JOIN whole w ON w.item_id = h.item_id AND w.text = h.text WHERE h.shared >= 0.8 * w.n - 1e-9
+"""
