@@ -212,8 +212,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     shared_dir(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("conv", "turn", "role", F.xxhash64("text")).sortWithinPartitions("conv", "turn", "role", F.xxhash64("text"), "text")
-    rows = rows.withColumn("part", F.spark_partition_id()).checkpoint()  # a scan of it has the same partitions, in the same order
+    # the last key tells repeated rows apart, of which a million may be one turn; which of them is which doesn't matter
+    keys = ["conv", "turn", "role", F.xxhash64("text"), "copy"]
+    rows = rows.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys[:4], "text", "copy")
+    rows = rows.drop("copy").withColumn("part", F.spark_partition_id()).checkpoint()  # a scan of it has the same partitions, in the same order
     kind, turn_kind = (rows.schema[c].dataType for c in ("conv", "turn"))
     shared = turns.sparkSession.sparkContext.broadcast(_crossings(rows, kind.simpleString()))
     names = [conv_col, turn_col, "place", "action", "role_in", "role", "inserted", "closing", "rendered"]

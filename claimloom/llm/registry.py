@@ -18,8 +18,9 @@ def queries() -> dict:
         "op8_hmm": hmm.op8_hmm,
         "op9_vectors": vectors.op9_vectors,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op1_secrets_base": secrets.op1_secrets_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_secrets_base": secrets.BASE_ORACLE, "op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

@@ -23,7 +23,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from claimloom.llm.arrow import map_columns
 from claimloom.sources.tables import table
@@ -128,20 +128,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have empty arrays. Repeated rows repeat. A null id is
     kept. Very long texts are searched whole. Empty table: empty result. Other
-    columns are not read. Equal starts are ordered as in `KINDS`.
+    columns are not read. An id column named base or spans is returned as
+    base_id or spans_id. Equal starts are ordered as in `KINDS`.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)[id_col]
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    kind = dict(rows.dtypes)["__id"]
     part = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def step(batches):
         as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
         for batch in batches:
             found = [spans_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_rows(b) for b, _ in found], part), pa.array([as_rows(a) for _, a in found], part)], [id_col, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_rows(b) for b, _ in found], part), pa.array([as_rows(a) for _, a in found], part)], ["__id", "base", "spans"])
 
     one = "array<struct<kind:string,start:long,end:long>>"
-    return map_columns(rows, step, f"`{id_col}` {kind}, base {one}, spans {one}")
+    found = map_columns(rows, step, f"__id {kind}, base {one}, spans {one}")
+    return found.select(F.col("__id").alias(id_col if id_col.lower() not in ("base", "spans") else f"{id_col}_id"), "base", "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -149,10 +151,15 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     Overlapping spans are replaced together, under the first one's kind. All
     rows stay; texts without a span, null ones too, stay as they are. Where
-    `length_col` exists it is set to the new length of the changed texts.
+    `length_col` exists and holds integers it is set to the new length of the
+    changed texts; a column of that name and another type stays as it is.
+    Repeated rows repeat, an empty table stays empty, very long texts are
+    searched whole.
     """
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
+    if length is not None and not isinstance(docs.schema[length].dataType, IntegralType):
+        length = None
 
     def step(batches):
         for batch in batches:
@@ -196,3 +203,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = ", ".join(f"n_{k} long" for k in kinds)
     found = map_columns(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, {named}, base_sha256 string, spans string")
     return found.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", *[f"n_{k}" for k in KINDS[3:]])
+
+
+def op1_secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of the base kinds every document has."""
+    return op1_secrets(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE])
+
+
+BASE_ORACLE = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex FROM documents
+"""
