@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.ranges import running_sums
+from claimloom.plans.durable import cut
+
 KS = (50, 100, 500)
 
 
@@ -47,28 +50,39 @@ def average_precision(scored: DataFrame, score: str = "score", label: str = "lab
     of scores, whose totals are summed ahead, so no task sorts all of them.
     """
     ties = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    ranged = ties.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id())
-    from claimloom.plans.durable import cut
-
-    ranged = cut(ranged)
-    totals = ranged.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("pos").over(ahead), F.lit(0)).alias("pos0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
-    within = Window.partitionBy("part").orderBy(F.desc("s"))
-    steps = ranged.withColumns({"tp": F.sum("pos").over(within), "k": F.sum("n").over(within)}).join(F.broadcast(offsets), "part")
-    area = F.sum(F.col("pos") * (F.col("tp") + F.col("pos0")) / (F.col("k") + F.col("n0")))
+    steps = running_sums(ties, "s", {"tp": "pos", "k": "n"}, descending=True)
+    area = F.sum(F.col("pos") * F.col("tp") / F.col("k"))
     return steps.agg(F.coalesce(area / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0)).alias("average_precision"))
 
 
 def at_k(scored: DataFrame, ks=KS, score: str = "score", label: str = "label", key: str = "claim_id") -> DataFrame:
-    """(k, hits, precision, recall) among the k highest scores, ties by key; k no larger than the table."""
-    sums = scored.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    top = scored.orderBy(F.desc(score), F.asc(key)).limit(max(ks)).select(score, label, key)
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc(key))))
-    sets = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    hits = ranked.select("*", sets).where("rank <= k").groupBy("k").agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("taken"))
-    both = hits.join(F.broadcast(sums))
-    return both.select("k", "hits", (F.col("hits") / F.col("taken")).alias("precision"), F.coalesce(F.col("hits") / F.nullif("pos", F.lit(0)), F.lit(0.0)).alias("recall"))
+    """(k, hits, precision, recall) among the k highest scores, ties by key; k no larger than the table.
+
+    Labels are summed by distinct score first; a k that ends among claims of
+    one score takes the first of that score by key, and only claims of these
+    scores, one for each k, are ranked.
+    """
+    ties = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    steps = cut(running_sums(ties, "s", {"tp": "pos", "upto": "n"}, descending=True))
+    whole = steps.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all"))
+    wanted = scored.sparkSession.createDataFrame([(k,) for k in sorted(set(ks))], "k long")
+    # of the score at which k ends: what comes before it, and how many of its claims still count
+    ends = steps.join(F.broadcast(wanted), (F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
+    ends = ends.select("k", "s", (F.col("tp") - F.col("pos")).alias("hits0"), (F.col("k") - F.col("upto") + F.col("n")).alias("take"))
+    tied = scored.select(F.col(score).alias("s"), F.col(key).alias("key"), F.col(label).cast("long").alias("y")).join(F.broadcast(ends.select("s").distinct()), "s")
+    placed = tied.groupBy("s", "key").agg(F.sum("y").alias("y"), F.count("*").alias("m"))
+    order = F.struct("s", "key").alias("o")
+    placed = running_sums(placed.select(order, "y", "m"), "o", {"y_upto": "y", "m_upto": "m"})
+    first = placed.groupBy("o.s").agg(F.min(F.struct("o", (F.col("y_upto") - F.col("y")).alias("y0"), (F.col("m_upto") - F.col("m")).alias("m0"))).alias("f"))
+    placed = placed.select("o.s", "y_upto", "m_upto", "y", "m").join(F.broadcast(first.select("s", "f.y0", "f.m0")), "s")
+    # rows of one key and score beyond `take` count in part, hits first
+    more = placed.join(F.broadcast(ends), "s").where(F.col("m_upto") - F.col("m") - F.col("m0") < F.col("take"))
+    part = F.least(F.col("y"), F.col("take") - (F.col("m_upto") - F.col("m") - F.col("m0")))
+    counted = more.groupBy("k", "hits0").agg(F.sum(F.when(F.col("m_upto") - F.col("m0") <= F.col("take"), F.col("y")).otherwise(part)).alias("y"))
+    inside = counted.select("k", (F.col("hits0") + F.col("y")).alias("hits"))
+    found = wanted.join(inside, "k", "left").join(F.broadcast(whole)).where("all > 0")
+    hits, taken = F.coalesce("hits", "all_pos"), F.least("k", "all")
+    return found.select("k", hits.alias("hits"), (hits / taken).alias("precision"), F.coalesce(hits / F.nullif("all_pos", F.lit(0)), F.lit(0.0)).alias("recall"))
 
 
 def lift(scored: DataFrame, score: str = "score", label: str = "label", key: str = "claim_id") -> DataFrame:
@@ -113,11 +127,11 @@ def base_rate(claims: DataFrame, truth: DataFrame) -> DataFrame:
 def order_statistics(values: DataFrame, column: str) -> DataFrame:
     """(n, mean, median, p95): the values at ranks n // 2 and min(int(0.95 n), n - 1), from 0, as stored values.
 
-    Values are counted first, so the rank runs over distinct values only.
+    Values are counted first, so ranks run over distinct values, range by range.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = cut(values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    last = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v"))).join(F.broadcast(total))
+    last = running_sums(counts, "v", {"upto": "c"}).join(F.broadcast(total))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
     late = F.least(F.floor(0.95 * F.col("n")), F.col("n") - 1)
     return last.agg(F.first("n").alias("n"), F.first("mean").alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(late).alias("p95"))
