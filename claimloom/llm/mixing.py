@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.ranges import ranked, running_sums
 from claimloom.plans.durable import cut
 from claimloom.sources.tables import table
 
@@ -47,19 +48,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     The targets are least(most x size, level x weight) for the level at which
     they sum to all sizes: what resharing excess by weight converges to.
-    Sources are ordered by code point, null last. One row a source is few.
+    Sources are ordered by code point, null last. Ranks and running sums go
+    range by range, so there may be as many sources as web hosts.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
-    by_full = everything.orderBy("full_at", "skey")
-    before, rest = by_full.rowsBetween(Window.unboundedPreceding, -1), by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    named = sizes.withColumn("turn", turn.cast("int")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("turn") + 1).cast("double"))
-    named = named.withColumn("full_at", most * F.col("source_size") / F.col("weight"))
-    ranked = named.select("*", F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("filled"), F.sum("weight").over(rest).alias("open"), F.sum("source_size").over(everything).alias("total"))
-    ranked = ranked.withColumn("level", (F.col("total") - most * F.col("filled")) / F.col("open"))
-    level = F.coalesce(F.min(F.when(F.col("full_at") >= F.col("level"), F.struct("full_at", "skey", "level"))).over(everything)["level"], F.lit(0.0))
-    return ranked.withColumn("target", F.least(level * F.col("weight"), (most * F.col("source_size")).cast("double"))).select("skey", "source", "source_size", "turn", "weight", "target")
+    by_name = F.struct(F.col("source").isNull().alias("last"), "source")
+    named = ranked(sizes.withColumn("name", by_name), "name", "rank")
+    turn = ((F.col("rank") - 1) % len(weights)).cast("int")
+    named = named.select("skey", "source", "source_size", turn.alias("turn"), F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double").alias("weight"))
+    named = named.withColumn("full", F.struct((most * F.col("source_size") / F.col("weight")).alias("at"), "skey"))
+    summed = cut(running_sums(named, "full", {"upto": "source_size", "weighed": "weight"}))
+    whole = summed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all"))
+    filled, open_ = F.col("upto") - F.col("source_size"), F.col("all") - F.col("weighed") + F.col("weight")
+    levels = summed.join(F.broadcast(whole)).withColumn("level", (F.col("total") - most * filled) / open_)
+    first = levels.where(F.col("full.at") >= F.col("level")).agg(F.min(F.struct("full", "level"))["level"].alias("level"))
+    target = F.least(F.coalesce("level", F.lit(0.0)) * F.col("weight"), (most * F.col("source_size")).cast("double"))
+    return summed.join(F.broadcast(first)).withColumn("target", target).select("skey", "source", "source_size", "turn", "weight", "target")
 
 
 def invert_demand(share: Column, knots) -> Column:
@@ -136,7 +139,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, taken, copies, position and positions, sorted by position.
 
     Columns of `docs` with these names are replaced. Rows with equal id and
-    text share a place and all stay.
+    text share a place and all stay. Null and wordless texts have no word to
+    take and go; an empty table stays empty.
     """
     new = ("size", "source_size", "target", "taken", "copies", "position", "positions")
     plain, joined = _planned(docs, new)
@@ -148,7 +152,8 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
 
     copy: 0 for the first. taken and position are those of the copy. Columns
     of `docs` with these names are replaced. Rows with equal id and text share
-    their places and all stay.
+    their places and all stay. Null and wordless texts have no word to take
+    and go; an empty table stays empty.
     """
     new = ("size", "source_size", "target", "taken", "copies", "copy", "position")
     plain, joined = _planned(docs, new)
