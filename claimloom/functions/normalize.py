@@ -17,14 +17,19 @@ ABBREVIATIONS = {
     "no": "number",
 }
 COMPANY_SUFFIXES = ("pvt ltd", "private limited", "pvt. ltd.", "& sons", "and sons", "ltd", "limited", "inc", "llc")
+PHONE = r"^(?:\+91|0091|91)?0?([1-9][0-9]{9})$"
 # The scores from which a claim is flagged or reviewed.
 FLAG_AT, REVIEW_AT = 0.75, 0.40
 
 
 def phone(raw: Column) -> Column:
-    """E.164 form of an Indian number: ten digits after an optional 00, 91 or 0; null for any other input."""
-    digits = F.regexp_replace(raw, "[^0-9]", "")
-    local = F.regexp_extract(digits, "^(?:00)?(?:91|0)?([0-9]{10})$", 1)
+    """E.164 form of an Indian number: ten digits, not 0 first, after an optional +91, 0091 or 91 and an optional 0.
+
+    Null for any other input: numbers of other countries (any other + or 00)
+    are set aside, as how they are written at home isn't known.
+    """
+    plus = F.when(F.trim(raw).startswith("+"), "+").otherwise("")
+    local = F.regexp_extract(F.concat(plus, F.regexp_replace(raw, "[^0-9]", "")), PHONE, 1)
     return F.when(local != "", F.concat(F.lit("+91"), local))
 
 

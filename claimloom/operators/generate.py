@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 FIRST = ("Arun", "Bala", "Chitra", "Deepa", "Esha", "Farid", "Gita", "Hari", "Indira", "Jaya", "Kiran", "Latha")
 LAST = ("Rao", "Iyer", "Khan", "Nair", "Das", "Mehta", "Pillai", "Reddy", "Shah", "Verma")
-STREETS = ("Lake View Road", "MG Road", "Anna Salai", "Church Street", "Temple Street", "Station Road", "Hill Road")
+STREETS = ("Lake View Road", "Orchard Road", "Quarry Lane", "Juniper Street", "Foundry Street", "Beacon Road", "Canal Avenue")
 CITIES = ("Coimbatore", "Chennai", "Bengaluru", "Kochi", "Madurai")
-SHOPS = ("SpeedFix Auto Works", "City Car Care", "Prime Auto Works", "Metro Car Care", "Star Motors", "Royal Garage", "Highway Auto Works")
+SHOPS = ("Axle and Arbor Auto Works", "Blue Gate Car Care", "Copper Lane Auto Works", "Dockside Car Care", "Ember Motors", "Fern Hill Garage", "Gearhouse Auto Works")
 # Spellings that a fuzzed address or shop may take instead.
 CITY_ALIASES = {"Coimbatore": "Kovai", "Chennai": "Madras", "Bengaluru": "Bangalore", "Kochi": "Cochin"}
 STREET_ALIASES = {"Lake View": "Lakeview"}

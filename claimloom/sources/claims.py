@@ -23,7 +23,7 @@ CLAIMS = T.StructType(
 TRUTH = T.StructType([T.StructField("claim_id", T.StringType()), T.StructField("ring_id", T.StringType())])
 HELD_OUT = T.StructType([T.StructField("ring_id", T.StringType())])
 
-#: Claims made of orders: every fiftieth customer is a ring that shares a phone number.
+#: Claims made of orders: every fiftieth customer is a ring that shares a phone number; some phones are foreign or no numbers.
 DERIVATION = """
 WITH first_item AS (
   SELECT l_orderkey, l_suppkey FROM (
@@ -37,11 +37,12 @@ base AS (
 SELECT o_orderkey AS claim_id, c_name AS claimant_name, 'POL-' || CAST(10000 + o_orderkey % 90000 AS VARCHAR(20)) AS policy_number,
        CAST(o_totalprice AS DECIMAL(14,2)) AS claim_amount,
        CASE WHEN is_ring THEN CAST('1995-01-01' AS DATE) + CAST((o_custkey * 37) % 2000 + o_orderkey % 20 AS INT) ELSE od END AS incident_date,
-       CASE o_orderkey % 4 WHEN 0 THEN '+91-' || num WHEN 1 THEN num
-            WHEN 2 THEN '0' || substr(num, 1, 5) || ' ' || substr(num, 6, 5)
+       CASE WHEN o_orderkey % 97 = 0 THEN '+65 ' || substr(num, 1, 4) || ' ' || substr(num, 5, 4) WHEN o_orderkey % 89 = 0 THEN '0065' || substr(num, 1, 8)
+            WHEN o_orderkey % 83 = 0 THEN '0000000000' WHEN o_orderkey % 79 = 0 THEN '+91 (0) ' || num WHEN o_orderkey % 4 = 0 THEN '+91-' || num WHEN o_orderkey % 4 = 1 THEN num
+            WHEN o_orderkey % 4 = 2 THEN '0' || substr(num, 1, 5) || ' ' || substr(num, 6, 5)
             ELSE '+91 ' || substr(num, 1, 5) || ' ' || substr(num, 6, 5) END AS claimant_phone,
        CAST(1 + o_orderkey % 200 AS VARCHAR(20)) || CASE o_orderkey % 3 WHEN 0 THEN ', ' ELSE ' ' END
-         || split_part('Lake View,MG,Anna,Gandhi,Nehru,Church,Market,Temple,Station,Ring,Marina,Hill', ',', CAST(1 + o_custkey % 12 AS INT))
+         || split_part('Orchard,Willow Bank,Quarry,Juniper,Foundry,Beacon,Granite,Meadow,Harbour,Canal,Weaver,Mill', ',', CAST(1 + o_custkey % 12 AS INT))
          || CASE o_orderkey % 3 WHEN 0 THEN ' rd. ' WHEN 1 THEN ' Road, ' ELSE ' Rd, ' END || 'City' || CAST(c_nationkey AS VARCHAR(20)) AS claimant_address,
        CASE WHEN l_suppkey IS NULL THEN NULL ELSE 'Supplier ' || CAST(l_suppkey AS VARCHAR(20)) || CASE o_orderkey % 2 WHEN 0 THEN ' Motors' ELSE ' MOTORS PVT LTD' END END AS repair_shop_name,
        CASE WHEN is_ring THEN 'ring-' || CAST(o_custkey AS VARCHAR(20)) END AS ring_id

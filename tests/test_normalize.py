@@ -10,9 +10,9 @@ def _one(spark, f, values):
 
 
 def test_phone(spark):
-    good = ["+91-9876500011", "9876500011", "098765 00011", "+91 98765 00011", "0091 98765 00011", "9112345678"]
-    assert _one(spark, normalize.phone, good) == ["+919876500011"] * 5 + ["+919112345678"]
-    assert _one(spark, normalize.phone, ["12345", "", None, "+44 20 7946 0958", "phone"]) == [None] * 5
+    good = ["+91-9876500011", "9876500011", "098765 00011", "+91 98765 00011", "0091 98765 00011", "9112345678", " +91 (0) 98765 00011"]
+    assert _one(spark, normalize.phone, good) == ["+919876500011"] * 5 + ["+919112345678", "+919876500011"]
+    assert _one(spark, normalize.phone, ["12345", "", None, "+44 20 7946 0958", "phone", "+65 8123 4567", "+47 22 12 34 56", "0065 8123 4567", "0000000000", "+9876500011"]) == [None] * 10
 
 
 def test_address(spark):
