@@ -1,12 +1,14 @@
 """Cutting lineage in a way that outlives lost executors.
 
 Intermediate tables go to the folder that the cluster names in
-`spark.checkpoint.dir`. Only where that setting is absent (tests, a laptop)
-a folder under /tmp takes its place.
+`spark.checkpoint.dir`, each job's in a folder of its application. Only where
+that setting is absent on one machine (tests, a laptop) a folder under /tmp
+takes its place; without it on a cluster nothing is written.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,16 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share."""
+    """This job's folder among those that all executors share."""
     context = spark.sparkContext
     found = context.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not found:
-        found = f"/tmp/checkpoints/{context.applicationId}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
+        found = "/tmp/checkpoints"
         if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
+            context.setCheckpointDir(f"{found}/{context.applicationId}")
+    return f"{found.rstrip('/')}/{context.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,9 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete the tables `cut` has written to the shared folder; call it when results are stored."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    """Delete what this job, and no other, has written to the shared folder; call it when results are stored."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "cut-*")) or []:
-        files.delete(status.getPath(), True)
+    for status in (files.listStatus(root) if files.exists(root) else []):
+        if re.match("(cut|stream|claims|generated)-", status.getPath().getName()):
+            files.delete(status.getPath(), True)
