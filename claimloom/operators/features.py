@@ -10,6 +10,7 @@ from claimloom.operators.detect import burstiness, communities, community_verdic
 from claimloom.operators.graph import neighbours, pruned
 from claimloom.plans.durable import cut
 
+# The names and order of the features.
 TABULAR = ["claim_amount", "day_of_week", "is_weekend"]
 GRAPH = [
     "entity_degree_min", "entity_degree_mean", "entity_degree_max", "idf_weighted_degree", "one_hop_entity_count", "two_hop_claim_count",
@@ -49,12 +50,15 @@ def two_hop(of: DataFrame) -> DataFrame:
     return burst.join(counted, "claim_id", "left").select("claim_id", F.coalesce("n", F.lit(0)).cast("double").alias("two_hop_claim_count"), F.col("burstiness").alias("burstiness_2hop"))
 
 
-def features(of: DataFrame, rounds: int = 50) -> DataFrame:
-    """(claim_id, *ALL) of every claim in the edge table; claims without an edge have none."""
-    components = cut(rings(of))
-    found = cut(community_verdicts(of, communities(of)))
+def features(of: DataFrame, components: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(claim_id, *ALL) of every claim in the edge table; claims without an edge have none.
+
+    `components` and `found` are the graph's rings and community verdicts where they are known.
+    """
+    components = cut(rings(of)) if components is None else components
+    found = cut(community_verdicts(of, communities(of))) if found is None else found
     seeds = components.select("claim_id").unionByName(found.where(F.col("score") >= FLAG_AT).select("claim_id"))
-    near = pagerank(of, seeds, rounds=rounds)
+    near = pagerank(of, seeds)
     claims = of.groupBy("claim_id").agg(F.first("claim_amount").alias("claim_amount"), F.first("incident_date").alias("incident_date"))
     wide = tabular(claims).join(one_hop(of), "claim_id").join(two_hop(of), "claim_id")
     wide = wide.join(components.select("claim_id", F.col("ring_size").alias("cs")), "claim_id", "left")

@@ -1,0 +1,95 @@
+"""Iterations over graphs of proven size, done by one task in the same steps that the distributed forms take."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+#: Edges that a single task may take: some tens of megabytes.
+LOCAL_EDGES = 1_000_000
+
+
+def chebyshev(c: np.ndarray, e: np.ndarray, up: np.ndarray, down: np.ndarray, start: np.ndarray, damping: float, tolerance: float, most_rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Personalised PageRank of claims and of entities: see `detect.pagerank`; start: each claim's share of the restart."""
+    entities = int(e.max(initial=-1)) + 1
+    raised = lambda d: np.bincount(e, up * d[c], entities)
+    middle, half = 1 - damping**2 / 2, damping**2 / 2
+    x, r = np.zeros(len(start)), (1 - damping) * start
+    d, rho = r / middle, half / middle
+    for _ in range(most_rounds):
+        x, r = x + d, r - d + np.bincount(c, down * raised(d)[e], len(start))
+        last, rho = rho, 1 / (2 * middle / half - rho)
+        d = rho * last * d + 2 * rho / half * r
+        if np.abs(r).max() <= tolerance * x.max():
+            return x, raised(x)
+    raise RuntimeError(f"PageRank has not converged in {most_rounds} rounds")
+
+
+def pagerank_task(damping: float, tolerance: float, most_rounds: int):
+    """For mapInPandas over all of (c, e, up, down, seed): (c, x) with x by the largest score of any vertex."""
+
+    def step(batches):
+        frames = list(batches)
+        if not frames:
+            return
+        frame = pd.concat(frames)
+        names, c = np.unique(frame["c"].to_numpy(), return_inverse=True)
+        _, e = np.unique(frame["e"].to_numpy(), return_inverse=True)
+        start = np.zeros(len(names))
+        start[c[frame["seed"].to_numpy(bool)]] = 1.0
+        x, y = chebyshev(c, e, frame["up"].to_numpy(), frame["down"].to_numpy(), start / start.sum(), damping, tolerance, most_rounds)
+        yield pd.DataFrame({"c": names, "x": x / max(x.max(), y.max())})
+
+    return step
+
+
+def settled(v: np.ndarray, o: np.ndarray, w: np.ndarray, k: np.ndarray, total: float, resolution: float, share: float, rounds: int) -> tuple[np.ndarray, int]:
+    """One level of `detect.communities`: each vertex's community, and how many moves were made."""
+    n = len(k)
+    m, few, still, merged = np.arange(n), share * len(k), 0, 0
+    weight = np.concatenate([w, np.zeros(n)])
+    for turn in range(rounds):
+        mass = np.bincount(m, k, n)
+        keys, place = np.unique(np.concatenate([v * n + m[o], np.arange(n) * n + m]), return_inverse=True)
+        w_to = np.bincount(place, weight)
+        at, to = keys // n, keys % n
+        own = to == m[at]
+        gain = np.round(w_to - resolution * k[at] * (mass[to] - np.where(own, k[at], 0.0)) / (2 * total), 9)
+        may = np.flatnonzero(own | (to < m[at] if turn % 2 == 0 else to > m[at]))
+        order = may[np.lexsort((to[may], ~own[may], -gain[may], at[may]))]
+        first = order[np.concatenate(([True], at[order][1:] != at[order][:-1]))]
+        moved = int((to[first] != m[at[first]]).sum())
+        m = to[first].copy()  # one row a vertex, in order
+        merged, still = merged + moved, still + 1 if moved <= few else 0
+        if still == 2:
+            break
+    return m, merged
+
+
+def communities_task(total: float, resolution: float, share: float, levels: int, rounds: int):
+    """For mapInPandas over all of (vc, ve, weight): (v, m), the community of each vertex, named by one of its vertices."""
+
+    def step(batches):
+        frames = list(batches)
+        if not frames:
+            return
+        frame = pd.concat(frames)
+        names, ends = np.unique(np.concatenate([frame["vc"].to_numpy(), frame["ve"].to_numpy()]), return_inverse=True)
+        half = len(frame)
+        v, o, w = np.concatenate([ends[:half], ends[half:]]), np.concatenate([ends[half:], ends[:half]]), np.tile(frame["weight"].to_numpy(), 2)
+        k = np.bincount(v, w)
+        member, known = np.arange(len(names)), names
+        for _ in range(levels):
+            m, merged = settled(v, o, w, k, total, resolution, share, rounds)
+            if not merged:
+                break
+            left, m = np.unique(m, return_inverse=True)
+            member, known = m[member], known[left]
+            k = np.bincount(m, k)
+            between = m[v] != m[o]
+            keys, place = np.unique(m[v][between] * len(left) + m[o][between], return_inverse=True)
+            w = np.bincount(place, w[between])
+            v, o = keys // len(left), keys % len(left)
+        yield pd.DataFrame({"v": names, "m": known[member]})
+
+    return step
