@@ -108,6 +108,19 @@ def verify(chain: DataFrame) -> DataFrame:
     return found.groupBy("claim_id").agg(F.count("*").alias("events"), (F.bool_and("good") & (F.count("*") == F.count_distinct("seq"))).alias("valid"))
 
 
+def altered(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(claim_id, seq, problem) of events in `before` that `after` has changed or lost; empty if it has only been appended to.
+
+    The guard of a store that can't refuse updates itself: check it before a
+    new version takes the old one's place.
+    """
+    names = [c for c in before.columns if c not in KEY]
+    digest = lambda rows, name: rows.select(*KEY, F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256).alias(name))
+    joined = digest(before, "__old").join(digest(after, "__new"), KEY, "left")
+    problem = F.when(F.col("__new").isNull(), "deleted").when(F.col("__new") != F.col("__old"), "changed")
+    return joined.select(*KEY, problem.alias("problem")).where("problem is not null")
+
+
 def history(chain: DataFrame, claim_id) -> DataFrame:
     return chain.where(F.col("claim_id") == F.lit(claim_id)).orderBy("seq")
 

@@ -31,21 +31,26 @@ def bad_phones(claims: DataFrame) -> DataFrame:
     return claims.where(normalize.phone(F.col("claimant_phone")).isNull()).select("claim_id", "claimant_phone")
 
 
-def entities(all_links: DataFrame) -> DataFrame:
-    """(entity_id, entity_type, canonical_value, claim_count), one row an entity; ids follow from type and value."""
-    counted = all_links.groupBy("entity_type", "canonical_value").agg(F.count("*").alias("claim_count"))
-    return counted.select(entity_id().alias("entity_id"), "entity_type", "canonical_value", "claim_count")
+def entities(all_links: DataFrame, seen: str | None = None) -> DataFrame:
+    """(entity_id, entity_type, canonical_value, claim_count, first_seen), one row an entity; ids follow from type and value.
+
+    first_seen: the least value of the column `seen`, now if there is none.
+    """
+    first = F.min(seen) if seen else F.current_timestamp()
+    counted = all_links.groupBy("entity_type", "canonical_value").agg(F.count("*").alias("claim_count"), first.alias("first_seen"))
+    return counted.select(entity_id().alias("entity_id"), "entity_type", "canonical_value", "claim_count", "first_seen")
 
 
 def entity_id():
     return F.sha2(F.concat_ws("\x1f", "entity_type", "canonical_value"), 256)
 
 
-def upserted(old: DataFrame, new_links: DataFrame) -> DataFrame:
-    """Entities after more links: known ones count up, others are inserted."""
-    both = old.select("entity_type", "canonical_value", "claim_count").unionByName(entities(new_links).drop("entity_id"))
-    counted = both.groupBy("entity_type", "canonical_value").agg(F.sum("claim_count").alias("claim_count"))
-    return counted.select(entity_id().alias("entity_id"), "entity_type", "canonical_value", "claim_count")
+def upserted(old: DataFrame, new_links: DataFrame, seen: str | None = None) -> DataFrame:
+    """Entities after more links: known ones count up and keep their first_seen, others are inserted."""
+    new = entities(new_links, seen).drop("entity_id").withColumn("late", F.lit(1))
+    both = old.select("entity_type", "canonical_value", "claim_count", "first_seen", F.lit(0).alias("late")).unionByName(new)
+    counted = both.groupBy("entity_type", "canonical_value").agg(F.sum("claim_count").alias("claim_count"), F.min_by("first_seen", "late").alias("first_seen"))
+    return counted.select(entity_id().alias("entity_id"), "entity_type", "canonical_value", "claim_count", "first_seen")
 
 
 def backlog(claims: DataFrame, linked: DataFrame) -> DataFrame:

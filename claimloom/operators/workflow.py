@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,53 @@ def checked(requests: DataFrame) -> DataFrame:
     return found.select(*requests.columns, outcome.alias("outcome"))
 
 
+def folded(claims: DataFrame, requests: DataFrame, order: tuple[str, ...] = ("requested_at",)) -> DataFrame:
+    """Requests (claim_id, to_status, role, reason, ...) applied to (claim_id, status, version) one after another.
+
+    Returns `requests` with from_status, outcome, status and version after
+    each. A refused request (404 unknown claim, 409, 403, 400) changes
+    nothing; an accepted one counts the version up. Requests of a claim go by
+    `order`, equal ones by their content, as a stream through one sort, so a
+    claim's requests are never held together.
+    """
+    known = claims.select("claim_id", F.col("status").alias("__status"), F.col("version").cast("long").alias("__version"))
+    rest = [c for c in requests.columns if c not in order and c != "claim_id"]
+    rows = requests.join(known, "claim_id", "left").repartition("claim_id").sortWithinPartitions("claim_id", *order, *rest)
+    allowed: dict[tuple[str, str], set[str]] = {}
+    for a, b, role in TRANSITIONS:
+        allowed.setdefault((a, b), set()).add(role)
+    new = [("from_status", pa.string()), ("outcome", pa.int32()), ("status", pa.string()), ("version", pa.int64())]
+
+    def outcome(status, to, role, reason):
+        if status is None:
+            return 404
+        if (status, to) not in allowed:
+            return 409
+        if role not in allowed[status, to]:
+            return 403
+        return 400 if (status, to) == NEEDS_REASON and not (reason or "").strip() else 200
+
+    names = requests.columns
+
+    def step(batches):
+        claim, status, version, first = None, None, None, True
+        for batch in batches:
+            made: list[tuple] = []
+            for c, to, role, reason, start, number in zip(*[batch.column(batch.schema.names.index(n)).to_pylist() for n in ("claim_id", "to_status", "role", "reason", "__status", "__version")], strict=True):
+                if first or c != claim:
+                    claim, status, version, first = c, start, number, False
+                found, before = outcome(status, to, role, reason), status
+                if found == 200:
+                    status, version = to, (version or 0) + 1
+                made.append((before, found, status, version))
+            columns = list(zip(*made, strict=True)) if made else [()] * 4
+            kept = [batch.column(batch.schema.names.index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(list(v), t) for v, (_, t) in zip(columns, new, strict=True)]], [*names, *[n for n, _ in new]])
+
+    types = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields], "from_status string, outcome int, status string, version long"])
+    return rows.mapInArrow(step, types)
+
+
 def transition_events(requests: DataFrame) -> DataFrame:
     """Audit events of the requests that pass; a flag overridden is HUMAN_OVERRIDE, else STATUS_CHANGED."""
     ok = checked(requests).where("outcome = 200")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from claimloom.operators import audit, workflow
+
 SUBMITTED = "claim_id string"
 SCORED = "claim_id string, model_version string, fraud_score double, decision_hint string, ring_id string, rung string, explanation string"
 
@@ -31,12 +33,33 @@ def outbox_messages(outbox: DataFrame) -> DataFrame:
     return outbox.where("sent_at is null").select(F.col("aggregate_id").cast("string").alias("key"), F.col("payload").alias("value"), "topic")
 
 
-def publish_outbox(spark: SparkSession, outbox_path: str, sink_path: str, checkpoint: str, schema: str, format: str = "text", seconds: float | None = None):
-    """Send new outbox rows once each a checkpoint: all that are there, or every `seconds`."""
-    rows = outbox_messages(spark.readStream.schema(schema).parquet(outbox_path))
-    writer = rows.select("value").writeStream.format(format).option("checkpointLocation", checkpoint)
+def send(messages_: DataFrame, format: str, path: str | None = None, **options) -> None:
+    """Write one batch of (key, value, topic): all three to Kafka and other keyed sinks, the value alone to text files."""
+    rows = messages_.select("value") if format == "text" else messages_
+    writer = rows.write.format(format).options(**options)
+    writer = writer if format == "kafka" else writer.mode("overwrite")
+    writer.save(path) if path else writer.save()
+
+
+def publish_outbox(spark: SparkSession, outbox_path: str, sink_path: str | None, checkpoint: str, schema: str, format: str = "text", seconds: float | None = None, sent_path: str | None = None, **options):
+    """Send new outbox rows, oldest first: all that are there, or every `seconds`.
+
+    Rows go out with key and topic. When a batch is sent, its (id, sent_at)
+    are written under `sent_path`, which `mark_sent` takes; a batch that fails
+    between the two is sent again, as delivery is at least once.
+    """
+    rows = spark.readStream.schema(schema).parquet(outbox_path)
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.where("sent_at is null").persist()
+        send(outbox_messages(fresh.orderBy("created_at", "id")), format, None if sink_path is None else f"{sink_path}/batch={number}", **options)
+        if sent_path:
+            fresh.select("id", F.current_timestamp().alias("sent_at")).write.mode("overwrite").parquet(f"{sent_path}/batch={number}")
+        fresh.unpersist()
+
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
-    return writer.start(sink_path)
+    return writer.start()
 
 
 def mark_sent(outbox: DataFrame, sent_ids: DataFrame, at) -> DataFrame:
@@ -46,8 +69,8 @@ def mark_sent(outbox: DataFrame, sent_ids: DataFrame, at) -> DataFrame:
     return outbox.join(known, "id", "left").withColumn("sent_at", now).drop("__sent").select(*outbox.columns)
 
 
-def score_stream(submitted: DataFrame, scores: Callable[[], DataFrame], sink_path: str, checkpoint: str):
-    """Score submissions batch by batch and append them as JSON messages.
+def score_stream(submitted: DataFrame, scores: Callable[[], DataFrame], sink_path: str | None, checkpoint: str, format: str = "text", topic: str = "claim.scored", **options):
+    """Score submissions batch by batch and append them as JSON messages, keyed by claim.
 
     `scores` gives the current scores (claim_id, ...). A batch with claims that
     it lacks asks for them once more; claims still unknown are skipped.
@@ -62,7 +85,8 @@ def score_stream(submitted: DataFrame, scores: Callable[[], DataFrame], sink_pat
         if not missing.isEmpty():
             held["scores"] = scores()
         found = held["scores"].withColumn("claim_id", F.col("claim_id").cast("string")).join(asked, "claim_id", "left_semi")
-        found.select(F.to_json(F.struct(*found.columns)).alias("value")).write.mode("overwrite").text(f"{sink_path}/batch={number}")
+        out = found.select(F.col("claim_id").alias("key"), F.to_json(F.struct(*found.columns)).alias("value"), F.lit(topic).alias("topic"))
+        send(out, format, None if sink_path is None else f"{sink_path}/batch={number}", **options)
         asked.unpersist()
 
     return submitted.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -93,6 +117,28 @@ def apply_score_stream(scored: DataFrame, sink_path: str, checkpoint: str):
     return folded.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_path)
 
 
+def audit_stream(applied: DataFrame, chain_path: str, checkpoint: str):
+    """Append a FRAUD_SCORED event to the audit chain for each row of `applied`, a stream from `apply_score_stream`'s sink.
+
+    Late scores too: they are recorded and move nothing. Each batch continues
+    the chains as they stand and is one folder, so a batch that is repeated
+    takes its own place; ends of chains are read from the other folders.
+    """
+    spark = applied.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        events = workflow.score_events(batch.withColumn("occurred_at", F.current_timestamp()))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(chain_path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        last = None
+        if files.exists(path) and any(s.getPath().getName() != f"batch={number}" for s in files.listStatus(path)):
+            old = spark.read.parquet(chain_path).where(F.col("batch") != number)
+            last = audit.latest(old.drop("batch")).select("claim_id", "seq", "hash")
+        audit.append(events, last, order=("occurred_at", "model_version")).write.mode("overwrite").parquet(f"{chain_path}/batch={number}")
+
+    return applied.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(scored: DataFrame, at: str = "ts", late: str = "1 day") -> DataFrame:
     """One message for each claim and model within the watermark."""
     return scored.withWatermark(at, late).dropDuplicatesWithinWatermark(["claim_id", "model_version"])
