@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from claimloom.functions.normalize import ABBREVIATIONS, COMPANY_SUFFIXES
+from claimloom.functions.normalize import ABBREVIATIONS, COMPANY_SUFFIXES, PHONE
 from claimloom.sources.claims import DERIVATION
 
 CLAIMS = f"claims AS MATERIALIZED ({DERIVATION.format(lineitem='lineitem', orders='orders', customer='customer')})"
 
 
 def phone(c: str) -> str:
-    return f"nullif('+91' || regexp_extract(regexp_replace({c}, '[^0-9]', '', 'g'), '^(?:00)?(?:91|0)?([0-9]{{10}})$', 1), '+91')"
+    sign = f"CASE WHEN trim({c}) LIKE '+%' THEN '+' ELSE '' END"
+    return f"nullif('+91' || regexp_extract({sign} || regexp_replace({c}, '[^0-9]', '', 'g'), '{PHONE}', 1), '+91')"
 
 
 def address(c: str) -> str:
@@ -51,23 +52,23 @@ comp AS (SELECT claim_id, min(root) AS component FROM reach GROUP BY 1),
 rings AS MATERIALIZED (SELECT claim_id, 'kcore-' || component AS ring_id, ring_size FROM (SELECT *, count(*) OVER (PARTITION BY component) AS ring_size FROM comp) x WHERE ring_size >= 3)"""
 
 
-def pagerank(rounds: int, damping: float = 0.85) -> str:
-    """CTEs from rings (the seeds) to near(claim_id, score)."""
-    out = """both_ways AS (SELECT 'c' || claim_id AS v, 'e:' || entity_type || ':' || canonical_value AS o, weight FROM edges
+def pagerank(rounds: int = 170, damping: float = 0.85) -> str:
+    """CTEs from rings (the seeds) to near(claim_id, score): plain power iteration until what is left is under 1e-11.
+
+    The vertex * restarts: it keeps its rank and gives the seeds their share.
+    """
+    return f"""both_ways AS (SELECT 'c' || claim_id AS v, 'e:' || entity_type || ':' || canonical_value AS o, weight FROM edges
   UNION ALL SELECT 'e:' || entity_type || ':' || canonical_value, 'c' || claim_id, weight FROM edges),
 mass AS (SELECT v, sum(weight) AS k FROM both_ways GROUP BY 1),
-steps AS MATERIALIZED (SELECT b.v, b.o, b.weight / m.k AS p FROM both_ways b JOIN mass m ON m.v = b.v),
-start AS MATERIALIZED (SELECT 'c' || claim_id AS v, 1.0 / (SELECT count(*) FROM rings) AS r FROM rings),
-r0 AS (SELECT v, CAST(r AS DOUBLE) AS r FROM start)"""
-    for i in range(rounds):
-        out += f""",
-r{i + 1} AS MATERIALIZED (SELECT v, sum(r) AS r FROM (SELECT s.o AS v, s.p * r.r * {damping} AS r FROM steps s JOIN r{i} r ON r.v = s.v UNION ALL SELECT v, r * {1 - damping!r} FROM start) x GROUP BY v)"""
-    return (
-        out
-        + f""",
-near AS MATERIALIZED (SELECT c.claim_id, coalesce(r.r, 0) / (SELECT max(r) FROM r{rounds}) AS score FROM (SELECT DISTINCT claim_id FROM edges) c LEFT JOIN r{rounds} r ON r.v = 'c' || c.claim_id
+vertex AS MATERIALIZED (SELECT v, row_number() OVER () AS i FROM mass),
+start AS MATERIALIZED (SELECT x.i, 1.0 / (SELECT count(*) FROM rings) AS r FROM rings JOIN vertex x ON x.v = 'c' || claim_id),
+steps AS MATERIALIZED (SELECT x.i AS v, y.i AS o, b.weight / m.k * {damping} AS p FROM both_ways b JOIN mass m ON m.v = b.v JOIN vertex x ON x.v = b.v JOIN vertex y ON y.v = b.o
+  UNION ALL SELECT 0, i, r * {1 - damping!r} FROM start UNION ALL SELECT 0, 0, 1.0),
+ranks(turn, v, r) AS (SELECT 0, i, CAST(r AS DOUBLE) FROM start UNION ALL SELECT 0, 0, CAST(1 AS DOUBLE)
+  UNION ALL SELECT k.turn + 1, s.o, sum(s.p * k.r) FROM ranks k JOIN steps s ON s.v = k.v WHERE k.turn < {rounds} GROUP BY 1, 2),
+last AS MATERIALIZED (SELECT x.v, k.r FROM ranks k JOIN vertex x ON x.i = k.v WHERE k.turn = {rounds}),
+near AS MATERIALIZED (SELECT c.claim_id, coalesce(k.r, 0) / (SELECT max(r) FROM last) AS score FROM (SELECT DISTINCT claim_id FROM edges) c LEFT JOIN last k ON k.v = 'c' || c.claim_id
   WHERE c.claim_id NOT IN (SELECT claim_id FROM rings))"""
-    )
 
 
 VERDICTS = """verdicts AS MATERIALIZED (SELECT c.claim_id,

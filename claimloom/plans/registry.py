@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -9,15 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import normalize
-from claimloom.operators import audit, detect, entities, explain, features, generate, graph, local_push, metrics, training, workflow
+from claimloom.operators import audit, detect, entities, explain, features, generate, graph, local_push, metrics, scoring, training, workflow
 from claimloom.plans import oracle
 from claimloom.plans.durable import cut, shared_dir
 from claimloom.sources import claims as source
 from claimloom.sources.tables import table
 from claimloom.streaming import flows
 
-#: Rounds of PageRank in the queries that SQL repeats round by round.
-ROUNDS = 20
 AS_OF, TRAIN_END, VAL_END = "1998-04-15", "1998-04-15", "1999-05-20"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +61,7 @@ def _text(c: str):
 
 GRAPH = f"WITH {oracle.graph()}"
 RINGED = f"WITH RECURSIVE {oracle.graph()}, {oracle.RINGS}"
-RANKED = f"{RINGED}, {oracle.pagerank(ROUNDS)}"
+RANKED = f"{RINGED}, {oracle.pagerank()}"
 JUDGED = f"{RANKED}, {oracle.VERDICTS}"
 CLAIMED = f"WITH {oracle.CLAIMS}"
 SCORED = f"WITH {oracle.SCORED}"
@@ -115,6 +114,12 @@ def phone_norm(spark, folder):
     return _claims(spark, folder).select("claim_id", normalize.phone(F.col("claimant_phone")).alias("phone"))
 
 
+@query(f"{GRAPH} SELECT claim_id, claimant_phone FROM norm WHERE phone IS NULL")
+def bad_phones(spark, folder):
+    """Foreign numbers and what is no number."""
+    return entities.bad_phones(_claims(spark, folder))
+
+
 @query(f"{GRAPH} SELECT claim_id, address FROM norm")
 def address_norm(spark, folder):
     return _claims(spark, folder).select("claim_id", normalize.address(F.col("claimant_address")).alias("address"))
@@ -130,17 +135,20 @@ def links(spark, folder):
     return entities.links(_claims(spark, folder))
 
 
-@query(f"{GRAPH} SELECT sha256(entity_type || chr(31) || canonical_value) AS entity_id, entity_type, canonical_value, degree AS claim_count FROM deg")
+_SEEN = "SELECT sha256(entity_type || chr(31) || canonical_value) AS entity_id, entity_type, canonical_value, count(*) AS claim_count, {first} AS first_seen FROM (SELECT l.*, c.incident_date FROM links l JOIN claims c ON c.claim_id = l.claim_id) x GROUP BY entity_type, canonical_value"
+
+
+@query(f"{GRAPH} {_SEEN.format(first='min(incident_date)')}")
 def entity_table(spark, folder):
-    return entities.entities(entities.links(_claims(spark, folder)))
+    return entities.entities(entities.links(_claims(spark, folder), "incident_date"), "incident_date")
 
 
-@query(f"{GRAPH} SELECT sha256(entity_type || chr(31) || canonical_value) AS entity_id, entity_type, canonical_value, degree AS claim_count FROM deg")
+@query(f"{GRAPH} {_SEEN.format(first='coalesce(min(incident_date) FILTER (claim_id % 2 = 0), min(incident_date))')}")
 def entity_upsert(spark, folder):
     """Entities of even claims, then the odd ones' links upserted."""
     rows = _claims(spark, folder)
-    old = entities.entities(entities.links(rows.where("claim_id % 2 = 0")))
-    return entities.upserted(old, entities.links(rows.where("claim_id % 2 = 1")))
+    old = entities.entities(entities.links(rows.where("claim_id % 2 = 0"), "incident_date"), "incident_date")
+    return entities.upserted(old, entities.links(rows.where("claim_id % 2 = 1"), "incident_date"), "incident_date")
 
 
 @query(f"{GRAPH} SELECT * FROM links WHERE claim_id % 4 = 1")
@@ -234,13 +242,13 @@ def suspiciousness_by_entity(spark, folder):
 @query(f"{RANKED} SELECT claim_id, round(score, 6) AS score FROM near")
 def pagerank(spark, folder):
     of = cut(_edges(spark, folder))
-    found = detect.pagerank(of, detect.rings(of), rounds=ROUNDS)
+    found = detect.pagerank(of, detect.rings(of))
     return found.select("claim_id", F.round("score", 6).alias("score"))
 
 
 def _verdicts(spark, folder) -> DataFrame:
     of = cut(_edges(spark, folder))
-    return detect.verdicts(of, detect.rings(of), rounds=ROUNDS)
+    return detect.verdicts(of, detect.rings(of))
 
 
 @query(f"{JUDGED} SELECT claim_id, CAST(fraud_score AS DOUBLE) AS fraud_score, rung, ring_id, ring_size FROM verdicts")
@@ -258,24 +266,23 @@ def decision_hints(spark, folder):
 def communities(spark, folder):
     """Claims of modularity communities with their scores; no SQL for the optimisation."""
     of = cut(_edges(spark, folder))
-    return detect.community_verdicts(of, detect.communities(of, levels=2))
+    return detect.community_verdicts(of, detect.communities(of))
 
 
 @query()
 def detect_ladder(spark, folder):
     """The whole ladder, communities included."""
     of = cut(_edges(spark, folder))
-    return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of, levels=2)), rounds=ROUNDS)
+    return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of)))
 
 
 @query()
 def local_push_ranks(spark, folder):
-    """Ranks around the first claim of each ring, by local push."""
+    """Ranks around the newest claims, all those of the last day, by local push."""
     of = cut(_edges(spark, folder))
-    ids = detect._ids(of)
-    both = ids.select(F.col("c").alias("v"), F.col("e").alias("o"), "weight").unionByName(ids.select(F.col("e").alias("v"), F.col("c").alias("o"), "weight"))
-    seeds = detect.ring_members(detect.rings(of)).select(F.concat(F.lit("c"), F.col("first_claim")).alias("v"))
-    return local_push.local_push(both, seeds, epsilon=1e-3)
+    last = of.agg(F.max("incident_date").alias("incident_date"))
+    new = of.join(F.broadcast(last), "incident_date").select(F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("v")).distinct()
+    return local_push.local_push(detect.both_ways(of), new)
 
 
 # --- features
@@ -310,8 +317,26 @@ def features_component(spark, folder):
 
 @query()
 def features_all(spark, folder):
-    """All sixteen features; two of them come from communities, which SQL can't find."""
-    return features.features(cut(_edges(spark, folder)), rounds=ROUNDS)
+    """All sixteen features; three of them come from communities, which SQL can't find."""
+    return features.features(cut(_edges(spark, folder)))
+
+
+_ROUNDED = ("entity_degree_mean", "idf_weighted_degree", "burstiness_2hop", "claimants_per_entity_1hop", "claimants_per_entity_2hop")
+
+
+@query(
+    f"{RINGED}, {_NEAR}, b AS ({_BURST.format(g='claim_id', t='dated')}), one AS (SELECT claim_id, CAST(min(degree) AS DOUBLE) AS entity_degree_min, avg(degree) AS entity_degree_mean, CAST(max(degree) AS DOUBLE) AS entity_degree_max, sum(weight) AS idf_weighted_degree, CAST(count(*) AS DOUBLE) AS one_hop_entity_count FROM edges GROUP BY 1), "
+    "two AS (SELECT claim_id, CAST(count(*) AS DOUBLE) AS n FROM near2 GROUP BY 1) "
+    "SELECT c.claim_id, CAST(c.claim_amount AS DOUBLE) AS claim_amount, CAST(isodow(c.incident_date) - 1 AS DOUBLE) AS day_of_week, CAST(CASE WHEN isodow(c.incident_date) >= 6 THEN 1 ELSE 0 END AS DOUBLE) AS is_weekend, entity_degree_min, round(entity_degree_mean, 6) AS entity_degree_mean, entity_degree_max, round(idf_weighted_degree, 6) AS idf_weighted_degree, one_hop_entity_count, "
+    "coalesce(two.n, 0) AS two_hop_claim_count, round(1 / one_hop_entity_count, 6) AS claimants_per_entity_1hop, round((coalesce(two.n, 0) + 1) / one_hop_entity_count, 6) AS claimants_per_entity_2hop, round(b.burst, 6) AS burstiness_2hop, CAST(coalesce(r.ring_size, 1) AS DOUBLE) AS component_size "
+    "FROM claims c JOIN one ON one.claim_id = c.claim_id JOIN b ON b.claim_id = c.claim_id LEFT JOIN two ON two.claim_id = c.claim_id LEFT JOIN rings r ON r.claim_id = c.claim_id"
+)
+def features_without_communities(spark, folder):
+    """The thirteen features that need no communities, through the same join as all sixteen."""
+    of = cut(_edges(spark, folder))
+    none = spark.createDataFrame([], "claim_id long, ring_id string, ring_size long, score double")
+    found = features.features(of, found=none).drop("leiden_community_size", "leiden_suspiciousness", "ppr_score")
+    return found.select(*[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in found.columns])
 
 
 # --- evaluation
@@ -435,7 +460,7 @@ _HINT = "CASE WHEN fraud_score >= 0.75 THEN 'FLAG' WHEN fraud_score >= 0.4 THEN
 def claim_scores(spark, folder):
     """The score contract for every claim, its evidence as the lines that a prompt holds."""
     of = cut(_edges(spark, folder))
-    found = explain.claim_scores(of, detect.verdicts(of, detect.rings(of), rounds=ROUNDS))
+    found = explain.claim_scores(of, detect.verdicts(of, detect.rings(of)))
     evidence = F.col("explanation.evidence")
     return found.select("claim_id", "fraud_score", "decision_hint", "ring_id", "rung", F.size(evidence).cast("long").alias("evidence"), F.array_join(explain.evidence_lines(evidence), "\n").alias("lines"))
 
@@ -463,14 +488,63 @@ def grounding_check(spark, folder):
     return rows.select("event_id", explain.grounded(said, F.array(name(e))).alias("grounded"))
 
 
-@query()
+_SUMMARY = "CASE WHEN rung = 'none' THEN 'No shared entities with any other claim.' WHEN ring_id IS NOT NULL THEN 'Part of a ' || ring_size || '-claim cluster (' || ring_id || ') detected via ' || rung || '.' ELSE 'Elevated risk via proximity to a flagged cluster (rung: ' || rung || ').' END"
+
+
+@query(f"{JUDGED} SELECT claim_id, {_SUMMARY} AS narrative, true AS grounded, 'template' AS model_version, CAST(0 AS DOUBLE) AS generation_ms FROM verdicts WHERE fraud_score >= 0.75")
 def narratives(spark, folder):
     """Template texts of flagged claims."""
     of = cut(_edges(spark, folder))
-    scores = explain.claim_scores(of, detect.verdicts(of, detect.rings(of), rounds=ROUNDS))
+    scores = explain.claim_scores(of, detect.verdicts(of, detect.rings(of)))
     return explain.narratives(scores.where("decision_hint = 'FLAG'"))
 
 
+@query(f"{JUDGED} SELECT least(count(*), 20) AS sample_size, CAST(1 AS DOUBLE) AS grounded_rate, CAST(0 AS DOUBLE) AS fallback_rate FROM verdicts WHERE fraud_score >= 0.75")
+def narrative_report(spark, folder):
+    """How often a generator that repeats its prompt stays grounded; its times aren't compared."""
+    of = cut(_edges(spark, folder))
+    scores = explain.claim_scores(of, detect.verdicts(of, detect.rings(of)))
+    found = explain.narrative_report(scores, lambda prompts: prompts, "echo")
+    return found.select("sample_size", "grounded_rate", "fallback_rate")
+
+
+_FEATURES = ("entity_degree_max", "two_hop_claim_count", "claim_amount", "day_of_week", "idf_weighted_degree", "burstiness_2hop")
+_PUSH = "0.25 * (rnk % 2) - 0.125 + 0.5 / rnk"
+
+
+@query(
+    f"{RINGED}, {_TOP}, shown AS (SELECT t.claim_id, count(*) AS n, string_agg('- Shares a ' || t.entity_type || ' (' || {oracle.masked('t.canonical_value')} || ') with ' || least(10, t.degree - 1) || ' other claim(s); that entity appears on ' || t.degree || ' claims total.', chr(10) ORDER BY rnk) AS lines FROM top5 t GROUP BY 1), "
+    f"f AS (SELECT c.claim_id, r.rnk, list_extract({list(_FEATURES)!r}, r.rnk) AS feature, CAST((c.claim_id + r.rnk) % 7 AS DOUBLE) AS v, CAST({_PUSH} AS DOUBLE) AS push FROM (SELECT DISTINCT claim_id FROM edges) c, (SELECT unnest([1, 2, 3, 4, 5]) AS rnk) r), "
+    "pushed AS (SELECT claim_id, string_agg('- Model feature ' || chr(39) || feature || chr(39) || ' = ' || printf('%.2f', v) || ', pushed the score ' || CASE WHEN push >= 0 THEN 'toward fraud' ELSE 'toward clean' END || ' (weight ' || printf('%+.3f', push) || ').', chr(10) ORDER BY rnk) AS lines FROM f GROUP BY 1), "
+    "p AS (SELECT claim_id, claim_id % 997 / 997.0 AS p FROM (SELECT DISTINCT claim_id FROM edges) x) "
+    "SELECT p.claim_id, CAST(round(CAST(p.p AS DOUBLE), 4) AS DOUBLE) AS fraud_score, CASE WHEN p.p >= 0.31 THEN 'FLAG' WHEN p.p >= 0.01 THEN 'REVIEW' ELSE 'CLEAR' END AS decision_hint, 'model' AS rung, coalesce(r.ring_id, CASE WHEN p.claim_id % 3 = 0 THEN 'comm-' || p.claim_id % 10 END) AS ring_id, "
+    "'Fraud probability ' || printf('%.2f', CAST(p.p AS DOUBLE)) || ' from the trained ring classifier (driven mainly by entity_degree_max).' AS summary, CAST(s.n + 5 AS INTEGER) AS evidence, s.lines || chr(10) || q.lines AS lines FROM p LEFT JOIN rings r ON r.claim_id = p.claim_id JOIN shown s ON s.claim_id = p.claim_id JOIN pushed q ON q.claim_id = p.claim_id"
+)
+def model_score_contract(spark, folder):
+    """The model's score contract over given probabilities, contributions and communities."""
+    of = cut(_edges(spark, folder))
+    ids = of.select("claim_id").distinct()
+    ranks = spark.range(1, 7).select(F.col("id").cast("int").alias("rnk"))
+    given = F.element_at(F.array(*map(F.lit, _FEATURES)), F.col("rnk"))
+    pushed = ids.join(F.broadcast(ranks)).select("claim_id", F.col("rnk").alias("rank"), given.alias("feature"), ((F.col("claim_id") + F.col("rnk")) % 7).cast("double").alias("feature_value"), F.expr(_PUSH.replace("0.25", "0.25D").replace("0.125", "0.125D").replace("0.5 ", "0.5D ")).alias("shap_value"))
+    chances = ids.select("claim_id", (F.col("claim_id") % 997 / 997).alias("score"))
+    groups = ids.where("claim_id % 3 = 0").select("claim_id", F.concat(F.lit("comm-"), F.col("claim_id") % 10).alias("ring_id"))
+    found = scoring.model_scores(of, chances, pushed, detect.rings(of), groups, 0.31, 0.01, "m1")
+    evidence = F.col("explanation.evidence")
+    return found.select("claim_id", "fraud_score", "decision_hint", "rung", "ring_id", F.col("explanation.summary").alias("summary"), F.size(evidence).alias("evidence"), F.array_join(explain.evidence_lines(evidence), "\n").alias("lines"))
+
+
+_ASKED = [1, 33, 2, 999_999_999, 7, 35, 70, 100, 3, 6]
+
+
+@query(f"{JUDGED} SELECT v.claim_id, CAST(v.fraud_score AS DOUBLE) AS fraud_score, v.rung FROM (SELECT unnest({_ASKED}) AS claim_id) a JOIN verdicts v ON v.claim_id = a.claim_id")
+def score_batch(spark, folder):
+    """Scores of a few claims, one of them unknown, from a scorer that holds the rules' scores."""
+    of = cut(_edges(spark, folder))
+    held = explain.claim_scores(of, detect.verdicts(of, detect.rings(of)))
+    return scoring.Scorer(lambda: _claims(spark, folder), scores=held).batch(_ASKED).select("claim_id", "fraud_score", "rung")
+
+
 # --- audit log and workflow
 
 
@@ -552,6 +626,35 @@ def transition_events(spark, folder):
     return workflow.transition_events(rows).select("claim_id", "event_type", "to_status")
 
 
+def _asked(spark, folder) -> DataFrame:
+    """Requests of the events table's users, in the order of events."""
+    rows = _requests(spark, folder).drop("from_status")
+    return table(spark, folder, "events").select(F.col("user_id").alias("claim_id"), "event_id", F.col("ts").alias("requested_at")).join(rows, "event_id")
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS}, {_ALLOWED},
+q AS MATERIALIZED (SELECT e.user_id, r.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS rn FROM req r JOIN events e ON e.event_id = r.event_id),
+fold(user_id, rn, event_id, outcome, status, version) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, 'SUBMITTED', CAST(0 AS BIGINT) FROM (SELECT DISTINCT user_id FROM q) u
+  UNION ALL SELECT user_id, rn, event_id, outcome, CASE WHEN outcome = 200 THEN t ELSE status END, version + CASE WHEN outcome = 200 THEN 1 ELSE 0 END FROM (
+    SELECT q.user_id, q.rn, q.event_id, q.t, f.status, f.version, CASE WHEN NOT EXISTS (SELECT 1 FROM allowed a WHERE a.f = f.status AND a.t = q.t) THEN 409 WHEN NOT EXISTS (SELECT 1 FROM allowed a WHERE a.f = f.status AND a.t = q.t AND a.role = q.role) THEN 403 WHEN f.status = 'FLAGGED' AND q.t = 'APPROVED' AND NOT q.reasoned THEN 400 ELSE 200 END AS outcome
+    FROM fold f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1) x)
+SELECT user_id AS claim_id, event_id, outcome, status, version FROM fold WHERE rn > 0""")
+def folded_requests(spark, folder):
+    """Requests of one claim after another, each from the status that the ones before have left."""
+    asked = cut(_asked(spark, folder))
+    claims = asked.select("claim_id").distinct().select("claim_id", F.lit("SUBMITTED").alias("status"), F.lit(0).alias("version"))
+    return workflow.folded(claims, asked, ("requested_at", "event_id")).select("claim_id", "event_id", "outcome", "status", "version")
+
+
+@query("SELECT user_id AS claim_id, CAST(3 AS INTEGER) AS seq, CASE WHEN user_id % 3 = 0 THEN 'changed' ELSE 'deleted' END AS problem FROM events WHERE user_id % 3 <> 1 GROUP BY 1 HAVING count(*) >= 3")
+def audit_altered(spark, folder):
+    """Chains of which every third claim's third event was changed, and every other third's deleted."""
+    chain = cut(audit.append(_events(spark, folder), order=("occurred_at", "event_id")))
+    third = F.col("seq") == 3
+    after = chain.where(~(third & (F.col("claim_id") % 3 == 2))).withColumn("reason", F.when(third & (F.col("claim_id") % 3 == 0), "other").otherwise(F.col("reason")))
+    return audit.altered(chain, after)
+
+
 @query("WITH s AS (SELECT user_id, list_extract(['SUBMITTED','UNDER_REVIEW','APPROVED'], CAST(user_id % 3 + 1 AS INTEGER)) AS f, CASE WHEN user_id % 4 = 0 THEN 'FLAGGED' ELSE 'UNDER_REVIEW' END AS t FROM (SELECT DISTINCT user_id FROM events) e WHERE user_id % 5 <> 0) SELECT user_id AS claim_id, f AS from_status, CASE WHEN f = 'SUBMITTED' THEN t ELSE f END AS to_status FROM s")
 def apply_score(spark, folder):
     """Repeated scores, scores of claims scored before, and late ones."""
@@ -569,7 +672,7 @@ def validation_report(spark, folder):
     return workflow.validated(rows).select(F.explode("problems").alias("problem")).groupBy("problem").agg(F.count("*").alias("claims"))
 
 
-@query(f"{GRAPH} SELECT 'claims' AS part, count(*) AS rows FROM claims UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'events', count(*) FROM claims UNION ALL SELECT 'outbox', count(*) FROM claims UNION ALL SELECT 'rejected', 0")
+@query(f"{GRAPH} SELECT 'claims' AS part, count(phone) AS rows FROM norm UNION ALL SELECT 'links', count(*) FROM links WHERE claim_id IN (SELECT claim_id FROM norm WHERE phone IS NOT NULL) UNION ALL SELECT 'events', count(phone) FROM norm UNION ALL SELECT 'outbox', count(phone) FROM norm UNION ALL SELECT 'rejected', count(*) - count(phone) FROM norm")
 def create_claims(spark, folder):
     made = workflow.create_claims(_claims(spark, folder))
     out = None
@@ -646,27 +749,88 @@ def generated_claims(spark, folder):
     return generate.generate(spark)
 
 
+@query("SELECT unnest(['repeated ids', 'rings of a wrong size', 'rings over more than 20 days', 'rings without a common phone', 'held-out rings too early', 'other rings too late', 'odd phones']) AS rule, CAST(0 AS BIGINT) AS broken")
+def generated_invariants(spark, folder):
+    """What holds of generated claims, whatever the seed, and how often it is broken."""
+    p = generate.Plan()
+    rows = cut(generate.generate(spark, p))
+    of_ring = rows.where("ring_id is not null")
+    shared = of_ring.groupBy("ring_id", "claimant_phone").agg(F.count("*").alias("n")).groupBy("ring_id").agg(F.max("n").alias("common"), F.sum("n").alias("size"))
+    days = of_ring.groupBy("ring_id").agg(F.date_diff(F.max("incident_date"), F.min("incident_date")).alias("days"), F.min("incident_date").alias("first"), F.max("incident_date").alias("last"), F.max("held_out").alias("late"))
+    end = F.date_add(F.lit(p.start).cast("date"), p.val_end)
+    broken = {
+        "repeated ids": rows.agg((F.count("*") - F.count_distinct("claim_id")).alias("n")),
+        "rings of a wrong size": shared.where((F.col("size") < p.least) | (F.col("size") > p.most)).agg(F.count("*").alias("n")),
+        "rings over more than 20 days": days.where("days >= 20").agg(F.count("*").alias("n")),
+        "rings without a common phone": shared.where("common < 2").agg(F.count("*").alias("n")),
+        "held-out rings too early": days.where(F.col("late") & (F.col("first") <= end)).agg(F.count("*").alias("n")),
+        "other rings too late": days.where(~F.col("late") & (F.col("last") > end)).agg(F.count("*").alias("n")),
+        "odd phones": entities.bad_phones(rows).agg(F.count("*").alias("n")),
+    }
+    out = None
+    for rule, found in broken.items():
+        one = found.select(F.lit(rule).alias("rule"), F.col("n").cast("long").alias("broken"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@dataclasses.dataclass
+class _Trained:
+    """Point-in-time features, and the report and classifier made of them."""
+
+    rows: DataFrame
+    report: dict
+    classifier: training.Classifier
+
+
+#: Of this session's runs, by folder: training is the same for all queries that need it.
+_TRAINED: dict[tuple[str, str], _Trained] = {}
+
+
+def _trained(spark, folder) -> _Trained:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TRAINED:
+        claims = _claims(spark, folder)
+        truth = cut(claims.where("ring_id is not null").select("claim_id", "ring_id", "incident_date"))
+        made = training.as_of_dataset(claims, TRAIN_END, VAL_END)
+        rows = cut(training.split(training.labelled(made, truth), TRAIN_END, VAL_END))
+        late = truth.groupBy("ring_id").agg(F.min("incident_date").alias("d")).where(F.col("d") > F.lit(VAL_END).cast("date")).select("ring_id")
+        _TRAINED[key] = _Trained(rows, *training.ablation(rows, truth.select("claim_id", "ring_id"), late))
+    return _TRAINED[key]
+
+
+@query()
+def as_of_features(spark, folder):
+    """Features of every claim from the earliest of three graphs that has it."""
+    return training.as_of_dataset(_claims(spark, folder), TRAIN_END, VAL_END)
+
+
+@query()
+def ablation_report(spark, folder):
+    """Quality on the test period without the graph, with it, and calibrated."""
+    found = _trained(spark, folder).report
+    rows = [(name, float(r["auprc"]), float(r["flag_threshold"]), float(r["review_threshold"]), *[int(r["confusion"][c]) for c in ("tp", "fp", "fn", "tn")], float(r["held_out"]["recall"])) for name, r in found.items()]
+    return spark.createDataFrame(rows, "variant string, auprc double, flag_threshold double, review_threshold double, tp long, fp long, fn long, tn long, held_out_recall double")
+
+
 @query()
 def model_scores(spark, folder):
     """Calibrated scores of test claims from a model trained and calibrated on earlier ones."""
-    rows = _model_rows(spark, folder)
-    model = training.train(rows.where("split = 'train'"), features.ALL, trees=5, depth=4)
-    fit = training.calibrate(model, rows.where("split = 'val'"))
-    return training.calibrated_scores(model, fit, rows.where("split = 'test'")).select("claim_id", "raw", "score", "label")
+    known = _trained(spark, folder)
+    found = training.calibrated_scores(known.classifier.model, known.classifier.calibrator, known.rows.where("split = 'test'"))
+    return found.select("claim_id", "raw", "score", "label")
 
 
 @query()
 def model_contributions(spark, folder):
     """The five strongest feature contributions of claims in rings."""
-    rows = _model_rows(spark, folder)
-    model = training.train(rows.where("split = 'train'"), features.ALL, trees=5, depth=4)
-    return training.contributions(model, rows.where("split = 'test' and label = 1"), features.ALL)
-
-
-def _model_rows(spark, folder) -> DataFrame:
-    rows = _claims(spark, folder)
-    of = cut(graph.edges(rows))
-    made = features.features(of, rounds=10).join(rows.select("claim_id", "incident_date"), "claim_id")
-    return cut(training.split(training.labelled(made, rows.where("ring_id is not null")), TRAIN_END, VAL_END))
+    known = _trained(spark, folder)
+    return training.contributions(known.classifier.model, known.rows.where("split = 'test' and label = 1"), features.ALL)
 
 
+@query()
+def model_claim_scores(spark, folder):
+    """The score contract of every claim by the trained model."""
+    found = scoring.scores_by_model(cut(_edges(spark, folder)), _trained(spark, folder).classifier)
+    evidence = F.col("explanation.evidence")
+    return found.select("claim_id", "fraud_score", "decision_hint", "ring_id", "rung", F.col("explanation.summary").alias("summary"), F.size(evidence).alias("evidence"))

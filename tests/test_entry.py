@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-CHEAP = ["links", "entity_table", "entity_upsert", "degree_idf", "as_of_edges", "component_rings", "features_onehop", "features_twohop", "burstiness_by_entity", "average_precision", "best_threshold", "lift", "evidence_topk", "audit_verify", "transitions_check", "stream_sessions"]
 
 
 def _rows(columns, rows):
@@ -24,7 +23,7 @@ def tables():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, tables, name):
     found = entry.queries()[name](spark, FOLDER)
     want = tables.sql(entry.oracle_sql()[name])
