@@ -357,11 +357,11 @@ def amount_zscore(spark, folder):
 _SPLIT = f"CASE WHEN incident_date <= DATE '{TRAIN_END}' THEN 'train' WHEN incident_date <= DATE '{VAL_END}' THEN 'val' ELSE 'test' END"
 
 
-@query(f"{SCORED} SELECT {_SPLIT} AS split, count(*) AS claims, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS positive_rate, round((count(*) - sum(label)) / CAST(sum(label) AS DOUBLE), 6) AS class_weight FROM scored GROUP BY 1")
+@query(f"{SCORED} SELECT {_SPLIT} AS split, count(*) AS claims, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS positive_rate, coalesce(round((count(*) - sum(label)) / CAST(nullif(sum(label), 0) AS DOUBLE), 6), 1.0) AS class_weight FROM scored GROUP BY 1")
 def temporal_split(spark, folder):
     rows = training.split(_scored(spark, folder), TRAIN_END, VAL_END)
     pos = F.sum("label")
-    return rows.groupBy("split").agg(F.count("*").alias("claims"), pos.cast("long").alias("positives"), F.round(F.avg("label"), 6).alias("positive_rate"), F.round((F.count("*") - pos) / pos, 6).alias("class_weight"))
+    return rows.groupBy("split").agg(F.count("*").alias("claims"), pos.cast("long").alias("positives"), F.round(F.avg("label"), 6).alias("positive_rate"), F.coalesce(F.round((F.count("*") - pos) / F.nullif(pos, F.lit(0)), 6), F.lit(1.0)).alias("class_weight"))
 
 
 @query(f"{CLAIMED} SELECT claim_id, CASE WHEN ring_id IS NULL THEN 0 ELSE 1 END AS label FROM claims")
