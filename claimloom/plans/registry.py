@@ -276,13 +276,24 @@ def detect_ladder(spark, folder):
     return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {oracle.graph()},
+ids AS (SELECT 'c' || claim_id AS c, 'e:' || entity_type || ':' || canonical_value AS e, weight FROM edges),
+both_ways AS (SELECT c AS v, e AS o, weight FROM ids UNION ALL SELECT e, c, weight FROM ids),
+mass AS MATERIALIZED (SELECT v, sum(weight) AS k FROM both_ways GROUP BY 1),
+steps AS MATERIALIZED (SELECT b.v, b.o, b.weight / m.k AS share, false AS own FROM both_ways b JOIN mass m ON m.v = b.v UNION ALL SELECT v, v, 0, true FROM mass),
+push(turn, seed, v, p, r, pushed) AS (
+  SELECT DISTINCT 0, 'c' || claim_id, 'c' || claim_id, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), false FROM edges WHERE incident_date = (SELECT max(incident_date) FROM edges)
+  UNION ALL SELECT x.turn + 1, x.seed, s.o, sum(CASE WHEN s.own THEN x.p + CASE WHEN x.hot THEN {local_push.ALPHA} * x.r ELSE 0 END ELSE 0 END),
+    sum(CASE WHEN s.own AND x.hot THEN 0 WHEN s.own THEN x.r ELSE x.r * s.share * {1 - local_push.ALPHA} END), bool_or(s.own AND (x.hot OR x.pushed))
+  FROM (SELECT push.*, push.r / m.k > {local_push.EPSILON} AS hot FROM push JOIN mass m ON m.v = push.v WHERE turn < 150) x JOIN steps s ON s.v = x.v AND (s.own OR x.hot) GROUP BY 1, 2, 3)
+SELECT seed, v, round(p, 9) AS p, round(r, 9) AS r, pushed FROM push WHERE turn = 150""")
 def local_push_ranks(spark, folder):
     """Ranks around the newest claims, all those of the last day, by local push."""
     of = cut(_edges(spark, folder))
     last = of.agg(F.max("incident_date").alias("incident_date"))
     new = of.join(F.broadcast(last), "incident_date").select(F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("v")).distinct()
-    return local_push.local_push(detect.both_ways(of), new)
+    found = local_push.local_push(detect.both_ways(of), new)
+    return found.select("seed", "v", F.round("p", 9).alias("p"), F.round("r", 9).alias("r"), "pushed")
 
 
 # --- features

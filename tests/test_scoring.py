@@ -45,6 +45,8 @@ def test_reports_and_classifier(spark, trained, tmp_path):
     training.write_report(spark, report, str(tmp_path / "report"))
     assert training.read_report(spark, str(tmp_path / "report"))["graph"]["auprc"] == report["graph"]["auprc"]
     assert classifier.metadata["model_version"] == "gbt-5"
+    sample = training.contribution_samples(classifier.model, trained[0], features.ALL).collect()
+    assert [(r.claim_id, r["rank"]) for r in sample] == [(c, k) for c in (0, 1, 2) for k in (1, 2, 3)]
 
 
 def test_model_scores_end_to_end(spark, claims, trained):
@@ -100,6 +102,16 @@ def test_requests_fold_one_after_another(spark):
     assert workflow.folded(claims, rows.limit(0)).count() == 0
 
 
+def test_narratives_are_recorded(spark, claims):
+    of = cut(graph.edges(claims))
+    told = explain.narratives(explain.claim_scores(of, detect.verdicts(of, detect.rings(of))).where("claim_id < 3"))
+    rows = told.selectExpr("claim_id", "'FLAGGED' as status", "narrative", "grounded", "model_version", "'ann' as actor_id", "'INVESTIGATOR' as actor_role", "timestamp'2026-01-01 10:00:00' as occurred_at")
+    events = cut(audit.append(workflow.narrative_events(rows)))
+    one = events.where("claim_id = 1").first()
+    assert events.count() == 3 and (one.event_type, one.from_status, one.to_status, one.actor_id) == ("NARRATIVE_GENERATED", "FLAGGED", "FLAGGED", "ann")
+    assert json.loads(one.explanation_json)["grounded"] is True and {r.valid for r in audit.verify(events).collect()} == {True}
+
+
 def test_altered_events_are_named(spark):
     rows = spark.createDataFrame([("a", f"2026-01-0{i} 10:00:00", "X") for i in range(1, 4)], "claim_id string, at string, event_type string").selectExpr("claim_id", "cast(at as timestamp) as occurred_at", "event_type")
     chain = cut(audit.append(workflow.event_rows(rows)))
