@@ -2,6 +2,7 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import detect, entities, explain, features, graph, local, local_push
@@ -107,7 +108,9 @@ def test_communities_beat_the_trivial_partitions(spark, monkeypatch):
     assert judged[1].ring_id == "comm-1" and judged[1].ring_size == 6
 
 
-def test_local_push_on_paths(spark):
+@pytest.mark.parametrize("seeds", [200, 0])
+def test_local_push_on_paths(spark, monkeypatch, seeds):
+    monkeypatch.setattr(local, "LOCAL_SEEDS", seeds)  # in one task; distributed
     def run(n):
         rows = [(f"v{i:05d}", f"v{i + 1:05d}", 1.0) for i in range(n)]
         both = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "v string, o string, weight double")
@@ -118,6 +121,10 @@ def test_local_push_on_paths(spark):
     assert pushed == {v for v, x in long.items() if x.pushed} and 0 < len(pushed) < 50
     assert abs(sum(x.p + x.r for x in long.values()) - 1) < 1e-9 and max(long.values(), key=lambda x: x.p).v == "v00040"
     assert all(x.r <= 1e-2 * (1 if v == "v00000" else 2) + 1e-12 for v, x in long.items())
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "v string, o string, weight double")
+    lone = local_push.local_push(links, spark.createDataFrame([("a",), ("z",)], "v string")).where("seed = 'z'").collect()
+    assert [(x.v, x.p, x.r, x.pushed) for x in lone] == [("z", 0.0, 1.0, False)]
+    assert local_push.local_push(links, spark.createDataFrame([], "v string")).count() == 0
 
 
 def test_features_of_the_ring(spark):
