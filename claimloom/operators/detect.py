@@ -83,15 +83,14 @@ def communities(of: DataFrame, resolution: float = RESOLUTION, levels: int = MAX
     its least member. Up to `local.LOCAL_EDGES` edges one task takes the same steps. Vertices go by numbers in the order of their names.
     """
     base = cut(_ids(of).select("c", "e", "weight"))
+    if base.count() <= local.LOCAL_EDGES:
+        return base.coalesce(1).mapInPandas(local.communities_task(resolution, SETTLED, levels, rounds), "id string, community string")
     names = base.select(F.col("c").alias("id")).unionByName(base.select("e").toDF("id")).distinct()
     names = cut(ranked(names, "id", "v"))
     numbered = base.join(names.select(F.col("id").alias("c"), F.col("v").alias("vc")), "c").join(names.select(F.col("id").alias("e"), F.col("v").alias("ve")), "e")
     numbered = cut(numbered.select("vc", "ve", "weight"))
     both = numbered.select(F.col("vc").alias("v"), F.col("ve").alias("o"), "weight").unionByName(numbered.select(F.col("ve").alias("v"), F.col("vc").alias("o"), "weight"))
     total = numbered.agg(F.sum("weight")).first()[0] or 1.0
-    if numbered.count() <= local.LOCAL_EDGES:
-        place = numbered.coalesce(1).mapInPandas(local.communities_task(total, resolution, SETTLED, levels, rounds), "v long, m long")
-        return _split(base, cut(names.join(place, "v").select("id", F.col("m").alias("v"))))
     links, nodes = both, cut(both.groupBy("v").agg(F.sum("weight").alias("k")))
     member = names
     for _ in range(levels):
@@ -123,11 +122,6 @@ def communities(of: DataFrame, resolution: float = RESOLUTION, levels: int = MAX
         member = cut(member.join(place, "v").select("id", F.col("m").alias("v")))
         nodes = cut(at.groupBy(F.col("m").alias("v")).agg(F.sum("k").alias("k")))
         links = links.join(place.withColumnRenamed("m", "mv"), "v").join(place.select(F.col("v").alias("o"), F.col("m").alias("mo")), "o").where("mv <> mo").groupBy(F.col("mv").alias("v"), F.col("mo").alias("o")).agg(F.sum("weight").alias("weight"))
-    return _split(base, member)
-
-
-def _split(base: DataFrame, member: DataFrame) -> DataFrame:
-    """Connected parts of communities, named after their least members."""
     inside = base.join(member.select(F.col("id").alias("c"), F.col("v").alias("mc")), "c").join(member.select(F.col("id").alias("e"), F.col("v").alias("me")), "e").where("mc = me")
     whole = connected_components(inside, "c", "e").toDF("id", "community")
     return member.select("id").join(whole, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

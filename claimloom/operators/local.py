@@ -68,31 +68,44 @@ def settled(v: np.ndarray, o: np.ndarray, w: np.ndarray, k: np.ndarray, total: f
     return m, merged
 
 
-def communities_task(total: float, resolution: float, share: float, levels: int, rounds: int):
-    """For mapInPandas over all of (vc, ve, weight): (v, m), the community of each vertex, named by one of its vertices."""
+def connected(v: np.ndarray, o: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of each vertex's component; edges from either end."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, v, label[o])
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least[least]
+
+
+def communities_task(resolution: float, share: float, levels: int, rounds: int):
+    """For mapInPandas over all of (c, e, weight): (id, community) of each vertex, split into connected parts and named after their least vertices."""
 
     def step(batches):
         frames = list(batches)
         if not frames:
             return
         frame = pd.concat(frames)
-        names, ends = np.unique(np.concatenate([frame["vc"].to_numpy(), frame["ve"].to_numpy()]), return_inverse=True)
+        ends, names = pd.factorize(np.concatenate([frame["c"].to_numpy(), frame["e"].to_numpy()]), sort=True)
         half = len(frame)
         v, o, w = np.concatenate([ends[:half], ends[half:]]), np.concatenate([ends[half:], ends[:half]]), np.tile(frame["weight"].to_numpy(), 2)
-        k = np.bincount(v, w)
-        member, known = np.arange(len(names)), names
+        all_v, all_o, total, k = v, o, frame["weight"].sum() or 1.0, np.bincount(v, w)
+        member = np.arange(len(names))
         for _ in range(levels):
             m, merged = settled(v, o, w, k, total, resolution, share, rounds)
             if not merged:
                 break
             left, m = np.unique(m, return_inverse=True)
-            member, known = m[member], known[left]
+            member = m[member]
             k = np.bincount(m, k)
             between = m[v] != m[o]
             keys, place = np.unique(m[v][between] * len(left) + m[o][between], return_inverse=True)
             w = np.bincount(place, w[between])
             v, o = keys // len(left), keys % len(left)
-        yield pd.DataFrame({"v": names, "m": known[member]})
+        inside = member[all_v] == member[all_o]
+        yield pd.DataFrame({"id": names, "community": names[connected(all_v[inside], all_o[inside], len(names))]})
 
     return step
 
