@@ -183,21 +183,20 @@ def pagerank(of: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     several parts. Up to `local.LOCAL_EDGES` edges one task takes the same
     steps. Empty without seeds.
     """
-    start = of.join(seeds.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id").distinct()
+    start = cut(of.join(seeds.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id").distinct())
     count = start.count()
     if not count:
         return of.select("claim_id", F.lit(0.0).alias("score")).limit(0)
+    if of.count() <= local.LOCAL_EDGES:
+        whole = of.select("claim_id", F.concat_ws(":", *ENTITY).alias("e"), "weight").join(start.withColumn("seed", F.lit(True)), "claim_id", "left").na.fill(False, ["seed"])
+        kind = of.schema["claim_id"].dataType.simpleString()
+        return whole.coalesce(1).mapInPandas(local.pagerank_task(damping, tolerance, MAX_ROUNDS), f"claim_id {kind}, score double")
     claims = _numbered(of, ["claim_id"], "c")
     others = of.groupBy(*ENTITY).agg(F.sum("weight").alias("ke"))
     others = cut(others.withColumn("e", F.monotonically_increasing_id()))
     masses = of.groupBy("claim_id").agg(F.sum("weight").alias("kc"))
     linked = of.join(claims, "claim_id").join(masses, "claim_id").join(others, ENTITY)
     linked = cut(linked.select("c", "e", (F.col("weight") / F.col("kc") * damping).alias("up"), (F.col("weight") / F.col("ke") * damping).alias("down")))
-    if linked.count() <= local.LOCAL_EDGES:
-        flagged_ = start.join(claims, "claim_id").select("c", F.lit(True).alias("seed"))
-        whole = linked.join(flagged_, "c", "left").na.fill(False, ["seed"]).coalesce(1)
-        solved = cut(whole.mapInPandas(local.pagerank_task(damping, tolerance, MAX_ROUNDS), "c long, x double"))
-        return claims.join(solved, "c").join(start, "claim_id", "left_anti").select("claim_id", F.col("x").alias("score"))
     rising = linked.select("c", "e", "up").repartition("c").persist()
     falling, parts = _dealt(linked.select("e", "c", "down"), "e", "c")
 

@@ -28,19 +28,20 @@ def chebyshev(c: np.ndarray, e: np.ndarray, up: np.ndarray, down: np.ndarray, st
 
 
 def pagerank_task(damping: float, tolerance: float, most_rounds: int):
-    """For mapInPandas over all of (c, e, up, down, seed): (c, x) with x by the largest score of any vertex."""
+    """For mapInPandas over all of (claim_id, e, weight, seed): (claim_id, score) of claims that aren't seeds, by the largest score of any vertex."""
 
     def step(batches):
         frames = list(batches)
         if not frames:
             return
         frame = pd.concat(frames)
-        names, c = np.unique(frame["c"].to_numpy(), return_inverse=True)
-        _, e = np.unique(frame["e"].to_numpy(), return_inverse=True)
-        start = np.zeros(len(names))
-        start[c[frame["seed"].to_numpy(bool)]] = 1.0
-        x, y = chebyshev(c, e, frame["up"].to_numpy(), frame["down"].to_numpy(), start / start.sum(), damping, tolerance, most_rounds)
-        yield pd.DataFrame({"c": names, "x": x / max(x.max(), y.max())})
+        c, names = pd.factorize(frame["claim_id"].to_numpy())
+        e, _ = pd.factorize(frame["e"].to_numpy())
+        weight, seed = frame["weight"].to_numpy() * damping, np.zeros(len(names), bool)
+        seed[c[frame["seed"].to_numpy(bool)]] = True
+        up, down = weight / (np.bincount(c, weight) / damping)[c], weight / (np.bincount(e, weight) / damping)[e]
+        x, y = chebyshev(c, e, up, down, seed / seed.sum(), damping, tolerance, most_rounds)
+        yield pd.DataFrame({"claim_id": names[~seed], "score": x[~seed] / max(x.max(), y.max())})
 
     return step
 
