@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import chat, decontaminate, hmm, langid, mixing, secrets, simhash, tokencount, urlfilter, vectors
+from claimloom.llm import chat, decontaminate, hmm, langid, mixing, secrets, simhash, substrings, tokencount, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_hmm": hmm.op8_hmm,
         "op9_vectors": vectors.op9_vectors,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_substrings": substrings.op11_substrings,
         "op1_secrets_base": secrets.op1_secrets_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets_base": secrets.BASE_ORACLE, "op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_secrets_base": secrets.BASE_ORACLE, "op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_substrings": substrings.ORACLE}
