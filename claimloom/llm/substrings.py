@@ -87,7 +87,7 @@ class Rolling:
         return (self.sums[width : width + n] - self.sums[:n]) * self.down[:n]
 
 
-def _parts(raw: bytes) -> Iterator[bytes]:
+def parts(raw: bytes) -> Iterator[bytes]:
     """A text cut at gaps; a part is longer than `_PART` only by the rest of a word."""
     at = 0
     while len(raw) - at > _PART:
@@ -118,7 +118,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     at = 0
     while at < len(texts):
         if len(texts[at]) > _PART:
-            out.append(np.concatenate([_hashed(p)[0] for p in _parts(texts[at])]))
+            out.append(np.concatenate([_hashed(p)[0] for p in parts(texts[at])]))
             at += 1
             continue
         to, size = at, 0
@@ -334,7 +334,7 @@ def _covered(runs, words: int, window: int) -> np.ndarray:
 def _kept(raw: bytes, covered: np.ndarray | None) -> Iterator[bytes]:
     """The text of the words that stay, in pieces."""
     at, glue = 0, b""
-    for part in _parts(raw):
+    for part in parts(raw):
         words = part.split()
         stay = words if covered is None else list(itertools.compress(words, ~covered[at : at + len(words)]))
         at += len(words)
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             ids, rows, size = batch.column("id").to_pylist(), [], 0
             for i, raw in enumerate(raw_texts(batch.column("text"))):
-                words, spans, covered = sum(len(p.split()) for p in _parts(raw)), [], None
+                words, spans, covered = sum(len(p.split()) for p in parts(raw)), [], None
                 if batch.column("runs")[i].is_valid:
                     covered = _covered(batch.column("runs")[i].values, words, window)
                     edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).tolist()
