@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import chat, decontaminate, divergence, hmm, langid, mixing, secrets, simhash, substrings, tokencount, urlfilter, vectors
+from claimloom.llm import chat, decontaminate, divergence, hmm, langid, manifest, mixing, secrets, simhash, substrings, tokencount, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_substrings": substrings.op11_substrings,
         "op12_divergence": divergence.op12_divergence,
+        "op13_manifest": manifest.op13_manifest,
         "op1_secrets_base": secrets.op1_secrets_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets_base": secrets.BASE_ORACLE, "op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_substrings": substrings.ORACLE, "op12_divergence": divergence.ORACLE}
+    return {"op1_secrets_base": secrets.BASE_ORACLE, "op4_urlfilter": urlfilter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_substrings": substrings.ORACLE, "op12_divergence": divergence.ORACLE, "op13_manifest": manifest.ORACLE}
