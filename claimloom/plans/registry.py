@@ -787,10 +787,9 @@ def generated_invariants(spark, folder):
 
 @dataclasses.dataclass
 class _Trained:
-    """Point-in-time features, and the report and classifier made of them."""
+    """Point-in-time features, and the classifier made of them."""
 
     rows: DataFrame
-    report: dict
     classifier: training.Classifier
 
 
@@ -798,15 +797,19 @@ class _Trained:
 _TRAINED: dict[tuple[str, str], _Trained] = {}
 
 
+def _dataset(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Point-in-time features with split and label, and the truth."""
+    claims = _claims(spark, folder)
+    truth = cut(claims.where("ring_id is not null").select("claim_id", "ring_id", "incident_date"))
+    made = training.as_of_dataset(claims, TRAIN_END, VAL_END)
+    return cut(training.split(training.labelled(made, truth), TRAIN_END, VAL_END)), truth
+
+
 def _trained(spark, folder) -> _Trained:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TRAINED:
-        claims = _claims(spark, folder)
-        truth = cut(claims.where("ring_id is not null").select("claim_id", "ring_id", "incident_date"))
-        made = training.as_of_dataset(claims, TRAIN_END, VAL_END)
-        rows = cut(training.split(training.labelled(made, truth), TRAIN_END, VAL_END))
-        late = truth.groupBy("ring_id").agg(F.min("incident_date").alias("d")).where(F.col("d") > F.lit(VAL_END).cast("date")).select("ring_id")
-        _TRAINED[key] = _Trained(rows, *training.ablation(rows, truth.select("claim_id", "ring_id"), late))
+        rows, _ = _dataset(spark, folder)
+        _TRAINED[key] = _Trained(rows, training.classifier(rows))
     return _TRAINED[key]
 
 
@@ -819,7 +822,9 @@ def as_of_features(spark, folder):
 @query()
 def ablation_report(spark, folder):
     """Quality on the test period without the graph, with it, and calibrated."""
-    found = _trained(spark, folder).report
+    dataset, truth = _dataset(spark, folder)
+    late = truth.groupBy("ring_id").agg(F.min("incident_date").alias("d")).where(F.col("d") > F.lit(VAL_END).cast("date")).select("ring_id")
+    found, _ = training.ablation(dataset, truth.select("claim_id", "ring_id"), late)
     rows = [(name, float(r["auprc"]), float(r["flag_threshold"]), float(r["review_threshold"]), *[int(r["confusion"][c]) for c in ("tp", "fp", "fn", "tn")], float(r["held_out"]["recall"])) for name, r in found.items()]
     return spark.createDataFrame(rows, "variant string, auprc double, flag_threshold double, review_threshold double, tp long, fp long, fn long, tn long, held_out_recall double")
 
@@ -834,9 +839,9 @@ def model_scores(spark, folder):
 
 @query()
 def model_contributions(spark, folder):
-    """The five strongest feature contributions of claims in rings."""
+    """The five strongest feature contributions of every test claim."""
     known = _trained(spark, folder)
-    return training.contributions(known.classifier.model, known.rows.where("split = 'test' and label = 1"), features.ALL)
+    return training.contributions(known.classifier.model, known.rows.where("split = 'test'"))
 
 
 @query()

@@ -99,7 +99,7 @@ def fitted(spark):
         a, b = r.random(), r.random()
         rows.append((i, a, b, int(a + 0.3 * r.random() > 0.9)))
     frame = spark.createDataFrame(rows, "claim_id long, a double, b double, label int").cache()
-    model = training.train(frame.where("claim_id < 400"), ["a", "b"], trees=3, depth=3)
+    model = training.train(frame.where("claim_id < 400"), {"model": ["a", "b"]}, trees=3, depth=3)["model"]
     return frame, model, training.calibrate(model, frame.where("claim_id >= 400"))
 
 
@@ -107,14 +107,15 @@ def test_model_ranks_calibrates_and_explains(spark, fitted, tmp_path):
     frame, model, fit = fitted
     scored = training.calibrated_scores(model, fit, frame.where("claim_id >= 400"))
     assert metrics.average_precision(scored).first().average_precision > 0.6
-    top = training.contributions(model, frame.limit(20), ["a", "b"], 2).collect()
+    top = training.contributions(model, frame.limit(20), 2).collect()
     assert len(top) == 40 and sum(r.feature == "a" for r in top if r.rank == 1) > 15
     saved = training.Classifier(model, fit, {"model_version": "t"})
     saved.save(spark, str(tmp_path / "m"))
     again = training.Classifier.load(spark, str(tmp_path / "m"))
     assert again.metadata == {"model_version": "t"} and training.Classifier.load(spark, str(tmp_path / "none")) is None
-    margin = training.tree_arrays(model.stages[-1])
-    assert len(margin) == 3
+    assert len(again.model.trees) == 3
+    rescored = training.calibrated_scores(again.model, again.calibrator, frame.where("claim_id >= 400"))
+    assert sorted(map(str, rescored.collect())) == sorted(map(str, scored.collect()))
 
 
 def test_splits_and_weights(spark):

@@ -44,8 +44,8 @@ def test_reports_and_classifier(spark, trained, tmp_path):
     assert all("held_out" in r for r in report.values())
     training.write_report(spark, report, str(tmp_path / "report"))
     assert training.read_report(spark, str(tmp_path / "report"))["graph"]["auprc"] == report["graph"]["auprc"]
-    assert classifier.metadata["model_version"] == "gbt-5"
-    sample = training.contribution_samples(classifier.model, trained[0], features.ALL).collect()
+    assert classifier.metadata["model_version"] == "boosted-5"
+    sample = training.contribution_samples(classifier.model, trained[0]).collect()
     assert [(r.claim_id, r["rank"]) for r in sample] == [(c, k) for c in (0, 1, 2) for k in (1, 2, 3)]
 
 
