@@ -6,21 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import FLAG_AT, per_entity, suspiciousness
-from claimloom.operators import local
+from claimloom.operators import blocks, leiden
 from claimloom.operators.connected import connected_components
 from claimloom.operators.graph import ENTITY, MAX_DEGREE, pruned
-from claimloom.operators.ranges import ranked
 from claimloom.plans.durable import cut
 
 MIN_RING = 3
 # The score of a component ring, and the proximity above which a claim is reported.
 COMPONENT_SCORE, PROXIMITY = 0.9, 0.05
 DAMPING = 0.85
-#: PageRank: residual by the largest score at which rounds end, rounds that would be an error, edges of an entity in one part.
-TOLERANCE, MAX_ROUNDS, HUB = 1e-11, 150, 100_000
+#: PageRank: residual by the largest score at which rounds end, rounds that would be an error.
+TOLERANCE, MAX_ROUNDS = 1e-11, 150
 RESOLUTION = 1.2
-#: Communities: share of vertices that may still move as a level ends, levels and rounds a level at most.
-SETTLED, MAX_LEVELS, MAX_MOVES = 1e-3, 10, 24
 WINDOW_DAYS = 14
 
 
@@ -67,64 +64,16 @@ def both_ways(of: DataFrame) -> DataFrame:
     return ids.select(F.col("c").alias("v"), F.col("e").alias("o"), "weight").unionByName(ids.select(F.col("e").alias("v"), F.col("c").alias("o"), "weight"))
 
 
-def communities(of: DataFrame, resolution: float = RESOLUTION, levels: int = MAX_LEVELS, rounds: int = MAX_MOVES) -> DataFrame:
-    """(id, community): modularity communities of the whole weighted graph; ids as in `_ids`.
-
-    On each level every vertex starts by itself and moves to the neighbouring
-    community of most gain in weighted modularity at `resolution`, round by
-    round until an even and an odd round have moved no more than `SETTLED` of
-    the vertices; then communities become the vertices of the next level,
-    until a level merges nothing. Vertices move in parallel, in even rounds to communities of a
-    smaller name and in odd rounds to those of a larger one, so that no two
-    trade places for ever. A move needs a gain; ties go to the smaller name.
-    Parallel moves may still chase one another, so a level has at most `rounds`
-    rounds; the next level goes on from there. At last communities that have
-    fallen apart are split into their connected parts, and each is named after
-    its least member. Up to `local.LOCAL_EDGES` edges one task takes the same steps. Vertices go by numbers in the order of their names.
+def communities(of: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+    """(id, community): modularity communities of the whole weighted graph at `resolution`; ids as in `_ids`.
+
+    Levels of moving, refining and merging, see `leiden`. Every community is
+    connected and named after its least member; no vertex would gain by moving
+    to another. Reruns on as many blocks give the same communities.
     """
-    base = cut(_ids(of).select("c", "e", "weight"))
-    if base.count() <= local.LOCAL_EDGES:
-        return base.coalesce(1).mapInPandas(local.communities_task(resolution, SETTLED, levels, rounds), "id string, community string")
-    names = base.select(F.col("c").alias("id")).unionByName(base.select("e").toDF("id")).distinct()
-    names = cut(ranked(names, "id", "v"))
-    numbered = base.join(names.select(F.col("id").alias("c"), F.col("v").alias("vc")), "c").join(names.select(F.col("id").alias("e"), F.col("v").alias("ve")), "e")
-    numbered = cut(numbered.select("vc", "ve", "weight"))
-    both = numbered.select(F.col("vc").alias("v"), F.col("ve").alias("o"), "weight").unionByName(numbered.select(F.col("ve").alias("v"), F.col("vc").alias("o"), "weight"))
-    total = numbered.agg(F.sum("weight")).first()[0] or 1.0
-    links, nodes = both, cut(both.groupBy("v").agg(F.sum("weight").alias("k")))
-    member = names
-    for _ in range(levels):
-        links = cut(links)
-        dealt, parts = _dealt(links, "o", "v")  # as each round joins it
-        at = nodes.select("v", "k", F.col("v").alias("m"))
-        few, still, merged = SETTLED * nodes.count(), 0, 0
-        for turn in range(rounds):
-            mass = at.groupBy("m").agg(F.sum("k").alias("mk"))
-            placed = at.join(mass, "m")
-            there = _spread(placed.select(F.col("v").alias("o"), "m", "mk"), parts, "o")
-            near = dealt.join(there, ["o", "part"]).select("v", "m", "mk", "weight")
-            near = near.unionByName(placed.select("v", "m", "mk", F.lit(0.0).alias("weight")))
-            near = near.groupBy("v", "m").agg(F.sum("weight").alias("w"), F.max("mk").alias("mk")).join(at.select("v", "k", F.col("m").alias("old")), "v")
-            open_ = F.col("m") < F.col("old") if turn % 2 == 0 else F.col("m") > F.col("old")
-            own = F.col("m") == F.col("old")
-            gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mk") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * total), 9)
-            best = near.where(own | open_).groupBy("v").agg(F.first("k").alias("k"), F.first("old").alias("old"), F.min(F.struct((-gain).alias("g"), (~own).alias("moved"), "m"))["m"].alias("m"))
-            at = cut(best)
-            moved = at.where("m <> old").count()
-            at = at.select("v", "k", "m")
-            merged, still = merged + moved, still + 1 if moved <= few else 0
-            if still == 2:
-                break
-        dealt.unpersist()
-        if not merged:
-            break
-        place = at.select("v", "m")
-        member = cut(member.join(place, "v").select("id", F.col("m").alias("v")))
-        nodes = cut(at.groupBy(F.col("m").alias("v")).agg(F.sum("k").alias("k")))
-        links = links.join(place.withColumnRenamed("m", "mv"), "v").join(place.select(F.col("v").alias("o"), F.col("m").alias("mo")), "o").where("mv <> mo").groupBy(F.col("mv").alias("v"), F.col("mo").alias("o")).agg(F.sum("weight").alias("weight"))
-    inside = base.join(member.select(F.col("id").alias("c"), F.col("v").alias("mc")), "c").join(member.select(F.col("id").alias("e"), F.col("v").alias("me")), "e").where("mc = me")
-    whole = connected_components(inside, "c", "e").toDF("id", "community")
-    return member.select("id").join(whole, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    found = leiden.communities(cut(_ids(of).select("c", "e", "weight")), resolution)
+    names = cut(found.groupBy("label").agg(F.min("id").alias("community")))
+    return found.join(names, "label").select("id", "community")
 
 
 def modularity(of: DataFrame, member_of: DataFrame, resolution: float = RESOLUTION) -> float:
@@ -136,6 +85,36 @@ def modularity(of: DataFrame, member_of: DataFrame, resolution: float = RESOLUTI
     return inside / total - resolution * spread / (2 * total) ** 2 if total else 0.0
 
 
+def community_faults(of: DataFrame, member_of: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+    """(rule, broken): how often a partition breaks what communities promise.
+
+    Every vertex has one community; a community is connected; no vertex gains
+    by moving to another; modularity isn't below that of single vertices.
+    """
+    base = cut(_ids(of).select("c", "e", "weight"))
+    both = cut(both_ways(of))
+    total = base.agg(F.sum("weight")).first()[0] or 1.0
+    k = both.groupBy("v").agg(F.sum("weight").alias("k"))
+    placed = cut(member_of.select(F.col("id").alias("v"), F.col("community").alias("m")).join(k, "v"))
+    mass = cut(placed.groupBy("m").agg(F.sum("k").alias("mass")))
+    to = both.join(placed.select(F.col("v").alias("o"), "m"), "o").groupBy("v", "m").agg(F.sum("weight").alias("w"))
+    own = placed.join(mass, "m").join(to, ["v", "m"], "left").select("v", F.col("m").alias("own"), "k", (F.coalesce("w", F.lit(0.0)) - resolution * F.col("k") * (F.col("mass") - F.col("k")) / (2 * total)).alias("stay"))
+    moves = to.join(mass, "m").join(own, "v").where("m <> own")
+    gains = moves.where(F.col("w") - resolution * F.col("k") * F.col("mass") / (2 * total) > F.col("stay") + 1e-8).select("v").distinct()
+    inside = base.join(placed.select(F.col("v").alias("c"), F.col("m").alias("mc")), "c").join(placed.select(F.col("v").alias("e"), F.col("m").alias("me")), "e").where("mc = me")
+    parts = connected_components(inside, "c", "e").toDF("v", "part")
+    apart = placed.join(parts, "v", "left").groupBy("m").agg(F.count_distinct(F.coalesce("part", "v")).alias("n")).where("n > 1")
+    alone = -resolution * (placed.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0) / (2 * total) ** 2
+    vertices = base.select("c").union(base.select("e")).distinct()
+    broken = {
+        "vertices without one community": vertices.count() - member_of.select("id").distinct().count() + member_of.count() - member_of.select("id").distinct().count(),
+        "communities in several parts": apart.count(),
+        "single moves that gain": gains.count(),
+        "modularity below that of single vertices": int(modularity(of, member_of, resolution) < alone),
+    }
+    return of.sparkSession.createDataFrame(list(broken.items()), "rule string, broken long")
+
+
 def community_verdicts(of: DataFrame, member_of: DataFrame, least: int = MIN_RING) -> DataFrame:
     """(claim_id, ring_id, ring_size, score) of communities with `least` claims or more."""
     claims = of.groupBy("claim_id").agg(F.first("incident_date").alias("incident_date")).withColumn("id", F.concat(F.lit("c"), F.col("claim_id").cast("string")))
@@ -147,28 +126,6 @@ def community_verdicts(of: DataFrame, member_of: DataFrame, least: int = MIN_RIN
     return placed.join(scored, "community").select("claim_id", "ring_id", "ring_size", "score")
 
 
-def _numbered(of: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Numbers in place of names, as every round joins and sums by them."""
-    return cut(of.select(*keys).distinct().select(*keys, F.monotonically_increasing_id().alias(name)))
-
-
-def _dealt(rows: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """`rows` with part, kept dealt out by (key, part), and (key, part) of the keys with more than one part.
-
-    A key with more than `HUB` rows has several parts, told apart by `other`,
-    so that no task holds all edges of a hub.
-    """
-    hubs = cut(rows.groupBy(key).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
-    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    dealt = rows.join(hubs, key, "left").select(*rows.columns, part).repartition(key, "part").persist()
-    return dealt, hubs.select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-
-def _spread(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """`rows` with part, repeated for each part of their key."""
-    return rows.join(parts, key, "left").withColumn("part", F.coalesce("part", F.lit(0)))
-
-
 def pagerank(of: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(claim_id, score) of claims that aren't seeds: personalised PageRank over weighted edges, by the largest score of any vertex.
 
@@ -177,58 +134,11 @@ def pagerank(of: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     1 - damping^2 and 1, as the graph is undirected, and Chebyshev iteration
     solves it with a third of the error left after each round (power iteration:
     0.85). Rounds go on until the largest residual is below `tolerance` times
-    the largest score; `MAX_ROUNDS` would be an error, not a result.
-
-    Steps stay dealt out by what they are joined with, those of a hub in
-    several parts. Up to `local.LOCAL_EDGES` edges one task takes the same
-    steps. Empty without seeds.
+    the largest score; `MAX_ROUNDS` would be an error, not a result. A round is
+    two supersteps of `blocks`. Empty without seeds.
     """
     start = cut(of.join(seeds.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id").distinct())
-    count = start.count()
-    if not count:
-        return of.select("claim_id", F.lit(0.0).alias("score")).limit(0)
-    if of.count() <= local.LOCAL_EDGES:
-        whole = of.select("claim_id", F.concat_ws(":", *ENTITY).alias("e"), "weight").join(start.withColumn("seed", F.lit(True)), "claim_id", "left").na.fill(False, ["seed"])
-        kind = of.schema["claim_id"].dataType.simpleString()
-        return whole.coalesce(1).mapInPandas(local.pagerank_task(damping, tolerance, MAX_ROUNDS), f"claim_id {kind}, score double")
-    claims = _numbered(of, ["claim_id"], "c")
-    others = of.groupBy(*ENTITY).agg(F.sum("weight").alias("ke"))
-    others = cut(others.withColumn("e", F.monotonically_increasing_id()))
-    masses = of.groupBy("claim_id").agg(F.sum("weight").alias("kc"))
-    linked = of.join(claims, "claim_id").join(masses, "claim_id").join(others, ENTITY)
-    linked = cut(linked.select("c", "e", (F.col("weight") / F.col("kc") * damping).alias("up"), (F.col("weight") / F.col("ke") * damping).alias("down")))
-    rising = linked.select("c", "e", "up").repartition("c").persist()
-    falling, parts = _dealt(linked.select("e", "c", "down"), "e", "c")
-
-    def raised(of_claims: DataFrame, value: str) -> DataFrame:
-        """(e, y): what claims give to their entities."""
-        return rising.join(of_claims.select("c", value), "c").groupBy("e").agg(F.sum(F.col("up") * F.col(value)).alias("y"))
-
-    def lowered(of_entities: DataFrame) -> DataFrame:
-        """(c, z): what entities give back to their claims."""
-        return falling.join(_spread(of_entities, parts, "e"), ["e", "part"]).groupBy("c").agg(F.sum(F.col("down") * F.col("y")).alias("z"))
-
-    middle, half = 1 - damping**2 / 2, damping**2 / 2
-    again = (1 - damping) / count
-    state = cut(start.join(claims, "claim_id").select("c", F.lit(0.0).alias("x"), F.lit(again).alias("r"), F.lit(again / middle).alias("d")))
-    rho = half / middle
-    for turn in range(MAX_ROUNDS):
-        back = lowered(raised(state, "d")).select("c", F.lit(0.0).alias("x"), F.col("z").alias("r"), F.lit(0.0).alias("d"))
-        moved = state.select("c", (F.col("x") + F.col("d")).alias("x"), (F.col("r") - F.col("d")).alias("r"), "d").unionByName(back)
-        sums = moved.groupBy("c").agg(F.sum("x").alias("x"), F.sum("r").alias("r"), F.sum("d").alias("d"))
-        last, rho = rho, 1 / (2 * middle / half - rho)
-        state = cut(sums.select("c", "x", "r", (rho * last * F.col("d") + 2 * rho / half * F.col("r")).alias("d")))
-        if turn % 3 == 2:
-            r, x = state.agg(F.max(F.abs("r")), F.max("x")).first()
-            if r <= tolerance * x:
-                break
-    else:
-        raise RuntimeError(f"PageRank has not converged in {MAX_ROUNDS} rounds")
-    most = max(x, raised(state, "x").agg(F.max("y")).first()[0] or 0.0)
-    rising.unpersist()
-    falling.unpersist()
-    ranked = claims.join(state.select("c", "x"), "c", "left").join(start, "claim_id", "left_anti")
-    return ranked.select("claim_id", (F.coalesce("x", F.lit(0.0)) / most).alias("score"))
+    return blocks.pagerank(of, start, ENTITY, damping, tolerance, MAX_ROUNDS)
 
 
 def verdicts(of: DataFrame, component_rings: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -269,6 +269,18 @@ def communities(spark, folder):
     return detect.community_verdicts(of, detect.communities(of))
 
 
+@query(f"""WITH {oracle.graph()}
+SELECT 'vertices without one community' AS rule, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'communities in several parts', 0 UNION ALL SELECT 'single moves that gain', 0 UNION ALL SELECT 'modularity below that of single vertices', 0
+UNION ALL SELECT 'vertices', count(*) FROM (SELECT 'c' || claim_id AS v FROM edges UNION SELECT 'e:' || entity_type || ':' || canonical_value FROM edges) x
+UNION ALL SELECT 'claims', count(DISTINCT claim_id) FROM edges""")
+def community_checks(spark, folder):
+    """What communities promise, checked on the graph itself: connected parts, no single move that gains, every vertex once."""
+    of = cut(_edges(spark, folder))
+    found = cut(detect.communities(of))
+    counts = found.agg(F.count("*").alias("v"), F.count_if(F.col("id").startswith("c")).alias("c")).select(F.expr("stack(2, 'vertices', v, 'claims', c)").alias("rule", "broken"))
+    return detect.community_faults(of, found).unionByName(counts)
+
+
 @query()
 def detect_ladder(spark, folder):
     """The whole ladder, communities included."""

@@ -2,11 +2,13 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import detect, entities, explain, features, graph, local, local_push
+from claimloom.operators import blocks, detect, entities, explain, features, graph, local_push
 from claimloom.plans.durable import cut
+from tests import one_task
 
 D = datetime.date
 
@@ -82,35 +84,76 @@ def test_pagerank_equals_dense_iteration(spark, monkeypatch):
     rank = start
     for _ in range(200):
         rank = 0.85 * (rank @ (w / w.sum(1, keepdims=True))) + 0.15 * start
-    for edges_, hub in ((local.LOCAL_EDGES, detect.HUB), (0, 7)):  # in one task; distributed, hubs in parts
-        monkeypatch.setattr(local, "LOCAL_EDGES", edges_)
-        monkeypatch.setattr(detect, "HUB", hub)
+    for small, often in ((20_000, 60), (30, 5)):  # two blocks; more, with lineage cut often
+        monkeypatch.setattr(blocks, "SMALL", small)
+        monkeypatch.setattr(blocks, "SETTLE_EVERY", often)
         got = {x.claim_id: x.score for x in detect.pagerank(of, seeds).collect()}
         assert 1 not in got and len(got) == 65
         assert all(abs(got[c] - rank[at[f"c{c}"]] / rank.max()) < 1e-9 for c in got)
     assert detect.pagerank(of, seeds.limit(0)).count() == 0
 
 
-def test_communities_beat_the_trivial_partitions(spark, monkeypatch):
+def test_communities_keep_their_promises(spark, monkeypatch):
     of = cut(graph.edges(_network(spark)))
-    found = cut(detect.communities(of))
-    monkeypatch.setattr(local, "LOCAL_EDGES", 0)
-    monkeypatch.setattr(detect, "HUB", 7)
-    apart = {r.id: r.community for r in detect.communities(of).collect()}
-    assert apart == {r.id: r.community for r in found.collect()}
-    assert found.count() == found.select("id").distinct().count()
-    alone, one = found.select("id", F.col("id").alias("community")), found.select("id", F.lit("x").alias("community"))
-    score = detect.modularity(of, found)
-    assert score > detect.modularity(of, alone) and score > detect.modularity(of, one)
-    ring = {r.community for r in found.where("id in ('c1','c2','c3','c4','c5','c6')").collect()}
-    assert len(ring) == 1
+    for small in (20_000, 30):
+        monkeypatch.setattr(blocks, "SMALL", small)
+        found = cut(detect.communities(of))
+        assert found.count() == found.select("id").distinct().count() == cut(detect.both_ways(of)).select("v").distinct().count()
+        alone, one = found.select("id", F.col("id").alias("community")), found.select("id", F.lit("x").alias("community"))
+        score = detect.modularity(of, found)
+        assert score > detect.modularity(of, alone) and score > detect.modularity(of, one)
+        ring = {r.community for r in found.where("id in ('c1','c2','c3','c4','c5','c6')").collect()}
+        assert len(ring) == 1
+        assert _broken(of, {r.id: r.community for r in found.collect()}, 1.2) == (0, 0)
+        assert all(r.broken == 0 for r in detect.community_faults(of, found).collect())
     judged = {r.claim_id: r for r in detect.community_verdicts(of, found).collect()}
     assert judged[1].ring_id == "comm-1" and judged[1].ring_size == 6
 
 
-@pytest.mark.parametrize("seeds", [200, 0])
-def test_local_push_on_paths(spark, monkeypatch, seeds):
-    monkeypatch.setattr(local, "LOCAL_SEEDS", seeds)  # in one task; distributed
+def _broken(of, community, resolution):
+    """Communities in several parts, and single moves that would gain."""
+    near, total = {}, 0.0
+    for x in of.collect():
+        a, b = f"c{x.claim_id}", f"e:{x.entity_type}:{x.canonical_value}"
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = x.weight
+        total += x.weight
+    k = {v: sum(o.values()) for v, o in near.items()}
+    mass = {}
+    for v, m in community.items():
+        mass[m] = mass.get(m, 0.0) + k[v]
+    gains = 0
+    for v, m in community.items():
+        to = {m: 0.0}
+        for o, w in near[v].items():
+            to[community[o]] = to.get(community[o], 0.0) + w
+        worth = {c: w - resolution * k[v] * (mass[c] - (k[v] if c == m else 0.0)) / (2 * total) for c, w in to.items()}
+        gains += max(worth.values()) > worth[m] + 1e-8
+    seen, parts = set(), {}
+    for v in community:
+        if v in seen:
+            continue
+        parts[community[v]] = parts.get(community[v], 0) + 1
+        todo = [v]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [o for o in near[x] if community[o] == community[x]]
+    return sum(n > 1 for n in parts.values()), gains
+
+
+def test_communities_of_random_graphs(spark, monkeypatch):
+    r = random.Random(12)
+    monkeypatch.setattr(blocks, "SMALL", 60)
+    for size in (90,):
+        rows = {(r.randrange(size), r.randrange(size // 3)) for _ in range(size * 2)}
+        of = spark.createDataFrame([(c, "PHONE", str(e), 1.0 + r.random()) for c, e in rows], "claim_id long, entity_type string, canonical_value string, weight double")
+        found = {x.id: x.community for x in detect.communities(of).collect()}
+        assert _broken(of, found, 1.2) == (0, 0)
+        assert all(min(v for v in found if found[v] == m) == m for m in set(found.values()))
+
+
+def test_local_push_on_paths(spark):
     def run(n):
         rows = [(f"v{i:05d}", f"v{i + 1:05d}", 1.0) for i in range(n)]
         both = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "v string, o string, weight double")
@@ -127,6 +170,39 @@ def test_local_push_on_paths(spark, monkeypatch, seeds):
     assert local_push.local_push(links, spark.createDataFrame([], "v string")).count() == 0
 
 
+def test_local_push_equals_one_task(spark):
+    links = cut(detect.both_ways(cut(graph.edges(_network(spark)))))
+    seeds = ["c1", "c101", "c2"]
+    want = pd.concat(one_task.push_task(seeds, 0.15, 1e-4, 400)([links.toPandas()]))
+    want = {(x.seed, x.v): (x.p, x.r, x.pushed) for x in want.itertuples()}
+    got = {(x.seed, x.v): (x.p, x.r, x.pushed) for x in local_push.local_push(links, spark.createDataFrame([(s,) for s in seeds], "v string"), epsilon=1e-4).collect()}
+    assert got.keys() == want.keys()
+    for key, (p, r, pushed) in want.items():
+        assert abs(got[key][0] - p) < 1e-12 and abs(got[key][1] - r) < 1e-12 and got[key][2] == pushed
+
+
+def test_local_push_reads_what_it_pushes(spark, monkeypatch):
+    """Rows read from the store don't grow with the graph."""
+    monkeypatch.setattr(local_push, "BUCKET", 40)
+    read = {}
+    for n in (400, 8000):
+        rows = [(f"v{i:05d}", f"v{i + 1:05d}", 1.0) for i in range(n)]
+        store = local_push.adjacency(spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "v string, o string, weight double"))
+        fetched, plain = [], local_push.Store.neighbours
+
+        def counted(self, of, fetched=fetched, plain=plain):
+            some = [r.bucket for r in of.select(self.bucket_of("v").alias("bucket")).distinct().collect()]
+            fetched.append(self.rows.where(F.col("bucket").isin(some)).count())
+            return plain(self, of)
+
+        monkeypatch.setattr(local_push.Store, "neighbours", counted)
+        local_push.local_push(store, spark.createDataFrame([("v00200",)], "v string"), epsilon=0.02).count()
+        monkeypatch.setattr(local_push.Store, "neighbours", plain)
+        assert sum(fetched) > 0 and "PartitionFilters: [" in store.rows.where("bucket in (1)")._jdf.queryExecution().toString()
+        read[n] = sum(fetched)
+    assert read[8000] < 2 * read[400]
+
+
 def test_features_of_the_ring(spark):
     found = {x.claim_id: x for x in features.features(cut(graph.edges(_network(spark)))).collect()}
     one = found[1]
