@@ -4,8 +4,8 @@ Strong findings stand alone: assignments of passwords, tokens and keys, cloud
 access identifiers, long hex runs. Besides them a text has parts that mean
 little alone: login names, endpoints, and mixed-case random-looking tokens.
 A weak part is reported only if a part that completes a credential lies in the
-same scope (a run of lines without an empty line) and no further than `REACH`
-code points away. That is an interval join of secrets with identifiers and
+same scope, a run of lines without an empty line, however far away. That is an
+interval join of secrets with identifiers and
 endpoints; as a scope never leaves its document, each document's intervals are
 sorted and swept where the text already is, so neither texts nor parts are
 shuffled and no pair is ever built: the sweep asks for the nearest interval on
@@ -31,8 +31,6 @@ from claimloom.sources.tables import table
 #: The strong kinds, in the order that breaks ties of position, then the weak ones.
 KINDS = ("assign", "access", "hex", "token", "login", "endpoint")
 BASE = KINDS[:3]
-#: Code points between two parts of one credential, at most.
-REACH = 240
 #: What a weak token needs: its length and the bits a character of its empirical entropy.
 TOKEN_LENGTH, TOKEN_BITS = 20, 3.4
 
@@ -107,7 +105,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     def near(span: Span, others: _Near) -> bool:
         at = bisect_right(breaks, span[1])
         begin, end = (breaks[at - 1] if at else 0), (breaks[at] if at < len(breaks) else len(text))
-        return others.touches(max(begin, span[1] - REACH), min(end, span[2] + REACH))
+        return others.touches(begin, end)
 
     who, where, what = _Near(identifiers), _Near(endpoints), _Near(secrets)
     found = [t for t in tokens if near(t, who) or near(t, where)]

@@ -91,7 +91,7 @@ def _links(fps: DataFrame, segments: int) -> DataFrame:
     """Edges (a, b) that connect exactly what fingerprints within two bits connect; `fps` is distinct."""
     own, cells = _cells(segments)
     dealt = fps.selectExpr("fp", f"{own} as own").selectExpr("fp", f"explode({cells}) as cell")
-    shared = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))  # stored, as a join with a bare table can split a crowded cell
     members = cut(dealt.join(shared, "cell"))
     small = members.where(F.col("n") <= CELL_LIMIT).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     near = "transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))"
@@ -99,7 +99,7 @@ def _links(fps: DataFrame, segments: int) -> DataFrame:
     crowd = members.where(F.col("n") > CELL_LIMIT).select("fp").distinct()
     flips = ", ".join(f"fp ^ shiftleft(1L, {i})" for i in range(64))
     ball = crowd.selectExpr("fp", f"explode(array(fp, {flips})) as corner")
-    hub = ball.groupBy("corner").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    hub = cut(ball.groupBy("corner").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z"))
     stars = ball.join(hub, "corner").where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
@@ -120,8 +120,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     segments = 16 if groups.count() <= COARSE_UP_TO else 32
     found = connected_components(_links(groups.select("fp"), segments)).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    label = rooted.join(named, "root").select("fp", "component", "root")
+    rooted = cut(rooted)
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    label = cut(rooted.join(named, "root").select("fp", "component", "root"))
     return marked.join(label, "fp").select(id_col, "fp", "component", "root", *carry)
 
 

@@ -169,7 +169,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     stood = stood.select("size", "raw", (F.coalesce("n_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "row").alias("root"))
     joined = held.select("row", "id", "size", "raw").join(stood, ["size", "raw"], "left")
     joined = joined.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "row").alias("root"))
-    named = joined.groupBy("root").agg(F.min("id").alias("component"))
+    joined = cut(joined)
+    named = cut(joined.groupBy("root").agg(F.min("id").alias("component")))  # stored, so that the join can split a large component
     return joined.join(named, "root").select(F.col("id").alias(id_col), "n_links", "component")
 
 
