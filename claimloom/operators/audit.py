@@ -36,8 +36,13 @@ def instant(at: Column) -> Column:
 
 
 def canonical_json(raw: Column) -> Column:
-    """JSON text with the keys of every level sorted and no spaces; null for null."""
-    return F.to_json(F.parse_json(raw))
+    """JSON text with the keys of every level sorted and no spaces; null for null and for what isn't JSON (see `malformed`)."""
+    return F.to_json(F.try_parse_json(raw))
+
+
+def malformed(events: DataFrame) -> DataFrame:
+    """Events whose explanation isn't JSON, to be set aside before a batch is appended."""
+    return events.where(F.col("explanation_json").isNotNull() & F.try_parse_json("explanation_json").isNull())
 
 
 def _parts() -> tuple[Column, Column, Column]:

@@ -6,23 +6,17 @@ targets, and loops vanish. The expected number of vertices falls by a constant
 factor a round whatever the graph's shape, so long chains and large stars need
 logarithmically many rounds, each a partially aggregated minimum and two
 equi-joins that adaptive execution can split when one vertex is hot.
-Once no more than `LOCAL_EDGES` edges are left, one task finishes them by
-union-find: its input has that proven bound, whatever the graph's size was.
-The round tables are then composed backwards, and the component id is the
-smallest vertex id of its members.
+Rounds go on until no edge is left; the round tables are then composed
+backwards, and the component id is the smallest vertex id of its members.
+A round's edges are deleted once the next round's are stored.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.plans.durable import cut
-
-#: Edges that a single task may resolve.
-LOCAL_EDGES = 200_000
-
+from claimloom.plans.durable import cut, drop
 
 def _targets(edges: DataFrame, turn: int) -> DataFrame:
     """For each vertex the vertex it points at: the one of least hash in its closed neighbourhood."""
@@ -31,24 +25,6 @@ def _targets(edges: DataFrame, turn: int) -> DataFrame:
     return both.groupBy("a").agg(F.min("best").alias("best")).select("a", F.least("best", order("a"))["v"].alias("r"))
 
 
-def _union_find(batches):
-    """(a, r) for the vertices of all batches' edges; r is the same for a whole component."""
-    home: dict = {}
-
-    def find(x):
-        while home.setdefault(x, x) != x:
-            home[x] = x = home[home[x]]
-        return x
-
-    for batch in batches:
-        for u, v in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
-            u, v = find(u), find(v)
-            if u != v:
-                home[max(u, v)] = min(u, v)
-    if home:
-        yield pd.DataFrame({"a": list(home), "r": [find(x) for x in home]})
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) for every vertex that an edge names.
 
@@ -57,27 +33,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges count once. An empty edge table gives an empty result.
     """
     pair = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    live = cut(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    loops = live.where("a = b").select("a")
-    live = live.where("a <> b")
-    kind = dict(live.dtypes)["a"]
+    known = cut(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    loops = known.where("a = b").select("a")
+    live, stored = known.where("a <> b"), None
     rounds: list[DataFrame] = []
-    while live.count() > LOCAL_EDGES:
+    while not live.isEmpty():
         to = cut(_targets(live, len(rounds)))
         rounds.append(to)
         moved = live.join(to.withColumnRenamed("r", "ra"), "a").drop("a")
         moved = moved.join(to.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b")
         live = cut(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    label = live.coalesce(1).mapInPandas(_union_find, f"a {kind}, r {kind}")
-    for to in reversed(rounds):
+        if stored is not None:
+            drop(stored)
+        stored = live
+    if not rounds:
+        return loops.select(F.col("a").alias("vertex"), F.col("a").alias("component"))
+    label = rounds[-1]
+    for to in reversed(rounds[:-1]):
         last = label.select(F.col("a").alias("r"), F.col("r").alias("root"))
         label = to.join(last, "r", "left").select("a", F.coalesce("root", "r").alias("r"))
     label = cut(label)
-    found = label
-    if rounds:
-        least = label.groupBy("r").agg(F.min("a").alias("component"))
-        found = label.join(least, "r").select("a", "component")
-    found = found.toDF("vertex", "component")
+    drop(stored, *rounds)
+    least = cut(label.groupBy("r").agg(F.min("a").alias("component")))  # stored, so that the join can split a large component
+    found = label.join(least, "r").select(F.col("a").alias("vertex"), "component")
     if loops.isEmpty():
         return found
     alone = loops.join(label.select("a"), "a", "left_anti")

@@ -27,7 +27,7 @@ def claim_components(of: DataFrame) -> DataFrame:
     An entity links each of its claims to its least claim, so there are no
     more links than edges, whatever the degrees.
     """
-    hub = of.groupBy(*ENTITY).agg(F.min("claim_id").alias("hub"), F.max("claim_id").alias("last")).where("hub <> last")
+    hub = cut(of.groupBy(*ENTITY).agg(F.min("claim_id").alias("hub"), F.max("claim_id").alias("last")).where("hub <> last"))
     star = of.join(hub, ENTITY).where("claim_id <> hub").select("claim_id", "hub")
     found = connected_components(star, "claim_id", "hub").toDF("claim_id", "component")
     claims = of.select("claim_id").distinct()
@@ -36,8 +36,8 @@ def claim_components(of: DataFrame) -> DataFrame:
 
 def rings(of: DataFrame, limits: dict[str, int] = MAX_DEGREE, least: int = MIN_RING) -> DataFrame:
     """(claim_id, ring_id, ring_size): components of the pruned graph with `least` claims or more."""
-    found = claim_components(pruned(of, limits))
-    size = found.groupBy("component").agg(F.count("*").alias("ring_size")).where(F.col("ring_size") >= least)
+    found = cut(claim_components(pruned(of, limits)))
+    size = cut(found.groupBy("component").agg(F.count("*").alias("ring_size")).where(F.col("ring_size") >= least))
     return found.join(size, "component").select("claim_id", F.concat(F.lit("kcore-"), F.col("component").cast("string")).alias("ring_id"), "ring_size")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import idf_weight
 from claimloom.operators.entities import links
+from claimloom.plans.durable import cut
 
 ENTITY = ["entity_type", "canonical_value"]
 # The degree beyond which an entity links too many claims to say anything.
@@ -20,13 +21,13 @@ def edges(claims: DataFrame, as_of: datetime.date | str | None = None) -> DataFr
     """(claim_id, entity_type, canonical_value, claim_amount double, incident_date, degree, weight).
 
     With `as_of` only claims up to that day exist, and degrees count these
-    alone. Degrees are pre-aggregated and joined back, so an entity with a
-    third of all claims is neither sorted nor held by one task.
+    alone. Degrees are pre-aggregated, stored and joined back: a join of
+    rows with a stored table can split an entity with a third of all claims.
     """
     if as_of is not None:
         claims = claims.where(F.col("incident_date") <= F.lit(str(as_of)).cast("date"))
     linked = links(claims.withColumn("claim_amount", F.col("claim_amount").cast("double")), "claim_amount", "incident_date")
-    degree = linked.groupBy(*ENTITY).agg(F.count("*").alias("degree"))
+    degree = cut(linked.groupBy(*ENTITY).agg(F.count("*").alias("degree")))
     return linked.join(degree, ENTITY).select("claim_id", *ENTITY, "claim_amount", "incident_date", "degree", idf_weight(F.col("degree")).alias("weight"))
 
 

@@ -37,7 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._claimloom_path = path
+    return out
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete what `cut` has stored for these, which nothing may read any more: a loop's former round."""
+    for df in stored:
+        path = getattr(df, "_claimloom_path", None)
+        if path:
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def sweep(spark: SparkSession) -> None:

@@ -26,9 +26,7 @@ HELD_OUT = T.StructType([T.StructField("ring_id", T.StringType())])
 #: Claims made of orders: every fiftieth customer is a ring that shares a phone number; some phones are foreign or no numbers.
 DERIVATION = """
 WITH first_item AS (
-  SELECT l_orderkey, l_suppkey FROM (
-    SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS rn
-    FROM {lineitem}) x WHERE rn = 1),
+  SELECT l_orderkey, min_by(l_suppkey, (l_linenumber, l_suppkey, l_partkey)) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey),
 base AS (
   SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, CAST(o.o_orderdate AS DATE) AS od, c.c_name, c.c_nationkey, f.l_suppkey,
          o.o_custkey % 50 = 0 AS is_ring,
