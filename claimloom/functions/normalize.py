@@ -18,19 +18,47 @@ ABBREVIATIONS = {
 }
 COMPANY_SUFFIXES = ("pvt ltd", "private limited", "pvt. ltd.", "& sons", "and sons", "ltd", "limited", "inc", "llc")
 PHONE = r"^(?:\+91|0091|91)?0?([1-9][0-9]{9})$"
+# Fixed values of the public numbering plans: country code, whether numbers are dialled with a 0 at home, first digits, further digits (least, most).
+COUNTRIES = (
+    ("1", False, "2-9", 9, 9),
+    ("27", True, "1-8", 8, 8),
+    ("33", True, "1-9", 8, 8),
+    ("44", True, "1-9", 8, 9),
+    ("49", True, "1-9", 5, 10),
+    ("55", True, "1-9", 9, 10),
+    ("60", True, "1-9", 7, 9),
+    ("61", True, "2-478", 8, 8),
+    ("62", True, "2-9", 7, 11),
+    ("65", False, "3689", 7, 7),
+    ("7", False, "3-9", 9, 9),
+    ("81", True, "1-9", 8, 9),
+    ("86", True, "1-9", 9, 10),
+    ("880", True, "1-9", 8, 9),
+    ("94", True, "1-9", 8, 8),
+    ("966", True, "1-9", 8, 8),
+    ("971", True, "2-9", 7, 8),
+    ("977", True, "1-9", 8, 9),
+)
+# Country codes are prefix-free, so one pattern at most fits; the second takes the home prefix out.
+ABROAD = "^(?:" + "|".join(f"{code}{'0?' if zero else ''}[{first}][0-9]{{{least},{most}}}" for code, zero, first, least, most in COUNTRIES) + ")$"
+HOME_PREFIX = "^(" + "|".join(code for code, zero, *_ in COUNTRIES if zero) + ")0"
 # The scores from which a claim is flagged or reviewed.
 FLAG_AT, REVIEW_AT = 0.75, 0.40
 
 
 def phone(raw: Column) -> Column:
-    """E.164 form of an Indian number: ten digits, not 0 first, after an optional +91, 0091 or 91 and an optional 0.
+    """E.164 form of a number: Indian, or of a country in `COUNTRIES` with + or 00 before its code.
 
-    Null for any other input: numbers of other countries (any other + or 00)
-    are set aside, as how they are written at home isn't known.
+    Indian: ten digits, not 0 first, after an optional +91, 0091 or 91 and an
+    optional 0. Others: the country's lengths, with or without the 0 that is
+    dialled at home. Null for any other input, impossible lengths too.
     """
     plus = F.when(F.trim(raw).startswith("+"), "+").otherwise("")
-    local = F.regexp_extract(F.concat(plus, F.regexp_replace(raw, "[^0-9]", "")), PHONE, 1)
-    return F.when(local != "", F.concat(F.lit("+91"), local))
+    dialled = F.concat(plus, F.regexp_replace(raw, "[^0-9]", ""))
+    local = F.regexp_extract(dialled, PHONE, 1)
+    rest = F.regexp_extract(dialled, r"^(?:\+|00)([0-9]+)$", 1)
+    abroad = F.when(rest.rlike(ABROAD), F.concat(F.lit("+"), F.regexp_replace(rest, HOME_PREFIX, "$1")))
+    return F.when(local != "", F.concat(F.lit("+91"), local)).otherwise(abroad)
 
 
 def address(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.functions.normalize import ABBREVIATIONS, COMPANY_SUFFIXES, PHONE
+from claimloom.functions.normalize import ABBREVIATIONS, ABROAD, COMPANY_SUFFIXES, HOME_PREFIX, PHONE
 from claimloom.sources.claims import DERIVATION
 
 CLAIMS = f"claims AS MATERIALIZED ({DERIVATION.format(lineitem='lineitem', orders='orders', customer='customer')})"
@@ -10,7 +10,10 @@ CLAIMS = f"claims AS MATERIALIZED ({DERIVATION.format(lineitem='lineitem', order
 
 def phone(c: str) -> str:
     sign = f"CASE WHEN trim({c}) LIKE '+%' THEN '+' ELSE '' END"
-    return f"nullif('+91' || regexp_extract({sign} || regexp_replace({c}, '[^0-9]', '', 'g'), '{PHONE}', 1), '+91')"
+    dialled = f"{sign} || regexp_replace({c}, '[^0-9]', '', 'g')"
+    rest = rf"regexp_extract({dialled}, '^(?:\+|00)([0-9]+)$', 1)"
+    abroad = rf"CASE WHEN regexp_matches({rest}, '{ABROAD}') THEN '+' || regexp_replace({rest}, '{HOME_PREFIX}', '\1') END"
+    return f"coalesce(nullif('+91' || regexp_extract({dialled}, '{PHONE}', 1), '+91'), {abroad})"
 
 
 def address(c: str) -> str:

@@ -116,7 +116,7 @@ def phone_norm(spark, folder):
 
 @query(f"{GRAPH} SELECT claim_id, claimant_phone FROM norm WHERE phone IS NULL")
 def bad_phones(spark, folder):
-    """Foreign numbers and what is no number."""
+    """What is no number of a country that the numbering plan knows."""
     return entities.bad_phones(_claims(spark, folder))
 
 

@@ -12,7 +12,9 @@ def _one(spark, f, values):
 def test_phone(spark):
     good = ["+91-9876500011", "9876500011", "098765 00011", "+91 98765 00011", "0091 98765 00011", "9112345678", " +91 (0) 98765 00011"]
     assert _one(spark, normalize.phone, good) == ["+919876500011"] * 5 + ["+919112345678", "+919876500011"]
-    assert _one(spark, normalize.phone, ["12345", "", None, "+44 20 7946 0958", "phone", "+65 8123 4567", "+47 22 12 34 56", "0065 8123 4567", "0000000000", "+9876500011"]) == [None] * 10
+    assert _one(spark, normalize.phone, ["12345", "", None, "phone", "+47 22 12 34 56", "0000000000", "+9876500011", "+65 812 4567", "+65 81234 56789", "0044 20 7946", "8123 4567"]) == [None] * 11
+    abroad = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+65 8123 4567", "0065 8123 4567", "+1 (212) 555-0147", "0049 030 901820", "+971 50 123 4567", "+61 412 345 678"]
+    assert _one(spark, normalize.phone, abroad) == ["+442079460958"] * 2 + ["+6581234567"] * 2 + ["+12125550147", "+4930901820", "+971501234567", "+61412345678"]
 
 
 def test_address(spark):
