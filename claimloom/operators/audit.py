@@ -54,6 +54,19 @@ def _parts() -> tuple[Column, Column, Column]:
     return F.concat(F.lit("{"), before, F.lit(",")), F.concat(_text("reason", c("reason")), F.lit(","), _text("ringId", c("ring_id")), F.lit(",")), F.concat(F.lit(","), _text("toStatus", c("to_status")), F.lit("}"))
 
 
+def parts_around_status() -> tuple[Column, Column, Column, Column]:
+    """What stands around eventType, fromStatus, prevHash and seq, for whoever decides on these event by event."""
+    c = F.col
+    explanation = F.concat(F.lit('"explanationJson":'), F.coalesce(canonical_json(c("explanation_json")), F.lit("null")))
+    score = c("fraud_score").cast("decimal(5,4)").cast("string")
+    return (
+        F.concat_ws(",", _text("actorId", c("actor_id")), _text("actorRole", c("actor_role")), _text("claimId", c("claim_id"))),
+        F.concat_ws(",", explanation, _text("fraudScore", score)),
+        F.concat_ws(",", _text("modelVersion", c("model_version")), _text("occurredAt", instant(c("occurred_at")))),
+        F.concat_ws(",", _text("reason", c("reason")), _text("ringId", c("ring_id"))),
+    )
+
+
 def canonical(prev: Column, seq: Column) -> Column:
     """The canonical JSON of an event whose chain place is given."""
     before, between, after = _parts()

@@ -15,7 +15,7 @@ from claimloom.plans import oracle
 from claimloom.plans.durable import cut, shared_dir
 from claimloom.sources import claims as source
 from claimloom.sources.tables import table
-from claimloom.streaming import flows
+from claimloom.streaming import flows, keyed
 
 AS_OF, TRAIN_END, VAL_END = "1998-04-15", "1998-04-15", "1999-05-20"
 
@@ -763,6 +763,34 @@ def stream_apply_scores(spark, folder):
     return spark.read.parquet(f"{path}/out").select("claim_id", "model_version", (F.col("from_status") != F.col("to_status")).alias("moved"))
 
 
+@query(f"""WITH {oracle.CLAIMS},
+e AS (SELECT CAST(claim_id AS VARCHAR) AS claim_id, claim_id % 3 = 0 AS asked, claim_id % 5 = 0 AS decided, claim_id % 7 = 0 AS known FROM claims)
+SELECT claim_id,
+  CASE WHEN known THEN 'DENIED' WHEN asked THEN 'UNDER_REVIEW' WHEN decided THEN 'APPROVED' ELSE 'FLAGGED' END AS status,
+  CAST(CASE WHEN known THEN 1 WHEN asked THEN 2 WHEN decided THEN 2 ELSE 1 END AS BIGINT) AS events,
+  CAST(CASE WHEN known THEN asked::INT + decided::INT WHEN asked THEN decided::INT ELSE 0 END AS BIGINT) AS refused, CAST(1 AS BIGINT) AS repeats
+FROM e""")
+def stream_claim_events(spark, folder):
+    """Requests and scores of every claim in one stream over keyed state that starts from the claims table.
+
+    An adjuster asks for review of some, then every claim is scored FLAG twice by one model, then an investigator approves some; some claims were denied before.
+    """
+    claims = _claims(spark, folder).select(F.col("claim_id").alias("n"), F.col("claim_id").cast("string").alias("claim_id"))
+    at = lambda day: F.lit(f"2026-01-0{day} 10:00:00").cast("timestamp")
+    asked = claims.where("n % 3 = 0").select("claim_id", at(1).alias("at"), F.lit("UNDER_REVIEW").alias("to_status"), F.lit("ADJUSTER").alias("role"), F.lit("a").alias("actor_id"))
+    scored = claims.select("claim_id", F.explode(F.array(at(2), at(3))).alias("at"), F.lit("m1").alias("model_version"), F.lit("FLAG").alias("decision_hint"), F.lit(0.9).alias("fraud_score"))
+    decided = claims.where("n % 5 = 0").select("claim_id", at(4).alias("at"), F.lit("APPROVED").alias("to_status"), F.lit("INVESTIGATOR").alias("role"), F.lit("i").alias("actor_id"), F.lit("seen").alias("reason"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keyed.requests_as_events(asked).unionByName(keyed.scores_as_events(scored)).unionByName(keyed.requests_as_events(decided)).write.parquet(f"{path}/in")
+    states = keyed.initial_states(claims.select("claim_id", F.when(F.col("n") % 7 == 0, "DENIED").otherwise("SUBMITTED").alias("status"), F.lit(0).alias("version")))
+    stream = keyed.judged(spark.readStream.schema(keyed.EVENTS).parquet(f"{path}/in"), states)
+    keyed.started(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    counted = lambda c: F.count_if(c).cast("long")
+    last = F.max_by("to_status", F.when(F.col("outcome") == 200, F.col("seq")))
+    return out.groupBy("claim_id").agg(last.alias("status"), counted(F.col("outcome") == 200).alias("events"), counted(F.col("outcome") >= 400).alias("refused"), counted(F.col("outcome") == 208).alias("repeats"))
+
+
 # --- generator and model
 
 
