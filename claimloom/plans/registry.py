@@ -6,7 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import normalize
@@ -288,6 +288,27 @@ def detect_ladder(spark, folder):
     return detect.verdicts(of, detect.rings(of), detect.community_verdicts(of, detect.communities(of)))
 
 
+@query(f"""{RINGED}
+SELECT 'claims' AS rule, count(DISTINCT claim_id) AS n FROM edges UNION ALL SELECT 'claims of component rings', count(*) FROM rings
+UNION ALL SELECT 'ring claims below their ring', 0 UNION ALL SELECT 'claims without a ring that have one rung', 0 UNION ALL SELECT 'proximities out of bounds', 0""")
+def ladder_checks(spark, folder):
+    """What holds for the whole ladder, communities included, whatever the communities."""
+    of = cut(_edges(spark, folder))
+    known = cut(detect.rings(of))
+    found = cut(detect.verdicts(of, known, cut(detect.community_verdicts(of, detect.communities(of)))))
+    placed = found.join(known.select("claim_id", F.lit(True).alias("ringed")), "claim_id", "left")
+    lone = (F.col("rung").isin("ppr", "none")) != F.col("ring_id").isNull()
+    odd = (F.col("rung") == "ppr") & ~F.col("fraud_score").between(detect.PROXIMITY, 1.0)
+    rows = {
+        "claims": found.count(),
+        "claims of component rings": placed.where("ringed").count(),
+        "ring claims below their ring": placed.where(F.col("ringed") & (F.col("fraud_score") < detect.COMPONENT_SCORE)).count(),
+        "claims without a ring that have one rung": found.where(lone).count(),
+        "proximities out of bounds": found.where(odd).count(),
+    }
+    return spark.createDataFrame(list(rows.items()), "rule string, n long")
+
+
 @query(f"""WITH RECURSIVE {oracle.graph()},
 ids AS (SELECT 'c' || claim_id AS c, 'e:' || entity_type || ':' || canonical_value AS e, weight FROM edges),
 both_ways AS (SELECT c AS v, e AS o, weight FROM ids UNION ALL SELECT e, c, weight FROM ids),
@@ -859,6 +880,52 @@ def as_of_features(spark, folder):
     return training.as_of_dataset(_claims(spark, folder), TRAIN_END, VAL_END)
 
 
+def _earliest(day: str | None) -> str:
+    return f"""(WITH {oracle.graph(day)}
+      SELECT claim_id, CAST(min(degree) AS DOUBLE) AS entity_degree_min, round(avg(degree), 6) AS entity_degree_mean, CAST(max(degree) AS DOUBLE) AS entity_degree_max,
+        round(sum(weight), 6) AS idf_weighted_degree, CAST(count(*) AS DOUBLE) AS one_hop_entity_count
+      FROM edges GROUP BY claim_id)"""
+
+
+@query(f"""WITH {oracle.CLAIMS},
+parts AS (SELECT 1 AS n, * FROM {_earliest(TRAIN_END)} a UNION ALL SELECT 2, * FROM {_earliest(VAL_END)} b UNION ALL SELECT 3, * FROM {_earliest(None)} c),
+first AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY n) AS turn FROM parts)
+SELECT c.claim_id, c.incident_date, CAST(c.claim_amount AS DOUBLE) AS claim_amount, entity_degree_min, entity_degree_mean, entity_degree_max, idf_weighted_degree, one_hop_entity_count
+FROM first f JOIN claims c ON c.claim_id = f.claim_id WHERE turn = 1""")
+def as_of_features_onehop(spark, folder):
+    """What SQL can state of the point-in-time features: each claim's own entities in the earliest graph that has it."""
+    found = training.as_of_dataset(_claims(spark, folder), TRAIN_END, VAL_END)
+    plain = ("claim_id", "incident_date", "claim_amount", "entity_degree_min", "entity_degree_max", "one_hop_entity_count")
+    return found.select(*plain, *[F.round(c, 6).alias(c) for c in ("entity_degree_mean", "idf_weighted_degree")])
+
+
+@query(f"""WITH {oracle.CLAIMS}
+SELECT 'test claims' AS rule, count(*) AS n FROM claims WHERE incident_date > DATE '{VAL_END}'
+UNION ALL SELECT 'scores outside 0 to 1', 0 UNION ALL SELECT 'order that calibration reverses', 0
+UNION ALL SELECT 'contributions', 5 * count(*) FROM claims WHERE incident_date > DATE '{VAL_END}'
+UNION ALL SELECT 'contributions out of order', 0 UNION ALL SELECT 'average precision below that of the amount', 0""")
+def model_checks(spark, folder):
+    """What holds for scores and contributions whatever the model."""
+    known = _trained(spark, folder)
+    test = known.rows.where("split = 'test'")
+    scored = cut(training.calibrated_scores(known.classifier.model, known.classifier.calibrator, test).select("claim_id", "raw", "score", "label", "claim_amount"))
+    ladder = Window.orderBy("raw").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = scored.groupBy("raw").agg(F.min("score").alias("least"), F.max("score").alias("most")).withColumn("before", F.max("most").over(ladder))
+    pushed = cut(training.contributions(known.classifier.model, test))
+    last = Window.partitionBy("claim_id").orderBy("rank")
+    wrong = pushed.withColumn("before", F.lag(F.abs("shap_value")).over(last)).where(F.abs("shap_value") > F.col("before"))
+    better = metrics.average_precision(scored).first()[0] >= metrics.average_precision(scored.select("claim_id", F.col("claim_amount").alias("score"), "label")).first()[0]
+    found = {
+        "test claims": scored.count(),
+        "scores outside 0 to 1": scored.where("not (score between 0 and 1 and raw between 0 and 1)").count(),
+        "order that calibration reverses": steps.where("least < before").count(),
+        "contributions": pushed.count(),
+        "contributions out of order": wrong.count(),
+        "average precision below that of the amount": int(not better),
+    }
+    return spark.createDataFrame(list(found.items()), "rule string, n long")
+
+
 @query()
 def ablation_report(spark, folder):
     """Quality on the test period without the graph, with it, and calibrated."""
