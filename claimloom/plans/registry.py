@@ -15,7 +15,7 @@ from claimloom.plans import oracle
 from claimloom.plans.durable import cut, shared_dir
 from claimloom.sources import claims as source
 from claimloom.sources.tables import table
-from claimloom.streaming import flows, keyed
+from claimloom.streaming import flows, keyed, outbox
 
 AS_OF, TRAIN_END, VAL_END = "1998-04-15", "1998-04-15", "1999-05-20"
 
@@ -812,6 +812,20 @@ def stream_claim_events(spark, folder):
     return out.groupBy("claim_id").agg(last.alias("status"), counted(F.col("outcome") == 200).alias("events"), counted(F.col("outcome") >= 400).alias("refused"), counted(F.col("outcome") == 208).alias("repeats"))
 
 
+@query(f"""WITH {oracle.CLAIMS}
+SELECT CAST(claim_id AS VARCHAR) AS id, CAST(claim_id AS VARCHAR) AS key, '{{"claim_id":"' || claim_id || '"}}' AS value, 'claim.submitted' AS topic,
+  CASE WHEN incident_date < DATE '{AS_OF}' THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS batch
+FROM claims WHERE claim_id % 2 = 1""")
+def outbox_published(spark, folder):
+    """The outbox through a stream with offsets of its own, in two runs: each row is sent once, by the run that its time falls to."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _outbox(spark, folder)
+    for part in (rows.where(F.col("created_at") < AS_OF), rows.where(F.col("created_at") >= AS_OF)):
+        outbox.store(part, f"{path}/store")
+        outbox.published(spark, f"{path}/store", f"{path}/sink", f"{path}/state").awaitTermination()
+    return outbox.sent(spark, f"{path}/sink").select("id", "key", "value", "topic", "batch")
+
+
 # --- generator and model
 
 
