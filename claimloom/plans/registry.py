@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import normalize
-from claimloom.operators import audit, detect, entities, explain, features, generate, graph, local_push, metrics, scoring, training, workflow
+from claimloom.operators import audit, detect, entities, explain, features, generate, graph, local_push, metrics, scoring, seals, training, versions, workflow
 from claimloom.plans import oracle
 from claimloom.plans.durable import cut, shared_dir
 from claimloom.sources import claims as source
@@ -690,6 +690,24 @@ def folded_requests(spark, folder):
     return workflow.folded(claims, asked, ("requested_at", "event_id")).select("claim_id", "event_id", "outcome", "status", "version")
 
 
+@query(f"""WITH {oracle.CLAIMS},
+first AS (SELECT claim_id, claim_id % 2 = 0 AS ok FROM claims WHERE claim_id % 3 <> 0),
+second AS (SELECT c.claim_id, coalesce(f.ok, false) AS moved FROM claims c LEFT JOIN first f ON f.claim_id = c.claim_id)
+SELECT claim_id, CAST(1 AS INTEGER) AS writer, CASE WHEN ok THEN 200 ELSE 403 END AS outcome, CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS new_version FROM first
+UNION ALL SELECT claim_id, 2, CASE WHEN moved THEN 409 ELSE 200 END, CAST(1 AS BIGINT) FROM second""")
+def versioned_moves(spark, folder):
+    """Two writers that have read the same claims: the second is refused where the first has moved the claim."""
+    claims = _claims(spark, folder).select("claim_id")
+    held = versions.Table(spark, f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}")
+    held.create(claims.select("claim_id", F.lit("SUBMITTED").alias("status"), F.lit(0).cast("long").alias("version")))
+    asked = claims.select("claim_id", F.lit(0).cast("long").alias("version"), F.lit(None).cast("string").alias("reason"))
+    role = F.when(F.col("claim_id") % 2 == 0, "ADJUSTER").otherwise("AUDITOR")
+    first = held.move(asked.where("claim_id % 3 <> 0").select("*", F.lit("UNDER_REVIEW").alias("to_status"), role.alias("role")))
+    second = held.move(asked.select("*", F.lit("FLAGGED").alias("to_status"), F.lit("SYSTEM").alias("role")))
+    both = first.withColumn("writer", F.lit(1)).unionByName(second.withColumn("writer", F.lit(2)))
+    return both.select("claim_id", "writer", "outcome", "new_version")
+
+
 @query("SELECT user_id AS claim_id, CAST(3 AS INTEGER) AS seq, CASE WHEN user_id % 3 = 0 THEN 'changed' ELSE 'deleted' END AS problem FROM events WHERE user_id % 3 <> 1 GROUP BY 1 HAVING count(*) >= 3")
 def audit_altered(spark, folder):
     """Chains of which every third claim's third event was changed, and every other third's deleted."""
@@ -699,6 +717,38 @@ def audit_altered(spark, folder):
     return audit.altered(chain, after)
 
 
+@query("""SELECT user_id AS claim_id, CAST(3 AS INTEGER) AS seq, CASE WHEN user_id % 3 = 0 THEN 'changed' ELSE 'deleted' END AS problem
+FROM events WHERE user_id % 3 <> 1 GROUP BY 1 HAVING count(*) >= 3""")
+def audit_sealed(spark, folder):
+    """Chains sealed in three batches, some changed or shortened afterwards: the events that the node tables alone name."""
+    chain = cut(audit.append(_events(spark, folder), order=("occurred_at", "event_id")))
+    tables = None
+    for number, part in enumerate(("seq <= 2", "seq = 3", "seq > 3")):
+        one = seals.seal(chain.where(part), tables, number)
+        tables = one if tables is None else tables.unionByName(one)
+    third = F.col("seq") == 3
+    after = chain.where(~(third & (F.col("claim_id") % 3 == 2))).withColumn("reason", F.when(third & (F.col("claim_id") % 3 == 0), "other").otherwise(F.col("reason")))
+    return seals.problems(tables, seals.recomputed(after))
+
+
+@query(f"""{_FIRSTS},
+h AS (SELECT user_id AS claim_id, sha256(repeat('0', 64) || body) AS d, sha256(CAST(user_id AS VARCHAR)) AS place FROM j),
+b AS (SELECT substr(place, 1, 2) AS path, sha256(string_agg(claim_id || ':1:' || d, ',' ORDER BY claim_id || ':1')) AS digest FROM h GROUP BY 1),
+m AS (SELECT substr(path, 1, 1) AS path, sha256(string_agg(path || ':' || digest, ',' ORDER BY path)) AS digest FROM b GROUP BY 1)
+SELECT CAST(2 AS INTEGER) AS level, path, digest FROM b
+UNION ALL SELECT 1, path, digest FROM m
+UNION ALL SELECT 0, '', sha256(string_agg(path || ':' || digest, ',' ORDER BY path)) FROM m""")
+def audit_seal_tree(spark, folder):
+    """The tree over first links, sealed in two batches: the newest nodes are those of one tree over all."""
+    first = cut(audit.append(_events(spark, folder), order=("occurred_at", "event_id")).where("seq = 1"))
+    tables = seals.seal(first.where("claim_id % 2 = 0"), None, 0, depth=2)
+    tables = tables.unionByName(seals.seal(first.where("claim_id % 2 = 1"), tables, 1, depth=2))
+    found = seals.latest(tables, 0)
+    for level in (1, 2):
+        found = found.unionByName(seals.latest(tables, level))
+    return found.select("level", "path", "digest")
+
+
 @query("WITH s AS (SELECT user_id, list_extract(['SUBMITTED','UNDER_REVIEW','APPROVED'], CAST(user_id % 3 + 1 AS INTEGER)) AS f, CASE WHEN user_id % 4 = 0 THEN 'FLAGGED' ELSE 'UNDER_REVIEW' END AS t FROM (SELECT DISTINCT user_id FROM events) e WHERE user_id % 5 <> 0) SELECT user_id AS claim_id, f AS from_status, CASE WHEN f = 'SUBMITTED' THEN t ELSE f END AS to_status FROM s")
 def apply_score(spark, folder):
     """Repeated scores, scores of claims scored before, and late ones."""
