@@ -35,13 +35,14 @@ class Conflict(Exception):
 
 
 @dataclasses.dataclass
-class Table:
-    """The table in the folder `path`, which all executors share; rows are keyed by claim_id and count a version of their own."""
+class Manifests:
+    """Numbered manifests in the folder `path`, which all executors share; each number is put in place by one writer.
+
+    Needs a store with a rename that doesn't replace, as HDFS has, or local files.
+    """
 
     spark: SparkSession
     path: str
-    most_parts: int = MOST_PARTS
-    buckets: int = BUCKETS
 
     def _jvm(self, *names: str):
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
@@ -83,6 +84,18 @@ class Table:
             files.delete(hidden, False)
         return True
 
+    def _drop_part(self, name: str) -> None:
+        place, files = self._jvm(name)
+        files.delete(place, True)
+
+
+@dataclasses.dataclass
+class Table(Manifests):
+    """The table in the folder `path`; rows are keyed by claim_id and count a version of their own."""
+
+    most_parts: int = MOST_PARTS
+    buckets: int = BUCKETS
+
     def _bucket(self, claim, buckets: int):
         return F.pmod(F.xxhash64(claim), F.lit(buckets)).cast("int")
 
@@ -145,8 +158,7 @@ class Table:
                     self.merge()
                 drop(asked)
                 return judged
-            place, files = self._jvm(parts[-1])  # the other writer was first
-            files.delete(place, True)
+            self._drop_part(parts[-1])  # the other writer was first
             drop(judged)
         raise Conflict(f"{most_tries} tries, each time another writer was first")
 
@@ -172,6 +184,5 @@ class Table:
         part = self._write(self.read(at), manifest["buckets"])
         if self._put(at + 1, manifest | {"parts": [part]}):
             return True
-        place, files = self._jvm(part)
-        files.delete(place, True)
+        self._drop_part(part)
         return False

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import normalize
-from claimloom.operators import audit, detect, entities, explain, features, generate, graph, local_push, metrics, scoring, seals, training, versions, workflow
+from claimloom.operators import audit, detect, difference, entities, explain, features, generate, graph, local_push, metrics, scoring, seals, training, versions, workflow
 from claimloom.plans import oracle
 from claimloom.plans.durable import cut, shared_dir
 from claimloom.sources import claims as source
@@ -222,6 +222,17 @@ def ring_members(spark, folder):
     return detect.ring_members(detect.rings(_edges(spark, folder)))
 
 
+@query(f"{RINGED} SELECT claim_id, ring_id, ring_size FROM rings")
+def rings_by_difference(spark, folder):
+    """The rings of a network that took its claims in by three batches of days, from what each batch touched."""
+    claims = cut(_claims(spark, folder))
+    network = difference.Network(spark, f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}")
+    day = F.col("incident_date")
+    for part in (day <= AS_OF, (day > AS_OF) & (day <= VAL_END), day > VAL_END):
+        network.add(claims.where(part))
+    return network.rings()
+
+
 _BURST = "SELECT {g}, CASE WHEN count(*) < 2 THEN 0.0 ELSE max(w) / CAST(count(*) AS DOUBLE) END AS burst FROM (SELECT {g}, count(*) OVER (PARTITION BY {g} ORDER BY incident_date RANGE BETWEEN CURRENT ROW AND INTERVAL 14 DAYS FOLLOWING) AS w FROM {t} WHERE incident_date IS NOT NULL) x GROUP BY {g}"
 
 
