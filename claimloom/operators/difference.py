@@ -36,6 +36,15 @@ from claimloom.plans.durable import cut, drop
 _TABLES = {"by_entity": (ENTITY, False), "by_claim": (["claim_id"], False), "degree": (ENTITY, True), "label": (["claim_id"], True), "member": (["label"], False), "group": (["label"], True)}
 
 
+#: Links of a bucket, about, and buckets at most.
+BUCKET, MOST_BUCKETS = 50_000, 10_000
+
+
+def buckets_for(links_expected: int) -> int:
+    """Buckets for a network that is to hold so many links; a network keeps the number that it began with."""
+    return max(1, min(MOST_BUCKETS, -(-links_expected // BUCKET)))
+
+
 @dataclasses.dataclass
 class Network(Manifests):
     """The network in the folder `path`, which all executors share."""

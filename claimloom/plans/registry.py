@@ -226,7 +226,7 @@ def ring_members(spark, folder):
 def rings_by_difference(spark, folder):
     """The rings of a network that took its claims in by three batches of days, from what each batch touched."""
     claims = cut(_claims(spark, folder))
-    network = difference.Network(spark, f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}")
+    network = difference.Network(spark, f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}", buckets=difference.buckets_for(3 * claims.count()))
     day = F.col("incident_date")
     for part in (day <= AS_OF, (day > AS_OF) & (day <= VAL_END), day > VAL_END):
         network.add(claims.where(part))
