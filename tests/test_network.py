@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import blocks, detect, entities, explain, features, graph, local_push
+from claimloom.operators import blocks, detect, entities, explain, features, graph, leiden, local_push
 from claimloom.plans.durable import cut
 from tests import one_task
 
@@ -233,3 +233,14 @@ def test_grounded(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r.g for r in frame.orderBy("i").select(explain.grounded(F.col("t"), F.array(F.lit(a))).alias("g")).collect()]
     assert got == [True, False, False, True, False, False, True]
+
+
+def test_the_last_stage_moves_many_vertices_of_a_community_in_one_round(spark, monkeypatch):
+    stars = spark.createDataFrame([(f"c{s}-{i}", f"e:SHOP:{s}", 1.0) for s in range(4) for i in range(30)], "c string, e string, weight double")
+    rounds, accept = [], leiden._carry_out
+    step = leiden.Blocks.step
+    monkeypatch.setattr(leiden._Level, "moved", lambda self, now, rounds: now)  # nothing is left to it but single vertices
+    monkeypatch.setattr(leiden.Blocks, "step", lambda self, now, act, *given: (rounds.append(1) if act is accept else None) or step(self, now, act, *given))
+    found = leiden.communities(stars, 1.2, levels=0).collect()
+    assert len({r.label for r in found}) == 4 and len(found) == 124
+    assert len(rounds) <= 6
