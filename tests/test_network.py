@@ -93,6 +93,25 @@ def test_pagerank_equals_dense_iteration(spark, monkeypatch):
     assert detect.pagerank(of, seeds.limit(0)).count() == 0
 
 
+def test_pagerank_rounds_send_shared_entities_alone(spark, monkeypatch):
+    """Two entities are shared among 67 claims; neither claims nor what only one of them has travels."""
+    of, sizes, step = cut(graph.edges(_network(spark))), [], blocks.Blocks.step
+
+    def numbers(x):
+        return x.size if isinstance(x, np.ndarray) else sum(map(numbers, x.values() if isinstance(x, dict) else x)) if isinstance(x, (dict, tuple)) else 0
+
+    def counted(self, now, act, *given):
+        out = step(self, now, act, *given)
+        if self.fixed is not None:
+            sizes.append(sum(out.map(lambda x: numbers(x[1][2])).collect()))
+        return out
+
+    monkeypatch.setattr(blocks.Blocks, "step", counted)
+    detect.pagerank(of, spark.createDataFrame([(1,), (101,)], "claim_id long"))
+    assert len(sizes) > 10 and max(sizes[:-1]) < 67  # the last one makes the scores
+    assert blocks.number_of_blocks(of, 50_000_000) >= 100
+
+
 def test_communities_keep_their_promises(spark, monkeypatch):
     of = cut(graph.edges(_network(spark)))
     for small in (20_000, 30):
