@@ -46,6 +46,28 @@ def test_as_of_recounts_degrees(spark):
     assert graph.edges(claims.limit(0)).count() == 0
 
 
+def test_edges_make_and_normalise_claims_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def phone(x):
+        seen.add(1)
+        return x
+
+    claims = _network(spark)
+    graph.edges(claims.withColumn("claimant_phone", F.udf(phone)("claimant_phone"))).collect()
+    assert seen.value == claims.count()
+
+
+def test_evidence_joins_shared_entities_alone(spark, monkeypatch):
+    of, asked, least = cut(graph.edges(_network(spark))), [], explain.least_claims
+    monkeypatch.setattr(explain, "least_claims", lambda rows, top: asked.append(rows.count()) or least(rows, top))
+    found = {(r.claim_id, r.entity_type): r for r in explain.shared_entity_evidence(of).collect()}
+    assert asked == [67] and len(found) == of.count()
+    assert found[1, "PHONE"].shared_with == [2, 3, 4, 5, 6] and found[1, "ADDRESS"].shared_with == []
+    listed = {r.claim_id: r.shared for r in explain.shared_evidence(of).collect()}
+    assert sorted((e.entity_type, e.shared_with_claim_ids) for e in listed[1]) == [("ADDRESS", []), ("PHONE", ["2", "3", "4", "5", "6"])]
+
+
 def test_rings_and_verdicts(spark):
     of = cut(graph.edges(_network(spark)))
     rings = detect.rings(of)
