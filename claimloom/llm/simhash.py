@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.llm import similar
 from claimloom.llm.arrow import map_columns, raw_texts
-from claimloom.llm.similar import similar_components
 from claimloom.operators.connected import connected_components
 from claimloom.plans.durable import cut
 from claimloom.sources.tables import table
@@ -53,9 +53,14 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         starts = ends - sizes
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[i:j], seed) for i, j in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
-        block = np.array(hashes[at : at + _BLOCK], np.uint64).view(np.uint8).reshape(-1, 8)
+        block = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
@@ -104,6 +109,11 @@ def _links(fps: DataFrame, segments: int) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """`_links` of distinct fingerprints, in as many segments as their number needs."""
+    return _links(fps, 16 if fps.count() <= COARSE_UP_TO else 32)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, fp, component, root, the columns in `carry`) for every row of `docs`; root is the group's id among fingerprints.
 
@@ -117,8 +127,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed, carry))
     groups = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    segments = 16 if groups.count() <= COARSE_UP_TO else 32
-    found = connected_components(_links(groups.select("fp"), segments)).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
+    found = connected_components(links(groups.select("fp"))).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
@@ -129,8 +138,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each near-duplicate group, all columns as they were.
 
-    Groups are those of `similar_components`, by the exact similarity of
-    5-word shingles, not the two-bit groups of `simhash_components`.
+    Groups are those of `similar_components`: by the exact similarity of
+    5-word shingles, of candidates by SimHash and then by MinHash.
     The row that stays has the doc_id that names the group, or none if the
     group has no id at all. Of several rows of the group with that id those
     stay whose digest of id and text is least, and of repeated ones the first
@@ -141,7 +150,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     plain, key = docs.columns, "__simhash_key"
     own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
     keyed = docs.withColumn(key, F.md5(F.concat(own, F.lit(":"), F.coalesce("text", F.lit("")))))
-    found = similar_components(keyed, key)
+    found = similar.similar_components(keyed, key)
     stays = found.where("doc_id <=> component").groupBy("root").agg(F.min(key).alias("__simhash_stays")).select("__simhash_stays")
     sortable = [c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind]
     first = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in sortable]))

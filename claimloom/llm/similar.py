@@ -1,22 +1,26 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-Candidates are found by banded MinHash: a document has `BANDS` cells, each
-the digest of `ROWS` minima, and two documents that share a cell are
-candidates. A pair of similarity s shares none with probability
-(1 - s^ROWS)^BANDS, 3 in a million at 0.8. SimHash cells can't take this
-place: at 0.8 fingerprints lie about ten bits apart and up to twenty, where
-unrelated vectors of segment popcounts are as close.
+Candidates are found twice. First by SimHash and its segment-popcount cells,
+as in `simhash`: texts whose fingerprints differ in two bits or fewer. At a
+similarity of 0.8 fingerprints lie about ten bits apart and up to twenty,
+where unrelated vectors of segment popcounts are as close, so these cells
+can't find all. What they leave apart is found by banded MinHash: a document
+has `BANDS` cells, each the digest of `ROWS` minima, and two documents that
+share a cell are candidates. A pair of similarity s shares none with
+probability (1 - s^ROWS)^BANDS, 3 in a million at 0.8.
 
 Every candidate is verified by its exact shingle sets. A cell's members are
-first compared with its least member only, which joins a large group of
-copies in linear time; members that this leaves in another component than the
-least member's are then compared with all members of other components. Parity
+first compared with its least member, which joins a large group of copies in
+linear time; then, where they are still apart, with about `PARTNERS` of them,
+with an eighth of them, and last every member outside the cell's largest
+component with all of other components. Each round knows the links of those
+before, so a member that any partner has linked meets no more of them. Parity
 sketches rule pairs out first: shingles are dealt to `PARITIES` buckets, and
 documents have at least as many shingles apart as buckets whose counts differ
 in parity. So each candidate is verified, ruled out by a proven bound, or
 joined already, and none is skipped.
 Documents with the same shingles stand for each other, and a text leaves its
-row only if its shingles share a cell with others'.
+row only if it is a candidate.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import simhash
 from claimloom.llm.arrow import map_columns, raw_texts
 from claimloom.operators.connected import connected_components
 from claimloom.plans.durable import cut
@@ -35,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 PARITIES = 1024
+#: Members of an open cell that all others are compared with at once, about; in a cell of no more, all.
+PARTNERS = 16
 _BLOCK = 512
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -71,23 +78,24 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, key: str, shingle: int) -> DataFrame:
-    """(id_col, key, fp long, n long, cells and parities array<long>) for every row; fp is a digest of the shingle set, 0 if that is empty."""
+    """(id_col, key, fp long, n long, sim long, cells and parities array<long>) for every row; fp is a digest of the shingle set, 0 if that is empty, sim its SimHash."""
     rows = docs.select(F.col(id_col), F.col(key), F.col(text_col).alias("text"))
 
     def step(batches):
         for batch in batches:
-            fps, sizes, found, odd = [], [], [], []
+            fps, sizes, sims, found, odd = [], [], [], [], []
             for raw in raw_texts(batch.column(2)):
                 h = shingle_hashes(raw, shingle)
                 fps.append(xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0)
                 sizes.append(len(h))
+                sims.append(simhash.majority(h) if len(h) else 0)
                 odd.append(parities(h))
                 found.append(cells(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], [id_col, key, "fp", "n", "cells", "parities"])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], [id_col, key, "fp", "n", "sim", "cells", "parities"])
 
     kinds = dict(rows.dtypes)
-    return map_columns(rows, step, f"`{id_col}` {kinds[id_col]}, `{key}` {kinds[key]}, fp long, n long, cells array<long>, parities array<long>")
+    return map_columns(rows, step, f"`{id_col}` {kinds[id_col]}, `{key}` {kinds[key]}, fp long, n long, sim long, cells array<long>, parities array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, key: str, shingle: int) -> DataFrame:
@@ -109,6 +117,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut(shared.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
+def _near(groups: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: texts of one fingerprint with the least of them, and these where fingerprints are within two bits."""
+    first = cut(groups.groupBy("sim").agg(F.min("fp").alias("a")))  # stored, as a join with a bare table can split a common fingerprint
+    same = groups.join(first, "sim").where("a <> fp").select("a", F.col("fp").alias("b"))
+    linked = simhash.links(first.select(F.col("sim").alias("fp"))).toDF("x", "y")
+    other = linked.join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y").select("a", "b")
+    return same.unionByName(other)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
+
+
 def similar_components(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, key, fp, component, root) for every row of `docs`; component is the least id of the group, root the group's own id.
 
@@ -122,35 +143,41 @@ def similar_components(docs: DataFrame, key: str, id_col: str = "doc_id", text_c
     """
     close = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
     marked = cut(_marked(docs, id_col, text_col, key, shingle))
-    one = F.min(F.struct(key, "n", "cells", "parities"))
+    one = F.min(F.struct(key, "n", "sim", "cells", "parities"))
     groups = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), one.alias("one")).select("fp", "least", "one.*"))
     dealt = groups.select("fp", "n", F.explode("cells").alias("cell"))
     hubs = dealt.groupBy("cell").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     hubs = cut(hubs)  # stored, as a join with a bare table can split a crowded cell
-    members = cut(dealt.join(hubs.select("cell", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "cell"))
-    sets = cut(_sets(docs, groups.select("fp", key).join(members.select("fp").distinct(), "fp"), text_col, key, shingle))
-
-    first = members.where((F.col("fp") != F.col("hub")) & close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    links = _verified(first, sets, similarity)
-    label = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
-    placed = members.join(label, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = placed.join(label.select(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    placed = cut(placed.select("cell", "fp", "n", "hub", "root", "hub_root"))
-    open_cells = placed.where("root <> hub_root").select("cell").distinct()
+    members = cut(dealt.join(hubs.select("cell", "m", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "cell"))
+    near = cut(_near(groups))
+    wanted = members.select("fp").unionByName(near.selectExpr("explode(array(a, b)) as fp")).distinct()
+    sets = cut(_sets(docs, groups.select("fp", key).join(wanted, "fp"), text_col, key, shingle))
+    links = _verified(near, sets, similarity)
+
+    label = _labels(links)
+    away = members.where((F.col("fp") != F.col("hub")) & close(F.col("n"), F.col("hub_n"))).join(label, "fp", "left").join(label.toDF("hub", "hub_root"), "hub", "left")
+    first = away.where(F.coalesce("root", "fp") != F.coalesce("hub_root", "hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    links = links.unionByName(_verified(first, sets, similarity))
     longs = range(PARITIES // 64)
     sketches = groups.select("fp", *[F.col("parities")[i].alias(f"p{i}") for i in longs])
-    placed = cut(placed.join(open_cells, "cell", "left_semi").join(sketches, "fp"))
-    stray = placed.where("root <> hub_root").selectExpr("cell as other_cell", "fp as other", "n as other_n", "root as other_root", *[f"p{i} as q{i}" for i in longs])
-    # a pair with the hub is verified already; of two strays each pair comes once
-    fresh = (F.col("fp") != F.col("hub")) & (F.col("root") != F.col("other_root")) & close(F.col("n"), F.col("other_n")) & ((F.col("root") == F.col("hub_root")) | (F.col("fp") < F.col("other")))
     apart = F.expr(" + ".join(f"bit_count(p{i} ^ q{i})" for i in longs))
     most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("other_n")) + 1e-6  # shingles that similar documents may have apart
-    joined = placed.join(stray, (F.col("cell") == F.col("other_cell")) & fresh & (apart <= most))
-    second = joined.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    links = links.unionByName(_verified(second, sets, similarity))
-
-    found = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
-    rooted = groups.select("fp", "least").join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    drawn = lambda k: F.pmod(F.xxhash64("fp"), F.col("m")) < k
+    stray = F.col("root") != F.col("main")
+    for partner in (drawn(PARTNERS), drawn(F.col("m") / 8), stray):
+        placed = cut(members.join(_labels(links), "fp", "left").select("cell", "fp", "n", "m", F.coalesce("root", "fp").alias("root")))
+        sizes = placed.groupBy("cell", "root").agg(F.count("*").alias("c"))
+        main = cut(sizes.groupBy("cell").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+        placed = cut(placed.join(main, "cell").join(sketches, "fp"))
+        other = placed.where(partner).selectExpr("cell as other_cell", "fp as other", "n as other_n", "root as other_root", *[f"p{i} as q{i}" for i in longs])
+        fresh = (F.col("root") != F.col("other_root")) & close(F.col("n"), F.col("other_n"))
+        if partner is stray:  # of two strays each pair comes once
+            fresh &= ~stray | (F.col("fp") < F.col("other"))
+        joined = placed.join(other, (F.col("cell") == F.col("other_cell")) & fresh & (apart <= most))
+        pairs = joined.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+        links = links.unionByName(_verified(pairs, sets, similarity))
+
+    rooted = groups.select("fp", "least").join(_labels(links), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
     label = cut(rooted.join(named, "root").select("fp", "component", "root"))
