@@ -58,3 +58,27 @@ def test_parities_never_exceed_the_shingles_apart():
     for i, x in enumerate(sets):
         for y in sets[:i]:
             assert (bits(x) ^ bits(y)).bit_count() <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_simhash_links_near_copies_that_share_no_cell(spark, monkeypatch):
+    monkeypatch.setattr(similar, "cells", lambda h: h.sum(keepdims=True))  # different texts share none
+    r = random.Random(3)
+    base = [f"w{r.randrange(3000)}" for _ in range(9000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
+def test_a_crowd_of_near_copies_is_joined_in_few_pairs(spark, monkeypatch):
+    r, asked, verified = random.Random(4), [], similar._verified
+    base, texts = [f"w{r.randrange(3000)}" for _ in range(150)], []
+    for i in range(240):
+        copy = list(base)
+        for _ in range(1 + i % 6):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(3000)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *given: asked.append(pairs.count()) or verified(pairs, *given))
+    docs = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "doc_id long, text string, k string")
+    got = {x.doc_id: x.component for x in similar.similar_components(docs, "k").collect()}
+    assert [got[i] for i in range(len(texts))] == _brute(texts)
+    assert sum(asked) < 10 * len(texts)
