@@ -285,3 +285,37 @@ def test_the_last_stage_moves_many_vertices_of_a_community_in_one_round(spark, m
     found = leiden.communities(stars, 1.2, levels=0).collect()
     assert len({r.label for r in found}) == 4 and len(found) == 124
     assert len(rounds) <= 6
+
+
+def test_parts_of_a_long_path_meet_in_few_rounds(spark, monkeypatch):
+    links = [(f"c{i}", f"e{i}", 1.0) for i in range(400)] + [(f"c{i + 1}", f"e{i}", 1.0) for i in range(399)]
+    random.Random(7).shuffle(links)  # so that numbers don't follow the path, where the least would pass on a vertex a round
+    path = spark.createDataFrame(links, "c string, e string, weight double")
+    rounds, step = [], leiden.Blocks.step
+
+    def all_one(i, g, s, mail):
+        s = {"m": np.zeros_like(s["m"]), "K": s["K"]}
+        yield i, "state", s
+        for holder, route in g["routes"].items():
+            yield holder, "label", (s["m"][route], s["K"][route])
+
+    monkeypatch.setattr(leiden.Blocks, "step", lambda self, now, act, *given: (rounds.append(1) if act is leiden._lower else None) or step(self, now, act, *given))
+    monkeypatch.setattr(leiden._Level, "moved", lambda self, now, rounds: self.step(now, all_one))
+    monkeypatch.setattr(leiden._Level, "polished", lambda self, now: (now, False))
+    found = leiden.communities(cut(path), 1.0, levels=0).collect()
+    assert len(found) == 800 and len({r.label for r in found}) == 1
+    assert len(rounds) <= 16
+
+
+def test_settled_rounds_let_go_of_those_before(spark):
+    level = blocks.Blocks(None, 2, spark)
+    now = level.start()
+    level.steps = blocks.SETTLE_EVERY
+    kept = level.settle(now)
+    assert kept.partitioner == now.partitioner and not hasattr(kept, "prev") and kept.count() == now.count()
+    level.release()
+
+
+def test_whole_numbers_travel_in_as_few_bits_as_they_need():
+    a, b = blocks.narrowed((np.arange(3), {"x": np.array([1 << 40]), "y": np.array([0.5])}))
+    assert a.dtype == np.int32 and b["x"].dtype == np.int64 and b["y"].dtype == float
