@@ -319,3 +319,12 @@ def test_settled_rounds_let_go_of_those_before(spark):
 def test_whole_numbers_travel_in_as_few_bits_as_they_need():
     a, b = blocks.narrowed((np.arange(3), {"x": np.array([1 << 40]), "y": np.array([0.5])}))
     assert a.dtype == np.int32 and b["x"].dtype == np.int64 and b["y"].dtype == float
+
+
+def test_burstiness_reads_its_dates_once(spark):
+    day = D(2026, 1, 1)
+    dated = spark.createDataFrame([("a", day), ("a", None), ("a", day + datetime.timedelta(20)), ("b", None), ("b", None), (None, day), (None, day)], "g string, incident_date date")
+    found = detect.burstiness(dated, ["g"])
+    assert {r.g: r.burstiness for r in found.where("g is not null").collect()} == {"a": 0.5, "b": 0.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
