@@ -1,10 +1,14 @@
 """One keyed state for all that happens to a claim: people's requests and scores in one stream.
 
-A claim's state is what the claims table says to begin with: status, version
-and the head of its audit chain; the models that have scored it are a state
-of their own. Each event is judged by the status of its time, so a score that
-comes after a person's decision is recorded and moves nothing. The chain goes
-on from the head in the state; no history is read.
+A claim's state is what the claims table says to begin with: status, version,
+the head of its audit chain and the models that have scored it. Each event is
+judged by the status of its time, so a score that comes after a person's
+decision is recorded and moves nothing. The chain goes on from the head in the
+state; no history is read.
+
+Spark hands over each key by itself, and a Python worker asks for each state by
+itself, which costs milliseconds a key. So claims are kept by bucket, some
+hundred of them a key at ten million claims.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from claimloom.operators import audit, workflow
 
 EVENTS = "claim_id string, at timestamp, kind string, model_version string, decision_hint string, fraud_score decimal(5,4), ring_id string, explanation_json string, to_status string, role string, actor_id string, reason string"
 JUDGED = "claim_id string, kind string, occurred_at timestamp, outcome int, event_type string, from_status string, to_status string, actor_id string, actor_role string, reason string, fraud_score decimal(5,4), ring_id string, explanation_json string, model_version string, version long, seq int, prev_hash string, hash string"
+#: What is kept of a claim.
+HELD = "claim_id: string, status: string, version: bigint, seq: int, hash: string, scored: array<string>"
+#: Keys that claims are dealt out to; a batch reads and writes the whole buckets of its claims. A stream keeps the number that it began with.
+BUCKETS = 1 << 16
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,27 +48,40 @@ def _events(rows: DataFrame, **given) -> DataFrame:
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Judges a claim's events one after another and chains those that count."""
+    """Judges the events of a bucket's claims, each claim's one after another, and chains those that count."""
 
     def init(self, handle) -> None:
-        self.claim = handle.getValueState("claim", "status string, version long, seq int, hash string")
-        self.scored = handle.getMapState("scored", "model_version string", "yes boolean")
+        self.held = handle.getValueState("claims", f"claims array<struct<{HELD}>>")
         self.allowed: dict[tuple[str, str], set[str]] = {}
         for a, b, role in workflow.TRANSITIONS:
             self.allowed.setdefault((a, b), set()).add(role)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.claim.update((initialState.status, initialState.version or 0, initialState.seq or 0, initialState.hash or audit.GENESIS))
-        for model in initialState.scored or []:
-            self.scored.updateValue((model,), (True,))
+        self.held.update(([(c["claim_id"], c["status"], c["version"] or 0, c["seq"] or 0, c["hash"] or audit.GENESIS, list(c["scored"] or [])) for c in initialState.claims],))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.claim.get()
-        status, version, seq, head = known if known is not None else (None, 0, 0, audit.GENESIS)
-        before = (status, version, seq, head)
+        held = self.held.get()
+        claims = {c[0]: tuple(c[1:]) for c in held[0]} if held is not None else {}
+        events: dict[str, list[Row]] = {}
+        for e in rows:
+            events.setdefault(e.claim_id, []).append(e)
+        changed = False
+        for claim, of in events.items():
+            before = claims.get(claim)
+            after, judged = self._folded(before, of)
+            yield from judged
+            if after != before:
+                claims[claim], changed = after, True
+        if changed:
+            self.held.update(([(claim, *state) for claim, state in claims.items()],))
+
+    def _folded(self, state: tuple | None, events: list) -> tuple[tuple | None, list[Row]]:
+        """A claim's state after a batch's events, and these as judged."""
+        status, version, seq, head, scored = state if state is not None else (None, 0, 0, audit.GENESIS, [])
+        scored, out = list(scored), []
         # a batch's events of one claim, by time and then by content
-        for e in sorted(rows, key=lambda e: (e.at is None, e.at, e.kind, e.model_version or "", e.to_status or "", e.part_a, e.part_c)):
-            outcome, to = self._judged(e, status)
+        for e in sorted(events, key=lambda e: (e.at is None, e.at, e.kind, e.model_version or "", e.to_status or "", e.part_a, e.part_c)):
+            outcome, to = self._judged(e, status, scored)
             kind = None
             if outcome == 200:
                 override = (status, to) == workflow.NEEDS_REASON
@@ -68,21 +89,20 @@ class ClaimProcessor(StatefulProcessor):
                 seq, prev = seq + 1, head
                 head = hashlib.sha256(f'{prev}{{{e.part_a},"eventType":"{kind}",{e.part_b},"fromStatus":"{status}",{e.part_c},"prevHash":"{prev}",{e.part_d},"seq":{seq},"toStatus":"{to}"}}'.encode()).hexdigest()
                 version += e.kind == "REQUEST" or to != status
-                yield self._row(e, outcome, kind, status, to, version, seq, prev, head)
+                out.append(self._row(e, outcome, kind, status, to, version, seq, prev, head))
                 status = to
             else:
-                yield self._row(e, outcome, kind, status, to, version, None, None, None)
-        if status is not None and (status, version, seq, head) != before:
-            self.claim.update((status, version, seq, head))
+                out.append(self._row(e, outcome, kind, status, to, version, None, None, None))
+        return state if status is None else (status, version, seq, head, scored), out
 
-    def _judged(self, e, status: str | None) -> tuple[int, str | None]:
+    def _judged(self, e, status: str | None, scored: list[str]) -> tuple[int, str | None]:
         """404 unknown claim, 208 a model's score again, 409, 403, 400 or 200; and where the claim goes."""
         if status is None:
             return 404, None
         if e.kind == "SCORE":
-            if self.scored.containsKey((e.model_version,)):
+            if e.model_version in scored:
                 return 208, status
-            self.scored.updateValue((e.model_version,), (True,))
+            scored.append(e.model_version)
             to = "FLAGGED" if e.decision_hint == "FLAG" else "UNDER_REVIEW"
             return 200, to if "SYSTEM" in self.allowed.get((status, to), ()) else status
         roles = self.allowed.get((status, e.to_status))
@@ -113,7 +133,7 @@ def initial_states(claims: DataFrame, chain: DataFrame | None = None) -> DataFra
     return rows.join(heads, "claim_id", "left")
 
 
-def judged(events: DataFrame, states: DataFrame) -> DataFrame:
+def judged(events: DataFrame, states: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of `events` (see `EVENTS`) judged by each claim's state; `states` is where new streams begin.
 
     Every event comes out with its outcome; those of outcome 200 are events of
@@ -124,8 +144,10 @@ def judged(events: DataFrame, states: DataFrame) -> DataFrame:
     a, b, c, d = audit.parts_around_status()
     whole = events.withColumn("at", F.date_trunc("MILLISECOND", "at"))
     named = whole.withColumns({"occurred_at": F.col("at"), "actor_role": F.col("role")})
-    rows = named.select(*whole.columns, a.alias("part_a"), b.alias("part_b"), c.alias("part_c"), d.alias("part_d"))
-    return rows.groupBy("claim_id").transformWithState(ClaimProcessor(), JUDGED, "Append", "None", states.groupBy("claim_id"))
+    bucket = F.pmod(F.xxhash64("claim_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = named.select(bucket, *whole.columns, a.alias("part_a"), b.alias("part_b"), c.alias("part_c"), d.alias("part_d"))
+    held = states.groupBy(bucket).agg(F.collect_list(F.struct(*[x.split(":")[0] for x in HELD.split(", ")])).alias("claims"))
+    return rows.groupBy("bucket").transformWithState(ClaimProcessor(), JUDGED, "Append", "None", held.groupBy("bucket"))
 
 
 def started(stream: DataFrame, sink_path: str, checkpoint: str):

@@ -75,3 +75,20 @@ def test_state_continues_a_chain(spark, tmp_path):
     assert sorted((r.model_version, r.outcome, r.seq) for r in found.collect()) == [("m1", 208, None), ("m2", 200, 2)]
     whole = chain.unionByName(found.where("outcome = 200").select(*chain.columns))
     assert [(r.events, r.valid) for r in audit.verify(whole).collect()] == [(2, True)]
+
+
+def test_claims_of_a_bucket_share_a_key(spark, tmp_path):
+    """Spark hands over a key at a time, which costs more than a claim's events do: a bucket's claims come together, and stay apart."""
+    rows, folder = _events(200), str(tmp_path)
+    start = {f"c{i}": "SUBMITTED" for i in range(11)}
+    states = keyed.initial_states(spark.createDataFrame([(c, s, 0) for c, s in start.items()], "claim_id string, status string, version int"))
+    named = "claim_id string, at timestamp, kind string, model_version string, decision_hint string, to_status string, reason string, explanation_json string, role string, actor_id string"
+    for part in (rows[:90], rows[90:]):
+        keyed._events(spark.createDataFrame(part, named).repartition(3)).write.mode("append").parquet(f"{folder}/in")
+        stream = keyed.judged(spark.readStream.schema(keyed.EVENTS).parquet(f"{folder}/in"), states, buckets=2)
+        keyed.started(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    assert [(r.claim_id, r.outcome, r.to_status) for r in found.orderBy("occurred_at").collect()] == _fold(rows, start)[0]
+    assert {r.valid for r in audit.verify(found.where("outcome = 200").drop("kind", "outcome", "version")).collect()} == {True}
+    kept = spark.read.format("statestore").option("stateVarName", "claims").load(f"{folder}/state")
+    assert kept.count() <= 2
