@@ -328,3 +328,23 @@ def test_burstiness_reads_its_dates_once(spark):
     assert {r.g: r.burstiness for r in found.where("g is not null").collect()} == {"a": 0.5, "b": 0.0}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_rows_of_a_seed_stay_short(spark, monkeypatch):
+    """Readers and Arrow take thousands of rows at once, so what a seed knows must not be one row."""
+    links = cut(detect.both_ways(cut(graph.edges(_network(spark)))))
+    seeds, longest, plain = spark.createDataFrame([("c1",), ("c101",)], "v string"), [], local_push.cut
+    whole = {(x.seed, x.v): (x.p, x.r) for x in local_push.local_push(links, seeds, epsilon=1e-4).collect()}
+
+    def looked(df):
+        out = plain(df)
+        for name, kind in out.dtypes:
+            if kind == "binary" or kind.startswith("array"):
+                longest.append(out.agg(F.max(F.length(name) if kind == "binary" else 8 * F.size(name))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(local_push, "PART", 100, raising=False)
+    monkeypatch.setattr(local_push, "cut", looked)
+    found = {(x.seed, x.v): (x.p, x.r) for x in local_push.local_push(links, seeds, epsilon=1e-4).collect()}
+    assert found.keys() == whole.keys() and all(abs(a - b) < 1e-12 for k in found for a, b in zip(found[k], whole[k], strict=True))
+    assert longest and 0 < max(longest) <= 100
