@@ -348,3 +348,13 @@ def test_rows_of_a_seed_stay_short(spark, monkeypatch):
     found = {(x.seed, x.v): (x.p, x.r) for x in local_push.local_push(links, seeds, epsilon=1e-4).collect()}
     assert found.keys() == whole.keys() and all(abs(a - b) < 1e-12 for k in found for a, b in zip(found[k], whole[k], strict=True))
     assert longest and 0 < max(longest) <= 100
+
+
+def test_rings_read_shared_edges_alone(spark, monkeypatch):
+    of, given, plain = graph.edges(_network(spark)), [], detect.claim_components
+    monkeypatch.setattr(detect, "claim_components", lambda rows: given.append(rows) or plain(rows))
+    found = {(r.claim_id, r.ring_id, r.ring_size) for r in detect.rings(of).collect()}
+    assert given[0].count() == graph.pruned(of).where("degree > 1").count() < graph.pruned(of).count()
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    every = {(r.claim_id, r.ring_id, r.ring_size) for r in detect.rings(of, least=1).collect()}
+    assert found == {x for x in every if x[2] >= detect.MIN_RING} and len(every) == graph.pruned(of).select("claim_id").distinct().count()
