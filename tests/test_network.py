@@ -358,3 +358,27 @@ def test_rings_read_shared_edges_alone(spark, monkeypatch):
     assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
     every = {(r.claim_id, r.ring_id, r.ring_size) for r in detect.rings(of, least=1).collect()}
     assert found == {x for x in every if x[2] >= detect.MIN_RING} and len(every) == graph.pruned(of).select("claim_id").distinct().count()
+
+
+def test_two_hop_counts_partners_over_every_entity(spark, monkeypatch):
+    """All partners, also over entities beyond the limits, as pairs give them; claims of few entities, without dates and of several entities of a type."""
+    monkeypatch.setattr(features, "CELL", 500)
+    draw = random.Random(4)
+    kinds = [("SHOP", 3), ("ADDRESS", 8), ("PHONE", 20), ("PHONE", 20)]
+    have = {i: {(k, str(draw.randrange(n))) for k, n in kinds if draw.random() < 0.8} for i in range(150)} | {200: {("SHOP", "alone")}}
+    day = {i: None if i % 11 == 0 else D(2026, 1, 1) + datetime.timedelta(days=draw.randrange(90)) for i in have}
+    degree = pd.Series([e for es in have.values() for e in es]).value_counts().to_dict()
+    rows = [(i, *e, day[i], degree[e]) for i, es in have.items() for e in es]
+    of = spark.createDataFrame(rows, "claim_id long, entity_type string, canonical_value string, incident_date date, degree long")
+    assert max(degree.values()) > 30
+    for limits in (None, {"SHOP": 30, "ADDRESS": 1}):
+        found = {r.claim_id: (r.two_hop_claim_count, r.burstiness_2hop) for r in features.two_hop(of, limits).collect()}
+        near = lambda e: limits is None or degree[e] <= limits.get(e[0], graph.OTHER_MAX_DEGREE)
+        assert found.keys() == {i for i in have if have[i]}
+        for i, (count, burst) in found.items():
+            others = {j for j in have if j != i and any(near(e) for e in have[i] & have[j])}
+            days = [day[j] for j in others | {i} if day[j]]
+            want = max(sum(0 <= (b - a).days <= detect.WINDOW_DAYS for b in days) for a in days) / len(days) if len(days) > 1 else 0.0
+            assert count == len(others) and burst == pytest.approx(want)
+    whole = {r.claim_id: r for r in features.features(cut(graph.edges(_network(spark))), limits=None).collect()}
+    assert whole[100].two_hop_claim_count == 60 and whole[100].claimants_per_entity_2hop == 61 / whole[100].one_hop_entity_count
