@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from claimloom.operators import audit, detect, explain, features, graph, scoring, training, workflow
+from claimloom.plans import registry
 from claimloom.plans.durable import cut
 from claimloom.sources import generator
 
@@ -119,3 +120,11 @@ def test_altered_events_are_named(spark):
     assert audit.altered(chain, chain.unionByName(more)).count() == 0
     assert [tuple(r) for r in audit.altered(chain, chain.where("seq <> 2")).collect()] == [("a", 2, "deleted")]
     assert {tuple(r) for r in audit.altered(chain, chain.replace("X", "Y", ["event_type"])).collect()} == {("a", i, "changed") for i in (1, 2, 3)}
+
+
+def test_as_of_one_hop_makes_no_communities(spark, claims, monkeypatch):
+    """The query whose SQL states a claim's own entities needs no communities: what it asks of each graph is made alone, and equals the whole features."""
+    monkeypatch.setattr(features, "communities", None)
+    monkeypatch.setattr(registry, "_claims", lambda spark, folder: claims)
+    found = {r.claim_id: r for r in registry.as_of_features_onehop(spark, "").collect()}
+    assert len(found) == claims.count() and found[1].entity_degree_max == 4.0
