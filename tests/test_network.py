@@ -382,3 +382,20 @@ def test_two_hop_counts_partners_over_every_entity(spark, monkeypatch):
             assert count == len(others) and burst == pytest.approx(want)
     whole = {r.claim_id: r for r in features.features(cut(graph.edges(_network(spark))), limits=None).collect()}
     assert whole[100].two_hop_claim_count == 60 and whole[100].claimants_per_entity_2hop == 61 / whole[100].one_hop_entity_count
+
+
+def test_lineage_is_cut_by_size(spark, monkeypatch):
+    """Large graphs cut lineage every few supersteps, on each level too, and find what small ones find."""
+    assert blocks.settle_every(1000) == blocks.SETTLE_EVERY and blocks.settle_every(10**9) == blocks.SETTLE_LEAST
+    of = cut(graph.edges(_network(spark)))
+    plain = {(r.id, r.community) for r in detect.communities(of).collect()}
+    waited, settle = [], blocks.Blocks.settle
+
+    def watched(self, now):
+        waited.append(self.steps)
+        return settle(self, now)
+
+    monkeypatch.setattr(blocks, "KEPT", 1)
+    monkeypatch.setattr(blocks.Blocks, "settle", watched)
+    assert {(r.id, r.community) for r in detect.communities(of).collect()} == plain
+    assert max(waited) <= 2 * blocks.SETTLE_LEAST + 8  # refining begins with eight supersteps
